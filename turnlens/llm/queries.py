@@ -7,10 +7,33 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens.llm import hash_ring, reply_trees, secrets
+from turnlens.llm import bpe_replay, hash_ring, reply_trees, secrets, simhash
 from turnlens.llm.common import table
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = tokenizer_file("byte_bpe_50k.tiktoken")
+    coded = bpe_replay.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    back = bpe_replay.decode(coded, ranks)
+    return back.select(
+        "doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
+def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s.kind == k)).cast("long")
@@ -47,6 +70,8 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe_replay": op3_bpe_replay,
+        "op5_simhash_gray": op5_simhash_gray,
         "op7_secret_linking": op7_secret_linking,
         "op9_reply_trees": op9_reply_trees,
         "op10_hash_ring": op10_hash_ring,
