@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens.llm import bpe_replay, decontam, hash_ring, reply_trees, secrets, simhash, toxicity
+from turnlens.llm import bpe_replay, decontam, hash_ring, iblt, repair_codec, reply_trees, secrets, simhash, toxicity
 from turnlens.llm.common import table
 
 
@@ -56,6 +56,22 @@ def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_edits(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+def op8_repair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    segments = repair_codec.write(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, first=1 << 16)
+    rows = repair_codec.read(segments).select(
+        "bucket", "seq", "doc_id", "within", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+    )
+    placed = rows.join(repair_codec.offsets(segments), ["bucket", "seq"])
+    return placed.select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+
+
 def op9_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -86,7 +102,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_replay": op3_bpe_replay,
         "op4_decontamination": op4_decontamination,
         "op5_simhash_gray": op5_simhash_gray,
+        "op6_iblt_fingerprints": op6_iblt_fingerprints,
         "op7_secret_linking": op7_secret_linking,
+        "op8_repair_codec": op8_repair_codec,
         "op9_reply_trees": op9_reply_trees,
         "op10_hash_ring": op10_hash_ring,
     }
