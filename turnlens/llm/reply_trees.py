@@ -68,10 +68,10 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     leaves = jump.join(replied, same(F.col("conv_id"), F.col("c")) & (F.col("node") == F.col("u")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "node"))
     chosen = leaves.withColumn("path", rank).where(F.col("path") <= paths).select("conv_id", "path", "node")
-    for up in reversed(jumps[:-1]):
+    for up in reversed(jumps[:-1]):  # every node also names the one its jump ends at
         a, b = chosen.alias("a"), up.where("up is not null").alias("b")
-        step = a.join(b, same(F.col("a.conv_id"), F.col("b.conv_id")) & (F.col("a.node") == F.col("b.node"))).select("a.conv_id", "a.path", F.col("b.up").alias("node"))
-        chosen = chosen.unionByName(step)
+        joined = a.join(b, same(F.col("a.conv_id"), F.col("b.conv_id")) & (F.col("a.node") == F.col("b.node")), "left")
+        chosen = joined.select("a.conv_id", "a.path", F.explode(F.array_compact(F.array("a.node", "b.up"))).alias("node"))
     a, b = chosen.alias("a"), jump.alias("b")
     return a.join(b, same(F.col("a.conv_id"), F.col("b.conv_id")) & (F.col("a.node") == F.col("b.node"))).select("a.conv_id", "a.path", "b.depth", "a.node")
 
