@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens.llm import bpe_replay, decontam, hash_ring, iblt, repair_codec, reply_trees, secrets, simhash, toxicity
+from turnlens.llm import bpe_replay, decontam, hash_ring, iblt, repair_codec, reply_trees, secrets, simhash, suffix_dedup, toxicity
 from turnlens.llm.common import table
 
 
@@ -25,6 +25,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return left.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -99,6 +107,7 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_bpe_replay": op3_bpe_replay,
         "op4_decontamination": op4_decontamination,
         "op5_simhash_gray": op5_simhash_gray,
