@@ -54,15 +54,10 @@ def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     jump = cut(hop.select("n.conv_id", "n.node", F.col("p.node").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("n.score").alias("total")), "reply-jump")
     jumps = [jump]
     while jump.where("up is not null").limit(1).count():
-        a, b = jump.alias("a"), jump.alias("b")
-        joined = a.join(b, same(F.col("a.conv_id"), F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")), "left")
-        jump = cut(
-            joined.select(
-                "a.conv_id", "a.node", "b.up",
-                (F.col("a.depth") + F.coalesce("b.depth", F.lit(0))).alias("depth"),
-                (F.col("a.total") + F.coalesce("b.total", F.lit(0.0))).alias("total"),
-            ), "reply-jump",
-        )
+        a, b = jump.where("up is not null").alias("a"), jump.alias("b")  # nodes that reached their root are done
+        joined = a.join(b, same(F.col("a.conv_id"), F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")))
+        longer = joined.select("a.conv_id", "a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        jump = cut(longer.unionByName(jump.where("up is null")), "reply-jump")
         jumps.append(jump)
     replied = jumps[0].where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("u")).distinct()
     leaves = jump.join(replied, same(F.col("conv_id"), F.col("c")) & (F.col("node") == F.col("u")), "left_anti")
