@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlens.llm.common import small_batches
 
@@ -115,34 +116,38 @@ class Replay:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids) of every row of ``docs`` (doc_id, text); ids are little-endian unsigned 32-bit integers.
+    """Every row of ``docs`` with ``ids``, little-endian unsigned 32-bit integers, in the place of ``text``.
 
-    Null and empty texts give no ids; rows keep their number and any doc_id.
+    Null and empty texts give no ids; rows keep their number and their other columns (one named ids is replaced).
     """
+    docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
+    docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
+    names = [*docs.columns[:-1], "ids"]
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = Replay(load_ranks(ranks_path))
         split = regex.compile(pattern).findall
 
-        def solve(ids: list[pa.Array], texts: list[str | None]) -> pa.RecordBatch:
+        def solve(held: list[pa.RecordBatch], texts: list[str | None]) -> pa.RecordBatch:
             parts = [split(t) if t else [] for t in texts]
-            words = list(set().union(*parts)) if parts else []
+            words = list(set().union(*parts))
             coded = dict(zip(words, (x.tobytes() for x in replay.encode([w.encode("utf-8", "surrogatepass") for w in words])), strict=True))
-            return pa.record_batch([pa.chunked_array(ids).combine_chunks(), pa.array([b"".join(map(coded.__getitem__, p)) for p in parts], pa.binary())], names=["doc_id", "ids"])
+            others = [pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in range(len(names) - 1)]
+            return pa.record_batch([*others, pa.array([b"".join(map(coded.__getitem__, p)) for p in parts], pa.binary())], names=names)
 
-        ids, texts, size = [], [], 0
+        held, texts, size = [], [], 0
         for b in batches:
-            ids.append(b.column(0))
-            texts += (more := b.column(1).to_pylist())
+            held.append(b)
+            texts += (more := b.column(len(names) - 1).to_pylist())
             size += sum(len(t or "") for t in more)
             if size >= BLOCK:
-                yield solve(ids, texts)
-                ids, texts, size = [], [], 0
+                yield solve(held, texts)
+                held, texts, size = [], [], 0
         if texts:
-            yield solve(ids, texts)
+            yield solve(held, texts)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField("ids", T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
