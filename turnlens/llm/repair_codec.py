@@ -10,6 +10,8 @@ symbols and where each document starts, so any document can be decoded without t
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,9 @@ BUCKETS, SEGMENT = 128, 1_000_000
 LEAST, ROUNDS = 24, 8
 MAGIC = 0x52455031
 #: Words whose ids a Python worker remembers, from task to task.
-KNOWN = 600_000
+KNOWN = 1_000_000
+#: A full stop or comma next to another mark: only elsewhere may it be set off from its word.
+MARKS = re.compile(r"[^\w\s][.,]|[.,][^\w\s]|_[.,]|[.,]_")
 
 
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,10 +130,11 @@ class Segment:
 def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 4) -> DataFrame:
     """(doc_id, ids) of every row of ``docs`` (doc_id, text), ``end_id`` appended; little-endian unsigned ids of ``width`` bytes.
 
-    The tokenizer must lower-case, end every token at a blank and drop it: words between blanks are
-    encoded once per worker and remembered.
+    The tokenizer must lower-case, drop blanks and end every token there and between letters and runs
+    of marks: words between blanks, without a full stop or comma at their end, are encoded once per
+    worker and remembered.
     """
-    kind = f"<u{width}"
+    kind = {2: "H", 4: "I"}[width]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,9 +144,16 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 4) ->
         stores = tokenizers.__dict__.setdefault("_known_words", {})
         tokenizer, known = stores.get((tokenizer_path, width)) or (tokenizers.Tokenizer.from_file(tokenizer_path), {})
         stores[tokenizer_path, width] = tokenizer, known
-        end = np.array([end_id], kind).tobytes()
+        end = array(kind, [end_id]).tobytes()
+
+        def words(text: str | None) -> list[str]:
+            text = text or ""
+            if not MARKS.search(text):
+                text = text.replace(",", " ,").replace(".", " .")
+            return (text.lower() if text.isascii() else text).replace("\n", " ").split(" ")
+
         for b in batches:
-            parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else [] for t in b.column(1).to_pylist()]
+            parts = list(map(words, b.column(1).to_pylist()))
             fresh = list(set().union(*parts) - known.keys())
             if fresh and len(known) + len(fresh) > KNOWN:
                 known.clear()
@@ -149,7 +161,7 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 4) ->
             for k in range(0, len(fresh), 20_000):
                 some = fresh[k : k + 20_000]
                 for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, kind).tobytes()
+                    known[w] = array(kind, e.ids).tobytes()
             yield pa.record_batch([b.column(0), pa.array([b"".join(map(known.__getitem__, p)) + end for p in parts], pa.binary())], names=["doc_id", "ids"])
 
     small_batches(docs.sparkSession, 512)
