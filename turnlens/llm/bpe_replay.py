@@ -4,13 +4,14 @@ A block is a run of documents of one task, at least ``BLOCK`` characters. The di
 block lie end to end in one array of symbols; an inverted index maps each pair of neighbouring
 symbols (known by its rank) to the positions where it stands. Ranks leave a heap in order; a merge is
 applied at all positions of its pair at once, and only the two neighbours of each merged position get
-new index entries. Every word is merged once per block however often it occurs.
+new index entries. Every word is merged once however often it occurs, and remembered by the task.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from turnlens.llm.common import small_batches
 
-#: Characters of text that share one inverted index; bounds a task's memory.
-BLOCK = 4_000_000
+#: Characters of text that share one inverted index, and words that a task remembers: both bound its memory.
+BLOCK, KNOWN = 4_000_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,10 +48,10 @@ class Replay:
             found = self.pair_rank[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
         return found
 
-    def encode(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of each word."""
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, as little-endian unsigned 32-bit integers."""
         whole = self.ranks
-        out: list[np.ndarray | None] = [np.array([whole[w]], "<u4") if w in whole else None for w in words]
+        out: list[bytes | None] = [whole[w].to_bytes(4, "little") if w in whole else None for w in words]
         todo = [k for k, x in enumerate(out) if x is None]
         byte_id, rank = self.byte_id, self.rank
         symbol: list[int] = []
@@ -111,7 +112,7 @@ class Replay:
             while p < end:
                 ids.append(symbol[p])
                 p = after[p]
-            out[k] = np.array(ids, "<u4")
+            out[k] = array("I", ids).tobytes()
         return out
 
 
@@ -128,13 +129,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = Replay(load_ranks(ranks_path))
         split = regex.compile(pattern).findall
+        known: dict[str, bytes] = {}
 
         def solve(held: list[pa.RecordBatch], texts: list[str | None]) -> pa.RecordBatch:
             parts = [split(t) if t else [] for t in texts]
-            words = list(set().union(*parts))
-            coded = dict(zip(words, (x.tobytes() for x in replay.encode([w.encode("utf-8", "surrogatepass") for w in words])), strict=True))
+            fresh = list(set().union(*parts) - known.keys())
+            if len(known) + len(fresh) > KNOWN:
+                known.clear()
+                fresh = list(set().union(*parts))
+            known.update(zip(fresh, replay.encode([w.encode("utf-8", "surrogatepass") for w in fresh]), strict=True))
             others = [pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in range(len(names) - 1)]
-            return pa.record_batch([*others, pa.array([b"".join(map(coded.__getitem__, p)) for p in parts], pa.binary())], names=names)
+            return pa.record_batch([*others, pa.array([b"".join(map(known.__getitem__, p)) for p in parts], pa.binary())], names=names)
 
         held, texts, size = [], [], 0
         for b in batches:
