@@ -141,7 +141,7 @@ def test_report_joins_all_folds_on_one_exchange(spark):
     assert len(rows) == turns.select("session_key").distinct().count() == len({r.session_key for r in rows})
     n = {r.session_key: r.n_calls for r in folds.stats(turns).collect()}
     assert all(r.n_calls == n[r.session_key] and r.flow_n_calls == r.n_calls for r in rows)
-    assert duckdb.sql("SELECT count(DISTINCT user_id) FROM '/root/testdata/sf0.001/events.parquet'").fetchone()[0] == len(rows)
+    assert duckdb.sql("SELECT count(DISTINCT user_id) FROM '/root/testdata/sf0.001/events.parquet'").fetchall()[0][0] == len(rows)
 
 
 def test_no_rows(frame):
