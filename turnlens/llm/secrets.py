@@ -70,8 +70,9 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     })
     found = found.withColumn("base", F.array_sort(F.concat("_assign", "_access", "_hex"))).drop("_assign", "_access", "_hex")
     found = found.withColumn("_weak", F.filter("_weak", lambda w: ~F.exists("base", lambda b: (b.start < w.end) & (w.start < b.end))))
-    found = found.withColumn("_uid", F.when(F.size("_weak") > 0, F.sha2("_text", 256))).drop("_text")
-    parts = found.where("_uid is not null").select("_uid", F.inline(F.concat("base", "_weak"))).distinct()
+    # texts without weak parts have keys of their own, so that they spread over the join
+    found = found.withColumn("_uid", F.when(F.size("_weak") > 0, F.sha2("_text", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("_text").cast("string")))).drop("_text")
+    parts = found.where(F.size("_weak") > 0).select("_uid", F.inline(F.concat("base", "_weak"))).distinct()
     near = Window.partitionBy("_uid").orderBy("start").rangeBetween(-scope, scope)
     parts = parts.select(
         "*",
