@@ -191,12 +191,14 @@ def test_iblt_retries_with_more_cells(spark):
     assert iblt.peel(rows.withColumn("cells", F.lit(1024).cast("long"))).first().asDict() == {"range": 0, "rid": 1, "cmp": 1, "differing": 650, "left": 0}
 
 
-def test_token_files_round_trip(odd, nothing):
+def test_token_files_round_trip(odd, nothing, monkeypatch):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(WORDS)
-    segments = repair_codec.write(odd, WORDS, 1, 1 << 16)
-    rows = repair_codec.read(segments).join(repair_codec.offsets(segments), ["bucket", "seq"]).collect()
+    monkeypatch.setattr(repair_codec, "BUCKETS", 3)
+    segments = repair_codec.write(odd, WORDS, 1, 1 << 16, rows=2)
+    assert segments.where("part > 0").count()
+    rows = repair_codec.read(segments).join(repair_codec.offsets(segments), ["bucket", "part", "seq"]).collect()
     rows.sort(key=lambda r: r.base + r.within)
     want = sorted(((r.doc_id, t.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in odd.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
     assert [r.doc_id for r in rows] == [d for d, _ in want]

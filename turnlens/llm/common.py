@@ -57,6 +57,23 @@ def id_bounds(docs: DataFrame, buckets: int = 256, key: str = "doc_id") -> list[
     return sorted(set(row.q or []))
 
 
+def id_parts(docs: DataFrame, buckets: int, rows: int, key: str = "doc_id") -> tuple[list[int], Column]:
+    """Bounds of ``buckets`` ranges, and the part of a row inside its range: equal steps of ids, as many as give about ``rows`` rows each.
+
+    (range, part) ascends with the id; the number of parts grows with the table, that of ranges does not.
+    """
+    bounds = id_bounds(docs, buckets, key)
+    n, least, most = docs.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+    parts = -(-n // (buckets * rows))
+    if parts <= 1 or least is None:
+        return bounds, F.lit(0)
+    low, high = [least, *[b + 1 for b in bounds]], [*bounds, most]
+    at = id_bucket(bounds, key)
+    edge = lambda values: F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in values]), F.greatest(at, F.lit(0)) + 1)
+    share = (F.col(key).cast("double") - edge(low)) / (edge(high).cast("double") - edge(low) + 1)
+    return bounds, F.coalesce(F.least(F.floor(share * parts), F.lit(parts - 1)).cast("int"), F.lit(0))
+
+
 def id_bucket(bounds: list[int], key: str = "doc_id") -> Column:
     """Number of bounds below the id: ascending with it; null ids go to bucket -1."""
     if not bounds:

@@ -74,9 +74,9 @@ def op8_repair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     segments = repair_codec.write(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, first=1 << 16)
     rows = repair_codec.read(segments).select(
-        "bucket", "seq", "doc_id", "within", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
+        "bucket", "part", "seq", "doc_id", "within", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
     )
-    placed = rows.join(repair_codec.offsets(segments), ["bucket", "seq"])
+    placed = rows.join(repair_codec.offsets(segments), ["bucket", "part", "seq"])
     return placed.select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -1,7 +1,7 @@
 """Token-id files with Re-Pair grammar compression.
 
-Documents go to at most ``BUCKETS`` id ranges, sorted by doc_id; each range is written as segments of
-about ``SEGMENT`` ids, in order. A segment is one shard of the grammar: in rounds, the pairs of
+Documents go to ``BUCKETS`` id ranges with parts of about ``ROWS`` rows, sorted by doc_id; each part is
+written as segments of about ``SEGMENT`` ids, in order. A segment is one shard of the grammar: in rounds, the pairs of
 neighbouring symbols that stand at least ``LEAST`` times become nonterminals and replace their
 occurrences from the left. Stored are the rules, the expansion length of every rule, the remaining
 symbols and where each document starts, so any document can be decoded without the others.
@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut, id_bounds, id_bucket, small_batches
+from turnlens.llm.common import cut, id_bucket, id_parts, small_batches
 
-BUCKETS, SEGMENT = 128, 1_000_000
+BUCKETS, ROWS, SEGMENT = 128, 4_000, 1_000_000
 #: A pair becomes a rule from so many occurrences in a segment on; rounds of replacement.
 LEAST, ROUNDS = 24, 8
 MAGIC = 0x52455031
@@ -168,38 +168,38 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 4) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, first: int) -> DataFrame:
-    """Write the id files of ``docs`` in ascending doc_id order; returns their segments (bucket, seq, n_ids, blob).
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, first: int, rows: int = ROWS) -> DataFrame:
+    """Write the id files of ``docs`` in ascending doc_id order; returns their segments (bucket, part, seq, n_ids, blob).
 
     ``first`` is above every id of the vocabulary. Null texts hold the end id alone; null doc_ids come
     first; repeated rows are all kept; an empty table writes no segment.
     """
-    bounds = id_bounds(docs, BUCKETS)
+    bounds, part = id_parts(docs, BUCKETS, rows)
     width = 2 if first <= 1 << 16 else 4
-    coded = encode(docs, tokenizer_path, end_id, width).select(id_bucket(bounds).alias("bucket"), "doc_id", "ids")
-    dealt = coded.repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+    coded = encode(docs, tokenizer_path, end_id, width).select(id_bucket(bounds).alias("bucket"), part.alias("part"), "doc_id", "ids")
+    dealt = coded.repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("doc_id").asc_nulls_first(), "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def segment(bucket: int, seq: int, held: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
+        def segment(bucket: int, part: int, seq: int, held: list[tuple[int | None, bytes]]) -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(x for _, x in held), f"<u{width}")
             # a null doc_id is stored as the smallest long
             blob = pack([-(2**63) if d is None else d for d, _ in held], [len(x) // width for _, x in held], ids, first)
-            return pa.record_batch([pa.array([bucket], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "seq", "n_ids", "blob"])
+            return pa.record_batch([*(pa.array([v], pa.int32()) for v in (bucket, part, seq)), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["bucket", "part", "seq", "n_ids", "blob"])
 
         now, seq, held, size = None, 0, [], 0
         for b in batches:
-            for bucket, d, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (bucket != now or size >= SEGMENT):
-                    yield segment(now, seq, held)
+            for bucket, part, d, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and ((bucket, part) != now or size >= SEGMENT):
+                    yield segment(*now, seq, held)
                     held, size, seq = [], 0, seq + 1
-                if bucket != now:
-                    now, seq = bucket, 0
+                if (bucket, part) != now:
+                    now, seq = (bucket, part), 0
                 held.append((d, x))
                 size += len(x) // width
         if held:
-            yield segment(now, seq, held)
+            yield segment(*now, seq, held)
 
-    return cut(dealt.mapInArrow(run, "bucket int, seq int, n_ids long, blob binary"), "token-ids")
+    return cut(dealt.mapInArrow(run, "bucket int, part int, seq int, n_ids long, blob binary"), "token-ids")
 
 
 def read(segments: DataFrame) -> DataFrame:
@@ -209,23 +209,23 @@ def read(segments: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for bucket, seq, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for bucket, part, seq, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 s = Segment(blob)
                 n = len(s.docs)
                 docs = [None if d == -(2**63) else d for d in s.docs.tolist()]
                 yield pa.record_batch([
-                    pa.array([bucket] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(docs, pa.int64()),
+                    *(pa.array([v] * n, pa.int32()) for v in (bucket, part, seq)), pa.array(docs, pa.int64()),
                     pa.array(s.starts[:-1]), pa.array([x.tobytes() for x in s.all()], pa.binary()),
-                ], names=["bucket", "seq", "doc_id", "within", "ids"])
+                ], names=["bucket", "part", "seq", "doc_id", "within", "ids"])
 
-    return segments.select("bucket", "seq", "blob").mapInArrow(run, "bucket int, seq int, doc_id long, within long, ids binary")
+    return segments.select("bucket", "part", "seq", "blob").mapInArrow(run, "bucket int, part int, seq int, doc_id long, within long, ids binary")
 
 
 def offsets(segments: DataFrame) -> DataFrame:
-    """(bucket, seq, base): ids before each segment; totals of the at most ``BUCKETS`` + 1 ranges meet in one task."""
-    sizes = segments.select("bucket", "seq", "n_ids")
+    """(bucket, part, seq, base): ids before each segment; only totals of the at most ``BUCKETS`` + 1 ranges meet in one task."""
+    sizes = segments.select("bucket", "part", "seq", "n_ids")
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranges = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("n_ids"))
     ranges = ranges.select("bucket", before(Window.orderBy("bucket")).alias("low"))
-    inside = sizes.select("bucket", "seq", before(Window.partitionBy("bucket").orderBy("seq")).alias("high"))
-    return inside.join(ranges, "bucket").select("bucket", "seq", (F.col("low") + F.col("high")).alias("base"))
+    inside = sizes.select("bucket", "part", "seq", before(Window.partitionBy("bucket").orderBy("part", "seq")).alias("high"))
+    return inside.join(ranges, "bucket").select("bucket", "part", "seq", (F.col("low") + F.col("high")).alias("base"))
