@@ -185,6 +185,15 @@ def test_iblt_recovers_the_difference(plain, odd, nothing):
     assert iblt.compare_edits(nothing).count() == 0
 
 
+def test_successors_cross_parts_and_ranges(spark):
+    ids = [*range(0, 40), *range(1000, 1010), 5000]
+    docs = spark.createDataFrame([(d, f"t{d}") for d in ids], "doc_id long, text string")
+    rows = iblt.following(docs, ranges=3, part_rows=4).collect()
+    assert len({r.range for r in rows}) > 6
+    order = sorted(ids, reverse=True)
+    assert {r.doc_id: r.next_text for r in rows} == {d: f"t{order[(k + 1) % len(order)]}" for k, d in enumerate(order)}
+
+
 def test_iblt_retries_with_more_cells(spark):
     rows = spark.createDataFrame([(0, 1, 1, 4, list(range(500)), list(range(250, 900)))], "range int, rid long, cmp int, cells long, one array<long>, two array<long>")
     assert iblt.peel(rows).first().left > 0

@@ -18,12 +18,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut, id_bounds, id_bucket, whole_text
+from turnlens.llm.common import cut, id_bucket, id_parts, whole_text
 
-#: Ranges of ids that one task handles at a time.
-RANGES = 128
+#: Ranges of ids, and rows of a part of a range; a task handles whole parts.
+RANGES, ROWS = 128, 20_000
 #: A paragraph: up to a line end, or to the end of the first sentence after so many characters.
-PIECE = r"[^\n]{1,100}[^.!?\n]*[.!?]*"
+PIECE = r"[^\n]{1,40}[^.!?\n]*[.!?]*"
 #: Cells of a subtable in the fingerprint; a power of two.
 CELLS = 4
 TABLES, TURNS, TRIES, GROW = 3, 9, 3, 4
@@ -55,27 +55,30 @@ def fingerprint(found: Column) -> Column:
     return F.lower(F.concat(*cells))
 
 
-def following(docs: DataFrame) -> DataFrame:
+def following(docs: DataFrame, ranges: int = RANGES, part_rows: int = ROWS) -> DataFrame:
     """``docs`` (doc_id, text) with ``range`` and ``next_text``: the text of the next row in descending doc_id, after the last the first.
 
-    Rows with equal ids are ordered by their texts' hashes; null ids come last. Each id range gets a
-    copy of the row that follows it, so that every row finds its successor in its own range.
+    Rows with equal ids are ordered by their texts' hashes; null ids come last. ``range`` numbers the
+    parts of the id ranges, ascending. A row's successor is in its own part, but for the last row of
+    a part: that one joins the first row of the part below.
     """
-    bounds = id_bounds(docs, RANGES)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), id_bucket(bounds).alias("range"))
-    order = lambda *more: Window.partitionBy("range").orderBy(*more, F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
-    heads = rows.groupBy("range").agg(F.max("doc_id").alias("doc_id")).orderBy(F.desc("range")).collect()  # one row per range
-    if not heads:
+    bounds, part = id_parts(docs, ranges, part_rows)
+    width = 1 << 32
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"), (id_bucket(bounds).cast("long") * width + part).alias("range"))
+    order = Window.partitionBy("range").orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+    group = F.shiftright("range", 32)
+    lowest = rows.groupBy(group.alias("g")).agg(F.min("range").alias("low")).orderBy(F.desc("g")).collect()  # one row per range
+    if not lowest:
         return rows.withColumn("next_text", F.col("text"))
-    first = rows.where(F.col("doc_id").isin([h.doc_id for h in heads if h.doc_id is not None]) | F.col("doc_id").isNull())
-    top = F.create_map(*[x for h in heads for x in (F.lit(h.range), F.lit(h.doc_id).cast("long"))])
-    first = first.where(F.col("doc_id").eqNullSafe(top[F.col("range")]))
-    first = first.withColumn("k", F.row_number().over(order())).where("k = 1")
-    before = {b.range: a.range for a, b in zip(heads, heads[1:], strict=False)} | {heads[0].range: heads[-1].range}
-    to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    copies = first.select("doc_id", "text", to[F.col("range")].alias("range"), F.lit(1).alias("copy"))
-    lead = F.lead("text").over(order("copy"))
-    return rows.withColumn("copy", F.lit(0)).unionByName(copies).withColumn("next_text", lead).where("copy = 0").drop("copy")
+    above = {b.g: a.low for a, b in zip(lowest, lowest[1:], strict=False)} | {lowest[0].g: lowest[-1].low}
+    to = F.create_map(*[F.lit(x).cast("long") for pair in above.items() for x in pair])
+    heads = rows.withColumn("k", F.row_number().over(order)).where("k = 1")
+    higher = F.lag("range").over(Window.partitionBy(group).orderBy(F.desc("range")))
+    heads = heads.select(F.coalesce(higher, to[group]).alias("range"), F.col("text").alias("head"))
+    led = rows.withColumn("next_text", F.lead("text").over(order)).alias("r")
+    h = heads.alias("h")
+    joined = led.join(h, (F.col("r.range") == F.col("h.range")) & F.col("r.next_text").isNull(), "left")
+    return joined.select("r.doc_id", "r.text", "r.range", F.coalesce("r.next_text", "h.head").alias("next_text"))
 
 
 def peel(pairs: DataFrame, turns: int = TURNS) -> DataFrame:
