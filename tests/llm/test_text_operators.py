@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from turnlens.llm import bpe_replay, decontam, hash_ring, iblt, repair_codec, secrets, simhash, suffix_dedup, toxicity
+from turnlens.llm.components import components
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -79,6 +80,21 @@ def test_gray_tree_finds_what_all_pairs_find():
         assert set(zip(q.tolist(), m.tolist(), strict=True)) == want
 
 
+def test_crowded_keys_are_dealt_out_again(spark):
+    rng = np.random.default_rng(6)
+    fps = {int(x) | 0x1234ABCD << 32 for x in rng.integers(0, 2**32, 3000)}  # all agree on two blocks
+    fps |= {f ^ (1 << int(rng.integers(0, 32)) | 1 << int(rng.integers(0, 32))) for f in sorted(fps)[:1500]}
+    fps = sorted(fps)
+    all_ = np.array(fps, np.uint64)
+    want = {(f, int(g)) for f in fps for g in all_[np.bitwise_count(all_ ^ np.uint64(f)) <= 2] if f < g}
+    distinct = spark.createDataFrame([(f,) for f in fps], "fp long")
+    assert simhash.groups(distinct, hot=100).groupBy("pair", "key", "sub").count().agg(F.max("count")).first()[0] < 100
+    got = components(simhash.links(distinct, hot=100)).collect()
+    root = {f: f for f in fps} | {r.node: r.root for r in got}
+    assert all(root[a] == root[b] for a, b in want)
+    assert {r.node for r in got} == {x for pair in want for x in pair}
+
+
 def test_representatives_keep_one_of_each_group(spark, nothing):
     rng = np.random.default_rng(1)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 400)) for _ in range(20)]

@@ -1,7 +1,8 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
 Fingerprints that differ in at most ``BITS`` of 64 bits agree on two of four 16-bit blocks, so the
-distinct fingerprints are dealt out by the six pairs of blocks. Inside one such group they are sorted
+distinct fingerprints are dealt out by the six pairs of blocks. A group of over ``HOT`` is dealt out again by
+pairs of 8-bit pieces of its other 32 bits, so none exceeds 65,536 fingerprints. Inside one such group they are sorted
 by Gray rank and indexed as a tree: a node keeps the bits that all its members share and that no node
 above it has, so a query adds up differences on its way down and leaves whole groups as soon as the
 sum passes the limit. Links are reduced to a spanning forest where they are found; pairs are never
@@ -25,6 +26,8 @@ from turnlens.llm.components import components
 BITS = 2
 WORDS = 3
 FAN = 8
+#: Fingerprints with two equal blocks from which on their other 32 bits deal them out further.
+HOT = 4096
 #: For groups by similarity: words of a shingle, least Jaccard similarity, lanes of 64 bits, least
 #: shingle hashes by which rows are dealt, and rows of one key that meet in one task.
 GROUP_WORDS, SIMILAR, LANES, LEASTS, BLOCK = 5, 0.8, 8, 6, 1024
@@ -152,20 +155,31 @@ def in_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.
         yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+def groups(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """(pair, key, sub, fp): any two fingerprints ``fp`` that differ in at most two bits are in one group of equal (pair, key, sub)."""
+    piece = lambda at, size: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << size) - 1))
+    pairs_of = lambda k: [(i, j) for i in range(k) for j in range(i + 1, k)]
+    keys, others = [], []
+    for i, j in pairs_of(4):
+        keys.append(F.struct(F.lit(4 * i + j).alias("pair"), F.shiftleft(piece(16 * i, 16), 16).bitwiseOR(piece(16 * j, 16)).alias("key")))
+        # at most two of the four pieces of the other blocks differ
+        rest = [16 * k + low for k in range(4) if k not in (i, j) for low in (0, 8)]
+        subs = [F.shiftleft(piece(rest[a], 8), 8).bitwiseOR(piece(rest[b], 8)).bitwiseOR(F.lit((4 * a + b) << 16)) for a, b in pairs_of(4)]
+        others.append(F.when(F.col("pair") == 4 * i + j, F.array(*subs)))
+    dealt = distinct.select(F.inline(F.array(*keys)), "fp")
+    crowded = dealt.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot).select("pair", "key", F.lit(True).alias("crowded"))
+    sub = F.when(F.col("crowded"), F.coalesce(*others)).otherwise(F.array(F.lit(0).cast("long")))
+    return dealt.join(F.broadcast(crowded), ["pair", "key"], "left").select("pair", "key", F.explode(sub).alias("sub"), "fp")
+
+
+def links(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """Spanning links (a, b) between the distinct fingerprints ``fp`` that differ in at most ``bits`` (2 or less)."""
     if not 0 <= bits <= 2:
         raise ValueError("four blocks find up to two differing bits")
-    keys = []
-    for i in range(4):
-        for j in range(i + 1, 4):
-            two = F.shiftleft(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)), 16).bitwiseOR(F.shiftrightunsigned("fp", 16 * j).bitwiseAND(F.lit(0xFFFF)))
-            keys.append(F.struct(F.lit(4 * i + j).alias("pair"), two.alias("key")))
-    dealt = distinct.select(F.inline(F.array(*keys)), "fp")
-    shared = dealt.repartition("pair", "key").sortWithinPartitions("pair", "key")
+    shared = groups(distinct, hot).repartition("pair", "key", "sub").sortWithinPartitions("pair", "key", "sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (fp,) in in_groups(batches, 2):
+        for (fp,) in in_groups(batches, 3):
             a, b = forest(fp.view(np.uint64), bits)
             yield pa.record_batch([pa.array(fp[a]), pa.array(fp[b])], names=["a", "b"])
 
