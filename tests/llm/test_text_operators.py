@@ -275,6 +275,16 @@ def test_token_files_round_trip(odd, nothing, monkeypatch):
     assert repair_codec.read(repair_codec.write(nothing, WORDS, 1, 1 << 16)).count() == 0
 
 
+def test_special_tokens_keep_their_case(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    texts = ["A <|EndOfText|> B", "x<|ENDOFTEXT|>Y", "<|endoftext|> Z <|StartOfText|>", "PLAIN text"]
+    got = repair_codec.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS, 1).collect()
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want
+
+
 def test_segments_decode_single_documents():
     rng = np.random.default_rng(3)
     docs = [np.tile(rng.integers(0, 9, 7), rng.integers(0, 60)).astype("<u4") for _ in range(40)]

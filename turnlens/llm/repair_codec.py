@@ -141,9 +141,15 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 4) ->
         tokenizer, known = stores.get((tokenizer_path, width)) or (tokenizers.Tokenizer.from_file(tokenizer_path), {})
         stores[tokenizer_path, width] = tokenizer, known
         end = array(kind, [end_id]).tobytes()
+        special = [x.content.lower() for x in tokenizer.get_added_tokens_decoder().values()]
+
+        def folded(text: str) -> str:
+            """Lower-cased where that is safe: the library looks for its special tokens before it folds case."""
+            low = text.lower() if text.isascii() else text
+            return text if any(x in low for x in special) else low
 
         for b in batches:
-            parts = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if t else [] for t in b.column(1).to_pylist()]
+            parts = [folded(t).replace("\n", " ").split(" ") if t else [] for t in b.column(1).to_pylist()]
             fresh = list(set().union(*parts) - known.keys())
             if fresh and len(known) + len(fresh) > KNOWN:
                 known.clear()
