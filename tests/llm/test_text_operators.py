@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -285,13 +286,34 @@ def test_special_tokens_keep_their_case(spark):
     assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == want
 
 
+def test_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    texts = [
+        None, "", " \n\t ", "Straße, ÉCOLE!! naïve... ÿ", "h\u0331 H\u0331 e\u0301 E\u0301 cafe\u0301,", "it's we'LL x'y '' don't.", "a1b22 3.14 foo_bar --- ...", "ǅ İstanbul ΣΑΣ ſ K ẞ",
+        "nb\u00a0sp \u2003em \x1c \x85 x", "漢字 かな 🙂🙂 a🙂b", "<|endoftext|>x <|ENDOFTEXT|>, a<|startoftext|>.", "word.,!?;:#*%$&@ .lead mid.dle ÷ × ª º", "x" * 3000, "ab" * 40 + "." * 200,
+    ]
+    ids, many = repair_codec.WordEncoder(WORDS).documents(pa.array(texts), 7, np.dtype("<u4"))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])]
+    assert got == [[*t.encode(x or "", add_special_tokens=False).ids, 7] for x in texts]
+
+
 def test_segments_decode_single_documents():
     rng = np.random.default_rng(3)
     docs = [np.tile(rng.integers(0, 9, 7), rng.integers(0, 60)).astype("<u4") for _ in range(40)]
-    s = repair_codec.Segment(repair_codec.pack(list(range(40)), [len(d) for d in docs], np.concatenate(docs), 1 << 16))
-    assert len(s.symbols) < sum(map(len, docs)) / 2
-    for k, d in enumerate(docs):
-        assert np.array_equal(s.document(k), d)
+    docs += [np.full(500, 5, "<u4"), rng.integers(0, 1 << 16, 300).astype("<u4")]
+    for first in (1 << 16, (1 << 16) - 2):  # symbols of four and of two bytes, and of four because the rules go beyond
+        mine = [d[d < first] for d in docs]
+        blob = repair_codec.pack(list(range(42)), [len(d) for d in mine], np.concatenate(mine), first)
+        s = repair_codec.Segment(blob)
+        assert len(s.symbols) < sum(map(len, mine)) / 2
+        pairs = list(zip(s.symbols[:-1].tolist(), s.symbols[1:].tolist(), strict=True))
+        assert max(pairs.count(p) for p in set(pairs)) < 2 * repair_codec.LEAST  # overlapping ones count twice
+        for k, d in enumerate(mine):
+            assert np.array_equal(s.document(k), d)
+    small = repair_codec.pack([0], [700], np.tile(np.arange(7), 100).astype("<u4"), 49_408)
+    assert len(small) < 700 and np.array_equal(repair_codec.Segment(small).document(0), np.tile(np.arange(7), 100))
 
 
 def test_leaks_equal_brute_force(spark, nothing):

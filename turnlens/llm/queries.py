@@ -72,7 +72,7 @@ def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repair_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    segments = repair_codec.write(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, first=1 << 16)
+    segments = repair_codec.write(docs, tokenizer_file("word_bpe_49k.json"), end_id=1, first=49_408)
     rows = repair_codec.read(segments).select(
         "bucket", "part", "seq", "doc_id", "within", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"),
     )

@@ -1,31 +1,34 @@
 """Token-id files with Re-Pair grammar compression.
 
 Documents go to ``BUCKETS`` id ranges with parts of about ``ROWS`` rows, sorted by doc_id; each part is
-written as segments of about ``SEGMENT`` ids, in order. A segment is one shard of the grammar: in rounds, the pairs of
-neighbouring symbols that stand at least ``LEAST`` times become nonterminals and replace their
-occurrences from the left. Stored are the rules, the expansion length of every rule, the remaining
-symbols and where each document starts, so any document can be decoded without the others.
+written as segments of about ``SEGMENT`` ids, in order. A segment is one shard of the grammar: in rounds, until no
+pair of neighbouring symbols stands ``LEAST`` times, such pairs become nonterminals and replace their
+occurrences, the more frequent of overlapping pairs first. Stored are the rules, the expansion length of every
+rule, the remaining symbols and where each document starts, so any document can be decoded without the others.
 """
 
 from __future__ import annotations
 
 import os
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut, id_bucket, id_parts, small_batches
+from turnlens.llm.common import cut, id_bucket, id_parts
 
 BUCKETS, ROWS, SEGMENT = 128, 4_000, 1_000_000
-#: A pair becomes a rule from so many occurrences in a segment on; rounds of replacement.
-LEAST, ROUNDS = 24, 8
+#: A pair becomes a rule from so many occurrences in a segment on.
+LEAST = 24
 MAGIC = 0x52455031
-#: Words whose ids a Python worker remembers, from task to task.
-KNOWN = 600_000
+#: Bytes of text whose distinct words a task encodes at once.
+BLOCK = 32_000_000
+#: A word of Latin letters that needs no normalizing but for its case, and marks behind it.
+PLAIN = "^(?P<stem>[a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)(?P<marks>[.,!?;:#*%$&@]*)$"
 
 
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -33,31 +36,41 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     s = ids.astype(np.int64)
     rules: list[np.ndarray] = []
     total = 0
-    for _ in range(ROUNDS):
-        if len(s) < 2 * LEAST:
-            break
+    while len(s) >= 2 * LEAST:
         key = s[:-1] << 32 | s[1:]
         slot = ((key ^ key >> 29) * 0x9E3779B1 >> 13) & 0xFFFFF
         often = np.bincount(slot, minlength=1 << 20) >= LEAST
         at = np.flatnonzero(often[slot])
-        pair, back, n = np.unique(key[at], return_inverse=True, return_counts=True)
-        good = n >= LEAST
-        if not good.any():
+        back, pair = pd.factorize(key[at])
+        n = np.bincount(back)
+        good = n[back] >= LEAST
+        at, back = at[good], back[good]
+        if not len(at):
+            break
+        # of overlapping pairs that are equally frequent, every second one is replaced
+        new_run = np.ones(len(at), bool)
+        new_run[1:] = (at[1:] != at[:-1] + 1) | (n[back[1:]] != n[back[:-1]])
+        place = np.arange(len(at))
+        second = (place - np.maximum.accumulate(np.where(new_run, place, 0))) % 2 == 0
+        at, back = at[second], back[second]
+        # of others the more frequent one goes first; what is left comes back in the next round
+        touch = at[1:] == at[:-1] + 1
+        mine = n[back]
+        take = np.ones(len(at), bool)
+        take[1:] &= ~touch | (mine[1:] > mine[:-1])
+        take[:-1] &= ~touch | (mine[:-1] >= mine[1:])
+        at, back = at[take], back[take]
+        used = np.bincount(back, minlength=len(pair))
+        worth = used >= LEAST // 2
+        at, back = at[worth[back]], back[worth[back]]
+        if not len(at):
             break
-        number = np.cumsum(good) - 1
-        hit = good[back]
-        at, name = at[hit], number[back[hit]]
-        if len(at):  # in a run of overlapping matches, every second one is replaced
-            new_run = np.concatenate([[True], at[1:] != at[:-1] + 1])
-            lead = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
-            take = (np.arange(len(at)) - lead) % 2 == 0
-            at, name = at[take], name[take]
-        s[at] = first + total + name
+        s[at] = first + total + (np.cumsum(worth) - 1)[back]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-        rules.append(np.stack([pair[good] >> 32, pair[good] & 0xFFFFFFFF], axis=1))
-        total += int(good.sum())
+        rules.append(np.stack([pair[worth] >> 32, pair[worth] & 0xFFFFFFFF], axis=1))
+        total += int(worth.sum())
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)).astype("<u4"), s.astype("<u4")
 
 
@@ -70,23 +83,26 @@ def lengths(rules: np.ndarray, first: int) -> np.ndarray:
 
 
 def pack(docs: list[int], counts: list[int], ids: np.ndarray, first: int) -> bytes:
+    """Header, doc_ids and id counts of the documents, expansion lengths of the rules, rules, symbols."""
     rules, symbols = compress(ids, first)
-    head = np.array([MAGIC, first, len(docs), len(rules), len(symbols)], "<i8")
-    return b"".join(x.tobytes() for x in (head, np.array(docs, "<i8"), np.array(counts, "<i8"), lengths(rules, first).astype("<i8"), rules, symbols))
+    width = 2 if first + len(rules) <= 1 << 16 else 4
+    head = np.array([MAGIC, first, len(docs), len(rules), len(symbols), width], "<i8")
+    short = [x.astype(f"<u{width}") for x in (rules, symbols)]
+    return b"".join(x.tobytes() for x in (head, np.array(docs, "<i8"), np.array(counts, "<i8"), lengths(rules, first).astype("<i8"), *short))
 
 
 class Segment:
     """Reader of one packed segment."""
 
     def __init__(self, blob: bytes) -> None:
-        magic, self.first, n_docs, n_rules, n_symbols = np.frombuffer(blob, "<i8", 5).tolist()
+        magic, self.first, n_docs, n_rules, n_symbols, width = np.frombuffer(blob, "<i8", 6).tolist()
         if magic != MAGIC:
             raise ValueError("not a segment of token ids")
-        at = 40
+        at = 48
         self.docs, self.counts, self.lengths = (np.frombuffer(blob, "<i8", n, at + 8 * k) for k, n in ((0, n_docs), (n_docs, n_docs), (2 * n_docs, n_rules)))
         at += 8 * (2 * n_docs + n_rules)
-        self.rules = np.frombuffer(blob, "<u4", 2 * n_rules, at).reshape(-1, 2)
-        self.symbols = np.frombuffer(blob, "<u4", n_symbols, at + 8 * n_rules)
+        self.rules = np.frombuffer(blob, f"<u{width}", 2 * n_rules, at).reshape(-1, 2).astype("<u4")
+        self.symbols = np.frombuffer(blob, f"<u{width}", n_symbols, at + 2 * width * n_rules).astype("<u4")
         self.starts = np.concatenate([[0], np.cumsum(self.counts)])
         size = np.ones(n_symbols, np.int64)
         rule = self.symbols >= self.first
@@ -124,43 +140,100 @@ class Segment:
         return np.split(self.expand(self.symbols), self.starts[1:-1]) if len(self.docs) else []
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 4) -> DataFrame:
-    """(doc_id, ids) of every row of ``docs`` (doc_id, text), ``end_id`` appended; little-endian unsigned ids of ``width`` bytes.
+class WordEncoder:
+    """Ids of words between blanks, each distinct word encoded once.
 
-    The tokenizer must lower-case, end every token at a blank and drop it: words between blanks are
-    encoded once per worker and remembered.
+    The tokenizer must lower-case, end every token at a blank and drop it. Words of Latin letters with
+    marks behind them are what its normalizer leaves alone but for case, and its splitter cuts where the
+    marks begin: their letters go to the library's merge model, all other words whole to its encoder.
     """
-    kind = {2: "H", 4: "I"}[width]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
-        # the library's module outlives a task in its worker
-        stores = tokenizers.__dict__.setdefault("_known_words", {})
-        tokenizer, known = stores.get((tokenizer_path, width)) or (tokenizers.Tokenizer.from_file(tokenizer_path), {})
-        stores[tokenizer_path, width] = tokenizer, known
-        end = array(kind, [end_id]).tobytes()
-        special = [x.content.lower() for x in tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        if any(x.content.split() != [x.content] for x in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens with blanks would be cut apart")
+        as_bytes = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = [c for c in map(chr, [*range(97, 123), *range(0xDF, 0x100)]) if c != "÷"]
+        spelled = {c: as_bytes(c)[0][0] for c in letters}
+        self.spelled = str.maketrans(spelled | {c.upper(): x for c, x in spelled.items() if c not in "ßÿ"})
+
+    def ids(self, stems: list[str], plain: list[bool], kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all stems end to end, number of ids of each)."""
+        merge, spelled = self.tokenizer.model.tokenize, self.spelled
+        flat: list[int] = []
+        sizes = []
+        rest = iter(self.tokenizer.encode_batch_fast([w for w, p in zip(stems, plain, strict=True) if not p], add_special_tokens=False))
+        for w, p in zip(stems, plain, strict=True):
+            some = [t.id for t in merge(w.translate(spelled))] if p else next(rest).ids
+            flat += some
+            sizes.append(len(some))
+        return np.array(flat, kind), np.array(sizes, np.int64)
+
+    def documents(self, texts: pa.Array, end_id: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all ``texts`` end to end with ``end_id`` behind each, number of ids of each)."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        in_text = np.diff(np.asarray(words.offsets))
+        coded = words.flatten().dictionary_encode()
+        cut = pc.extract_regex(coded.dictionary, PLAIN)
+        stems = pc.coalesce(pc.struct_field(cut, "stem"), coded.dictionary).dictionary_encode()
+        marks = pc.fill_null(pc.struct_field(cut, "marks"), "").dictionary_encode()
+        plain = pc.match_substring_regex(stems.dictionary, PLAIN).to_pylist()
+        a, many_a = self.ids(stems.dictionary.to_pylist(), plain, kind)
+        b, many_b = self.ids(marks.dictionary.to_pylist(), [False] * len(marks.dictionary), kind)
+        # the words of the dictionary out of stems and marks, then the texts out of these words
+        two = np.stack([stems.indices.to_numpy(), marks.indices.to_numpy() + len(many_a)], axis=1).ravel()
+        flat, many = gather(np.concatenate([a, b]), np.concatenate([many_a, many_b]), two)
+        many = many.reshape(-1, 2).sum(axis=1)
+        index = coded.indices.to_numpy()
+        text = np.repeat(np.arange(len(in_text)), in_text)
+        out = np.full(int(many[index].sum()) + len(in_text), end_id, kind)
+        done = 0
+        for k in range(0, len(index), 1_000_000):
+            some, sizes = gather(flat, many, index[k : k + 1_000_000])
+            out[done + np.arange(len(some)) + np.repeat(text[k : k + 1_000_000], sizes)] = some
+            done += len(some)
+        return out, np.bincount(text, many[index], len(in_text)).astype(np.int64) + 1
+
+
+def gather(flat: np.ndarray, many: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``index`` of ``flat``, which holds pieces of ``many`` items each; and their sizes."""
+    sizes = many[index]
+    ends = np.cumsum(sizes)
+    start = (np.cumsum(many) - many)[index]
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(start - (ends - sizes), sizes) + np.arange(total)], sizes
+
+
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int, width: int = 4) -> DataFrame:
+    """(doc_id, ids) of every row of ``docs`` (doc_id, text), ``end_id`` appended; little-endian unsigned ids of ``width`` bytes.
+
+    See ``WordEncoder`` for what the tokenizer must be like. Null and empty texts hold the end id alone.
+    """
+    kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = WordEncoder(tokenizer_path)
 
-        def folded(text: str) -> str:
-            """Lower-cased where that is safe: the library looks for its special tokens before it folds case."""
-            low = text.lower() if text.isascii() else text
-            return text if any(x in low for x in special) else low
+        def solve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            ids, many = encoder.documents(pa.chunked_array(whole.column(1)).combine_chunks(), end_id, kind)
+            ends = np.concatenate([[0], np.cumsum(many) * width]).astype(np.int32)
+            coded = pa.Array.from_buffers(pa.binary(), len(many), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+            return pa.record_batch([pa.chunked_array(whole.column(0)).combine_chunks(), coded], names=["doc_id", "ids"])
 
+        held, size = [], 0
         for b in batches:
-            parts = [folded(t).replace("\n", " ").split(" ") if t else [] for t in b.column(1).to_pylist()]
-            fresh = list(set().union(*parts) - known.keys())
-            if fresh and len(known) + len(fresh) > KNOWN:
-                known.clear()
-                fresh = list(set().union(*parts))
-            for k in range(0, len(fresh), 20_000):
-                some = fresh[k : k + 20_000]
-                for w, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[w] = array(kind, e.ids).tobytes()
-            yield pa.record_batch([b.column(0), pa.array([b"".join(map(known.__getitem__, p)) + end for p in parts], pa.binary())], names=["doc_id", "ids"])
-
-    small_batches(docs.sparkSession, 512)
+            held.append(b)
+            size += b.nbytes
+            if size >= BLOCK:
+                yield solve(held)
+                held, size = [], 0
+        if held:
+            yield solve(held)
+
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
@@ -200,9 +273,6 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, first: int, rows: i
 
 def read(segments: DataFrame) -> DataFrame:
     """(doc_id, start, ids) decoded from the segments; ``start`` counts the ids of all documents before."""
-    spark = segments.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, part, seq, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
