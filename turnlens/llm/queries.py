@@ -120,7 +120,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_reply_trees": REPLY_TREES_SQL}
+    return {"op7_secret_linking": secrets_sql(), "op9_reply_trees": REPLY_TREES_SQL}
+
+
+def secrets_sql() -> str:
+    """The scan in SQL: spans from the lengths of matches and of the pieces between them, partners by window extremes."""
+    either = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    assign = secrets.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", either("password|passwd|secret|token|api_?key")).replace("'", "''")
+    kinds = [
+        (assign, f"length(v) >= {secrets.LEAST['assign']}"), (f"AKIA[A-Z0-9]{{{secrets.LEAST['access'] - 4},}}", "true"), (f"[0-9a-f]{{{secrets.LEAST['hex']},}}", "true"),
+        (secrets.WEAK_ID, f"regexp_matches(f, '{secrets.CUT_ACCESS}')"), (secrets.WEAK_SECRET, " AND ".join(f"regexp_matches(f, '{c}')" for c in secrets.CLASSES)), (secrets.ENDPOINT, "true"),
+    ]
+    found = " UNION ALL ".join(
+        f"SELECT rid, {k} AS kind, i, f, g, {keep} AS keep FROM (SELECT rid, unnest(range(1, len(fs) + 1)) AS i, unnest(fs) AS f, unnest(gs[1:len(fs)]) AS g, unnest(vs) AS v FROM ("
+        f"SELECT rid, regexp_extract_all(text, '{p}') AS fs, string_split_regex(text, '{p}') AS gs, regexp_extract_all(text, '{p}', {2 if k == 0 else 0}) AS vs "
+        f"FROM docs WHERE regexp_matches(text, '{p}'){' AND access' if k > 2 else ''}))"
+        for k, (p, keep) in enumerate(kinds)
+    )
+    back, on = "ROWS UNBOUNDED PRECEDING", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    over = lambda what, rows: f"{what} OVER (PARTITION BY rid ORDER BY s, kind, e {rows})"
+    near = lambda k: (
+        f"(coalesce({over(f'max(e) FILTER (kind IN {k})', back)} >= s - {secrets.SCOPE}, false) OR coalesce({over(f'min(s) FILTER (kind IN {k})', on)} <= e + {secrets.SCOPE}, false))"
+    )
+    name = "list_extract([" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "], kind + 1) || ':' || s || ':' || e"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, contains(coalesce(text, ''), 'AKIA') AS access FROM documents),
+found AS ({found}),
+placed AS (SELECT rid, kind, keep, CAST(sum(length(f) + length(g)) OVER (PARTITION BY rid, kind ORDER BY i) AS BIGINT) AS e, length(f) AS n FROM found),
+spans AS (SELECT rid, kind, e - n AS s, e FROM placed WHERE keep),
+parts AS (SELECT * FROM (SELECT *, coalesce({over('max(e) FILTER (kind < 3)', back)} > s, false) OR coalesce({over('min(s) FILTER (kind < 3)', on)} < e, false) AS inside FROM spans) WHERE kind < 3 OR NOT inside),
+near AS (SELECT *, {near('(1, 3)')} AS has_id, {near('(0, 2, 4)')} AS has_secret FROM parts),
+kept AS (SELECT rid, kind, s, e, {name} AS said FROM near WHERE kind < 3 OR (kind = 3 OR has_id) AND (kind = 4 OR has_secret)),
+said AS (SELECT rid, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2,
+  string_agg(said, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY s, kind, e) AS spans FROM kept GROUP BY rid)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN said USING (rid)
+"""
 
 
 REPLY_TREES_SQL = r"""
