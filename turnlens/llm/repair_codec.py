@@ -34,19 +34,15 @@ PLAIN = "^(?P<stem>[a-zA-Zß-öø-ÿÀ-ÖØ-Þ]+)(?P<marks>[.,!?;:#*%$&@]*)$"
 def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """(rules, symbols): rule k stands for the nonterminal ``first + k`` and holds two earlier symbols."""
     s = ids.astype(np.int64)
+    at = np.arange(max(0, len(s) - 1))  # places whose pair may be frequent: at first all
     rules: list[np.ndarray] = []
     total = 0
-    while len(s) >= 2 * LEAST:
-        key = s[:-1] << 32 | s[1:]
-        slot = ((key ^ key >> 29) * 0x9E3779B1 >> 13) & 0xFFFFF
-        often = np.bincount(slot, minlength=1 << 20) >= LEAST
-        at = np.flatnonzero(often[slot])
-        back, pair = pd.factorize(key[at])
+    while len(at):
+        back, pair = pd.factorize(s[at] << 32 | s[at + 1])
         n = np.bincount(back)
         good = n[back] >= LEAST
         at, back = at[good], back[good]
-        if not len(at):
-            break
+        open_ = at
         # of overlapping pairs that are equally frequent, every second one is replaced
         new_run = np.ones(len(at), bool)
         new_run[1:] = (at[1:] != at[:-1] + 1) | (n[back[1:]] != n[back[:-1]])
@@ -66,11 +62,14 @@ def compress(ids: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             break
         s[at] = first + total + (np.cumsum(worth) - 1)[back]
-        keep = np.ones(len(s), bool)
-        keep[at + 1] = False
-        s = s[keep]
         rules.append(np.stack([pair[worth] >> 32, pair[worth] & 0xFFFFFFFF], axis=1))
         total += int(worth.sum())
+        # only the touched neighbours and the frequent pairs not replaced yet can be frequent in the next round
+        next_, keep = np.zeros(len(s), bool), np.ones(len(s), bool)
+        next_[open_] = next_[at] = next_[np.maximum(at - 1, 0)] = True
+        keep[at + 1] = False
+        s, next_ = s[keep], next_[keep]
+        at = np.flatnonzero(next_[:-1])
     return (np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)).astype("<u4"), s.astype("<u4")
 
 
