@@ -24,7 +24,7 @@ def test_best_paths_equal_a_plain_walk(spark):
             if leaf in inner:
                 continue
             path, at = [], leaf
-            while at in mine and (not path or at < path[-1]):
+            while at in mine:
                 path.append(at)
                 at = mine[at][2]
             best.append((-sum(mine[n][5] or 0 for n in path), leaf, path[::-1]))
@@ -40,6 +40,21 @@ def test_best_paths_equal_a_plain_walk(spark):
         assert r.loss == [mine[n][4] for n in want[r.conv_id] if mine[n][3] == "assistant"]
 
 
+def test_cycles_repeats_and_unordered_ids(spark):
+    rows = [
+        (1, 5, 7, "user", "its parent has a greater id", 0.0), (1, 7, None, "assistant", "root", 1.0),
+        (2, 1, 3, "a", "cycle", 1.0), (2, 2, 1, "b", "of", 1.0), (2, 3, 2, "c", "three", 1.0), (2, 9, 3, "d", "tail", 5.0), (2, 8, 9, "e", "end", 0.0),
+        (3, 4, 4, "a", "its own parent", 1.0), (4, 1, None, "user", "b", 0.0), (4, 1, None, "user", "a", 9.0), (4, 1, 77, "user", "0", 9.0), (5, None, 1, "x", "y", 1.0),
+    ]
+    nodes = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, node long, parent long, role string, text string, score double, formatted string, depth int")
+    got = {}
+    for r in reply_trees.best_paths(nodes).orderBy("depth").collect():
+        got.setdefault(r.conv_id, []).append(r.node)
+    assert got == {1: [7, 5], 2: [1, 2, 3, 9, 8], 3: [4], 4: [1]}
+    back = {r.conv_id: [t.text for t in r.turns] for r in reply_trees.read_back(reply_trees.format_paths(nodes)).collect()}
+    assert back[4] == ["a"] and back[1] == ["root", "its parent has a greater id"]
+
+
 def test_linear_conversations(spark):
     schema = "conv_id long, turn long, role string, text string"
     rows = [(1, 1, "assistant", "<|im_start|>x"), (1, 0, "user\n&", None), (1, 1, "assistant", "<|im_start|>x"), (2, None, None, ""), (None, 3, "assistant", "b")]

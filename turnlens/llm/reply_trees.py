@@ -41,24 +41,57 @@ def linear_nodes(turns: DataFrame) -> DataFrame:
     return nodes.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
-    """The ``paths`` best root-to-leaf paths of each conversation: (conv_id, path, depth, node).
+def one_of_each(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with one row per (conv_id, node): of several the first by parent, role, text and score, nulls first."""
+    first = F.min(F.struct("parent", "role", "text", F.col("score").cast("double").alias("score")))
+    return nodes.groupBy("conv_id", "node").agg(first.alias("_")).select("conv_id", "node", "_.*")
 
-    A path's score is the sum of its nodes' scores (null: 0), ties go to the smaller leaf. A parent
-    that does not exist or is not smaller than its child (so no cycle can form) makes a root.
-    """
+
+def upward(ids: DataFrame) -> list[DataFrame]:
+    """Jumps (conv_id, node, up, depth, total, least) of doubling length; in the last one every node has reached its root or runs in a cycle."""
     same = lambda a, b: a.eqNullSafe(b)
-    ids = nodes.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["conv_id", "node"])
     n, p = ids.alias("n"), ids.select("conv_id", "node").alias("p")
-    hop = n.join(p, same(F.col("n.conv_id"), F.col("p.conv_id")) & (F.col("n.parent") == F.col("p.node")) & (F.col("n.parent") < F.col("n.node")), "left")
-    jump = cut(hop.select("n.conv_id", "n.node", F.col("p.node").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("n.score").alias("total")), "reply-jump")
+    hop = n.join(p, same(F.col("n.conv_id"), F.col("p.conv_id")) & (F.col("n.parent") == F.col("p.node")), "left")
+    jump = cut(hop.select("n.conv_id", "n.node", F.col("p.node").alias("up"), F.lit(1).cast("long").alias("depth"), F.col("n.score").alias("total"), F.col("n.node").alias("least")), "reply-jump")
     jumps = [jump]
+    most = None
     while jump.where("up is not null").limit(1).count():
+        if most is None:
+            most = ids.groupBy("conv_id").count().agg(F.max("count")).first()[0]
+        if 2 ** (len(jumps) - 1) > most:
+            break
         a, b = jump.where("up is not null").alias("a"), jump.alias("b")  # nodes that reached their root are done
         joined = a.join(b, same(F.col("a.conv_id"), F.col("b.conv_id")) & (F.col("a.up") == F.col("b.node")))
-        longer = joined.select("a.conv_id", "a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total"))
+        longer = joined.select(
+            "a.conv_id", "a.node", "b.up", (F.col("a.depth") + F.col("b.depth")).alias("depth"), (F.col("a.total") + F.col("b.total")).alias("total"),
+            F.least("a.least", "b.least").alias("least"),
+        )
         jump = cut(longer.unionByName(jump.where("up is null")), "reply-jump")
         jumps.append(jump)
+    return jumps
+
+
+def best_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
+    """The ``paths`` best root-to-leaf paths of each conversation: (conv_id, path, depth, node).
+
+    A path's score is the sum of its nodes' scores (null: 0), ties go to the smaller leaf. A parent that
+    does not exist makes a root; a cycle is opened at its smallest node, which becomes a root. Of several
+    rows with one conv_id and node ``one_of_each`` takes the first; rows with a null node are left out;
+    null conv_ids make one conversation; an empty table gives no paths.
+    """
+    same = lambda a, b: a.eqNullSafe(b)
+    ids = one_of_each(nodes.where("node is not null")).select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    jumps = upward(ids)
+    jump = jumps[-1]
+    if jump.where("up is not null").limit(1).count():
+        # so many steps on, every walk that has not ended is inside its cycle and has gone all the way round it
+        open_ = jump.where("up is not null")
+        inside = open_.select("conv_id", F.col("up").alias("node")).distinct().alias("i")
+        o = open_.select("conv_id", "node", "least").alias("o")
+        heads = o.join(inside, same(F.col("o.conv_id"), F.col("i.conv_id")) & (F.col("o.node") == F.col("i.node")), "left_semi").where("node = least").select("conv_id", "node").alias("h")
+        opened = ids.alias("n").join(heads, same(F.col("n.conv_id"), F.col("h.conv_id")) & (F.col("n.node") == F.col("h.node")), "left")
+        jumps = upward(cut(opened.select("n.conv_id", "n.node", F.when(F.col("h.node").isNull(), F.col("n.parent")).alias("parent"), "n.score"), "reply-opened"))
+        jump = jumps[-1]
     replied = jumps[0].where("up is not null").select(F.col("conv_id").alias("c"), F.col("up").alias("u")).distinct()
     leaves = jump.join(replied, same(F.col("conv_id"), F.col("c")) & (F.col("node") == F.col("u")), "left_anti")
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("total"), "node"))
@@ -75,9 +108,10 @@ def format_paths(nodes: DataFrame, paths: int = 1) -> DataFrame:
     """Each chosen path as one conversation: conv_id, path, formatted, mask.
 
     ``mask`` holds (start, length) in code points of the assistant texts inside ``formatted``. One
-    conversation is one output row, so its turns meet in one task by the nature of the result.
+    conversation is one output row, so its turns meet in one task by the nature of the result. Null roles
+    and texts are empty; columns beside those of nodes are left out; see ``best_paths`` for the rest.
     """
-    a, b = best_paths(nodes, paths).alias("a"), nodes.dropDuplicates(["conv_id", "node"]).alias("b")
+    a, b = best_paths(nodes, paths).alias("a"), one_of_each(nodes).alias("b")
     turns = a.join(b, F.col("a.conv_id").eqNullSafe(F.col("b.conv_id")) & (F.col("a.node") == F.col("b.node"))).select(
         "a.conv_id", "a.path", "a.depth",
         F.replace(escape(F.coalesce("b.role", F.lit(""))), F.lit("\n"), F.lit("&#10;")).alias("role"),
