@@ -372,16 +372,47 @@ def test_leaks_equal_brute_force(spark, nothing):
     assert decontam.leaks(frame(docs, "doc_id"), frame([], "item_id")).count() == 0
 
 
-def test_restorer_reads_disguised_words():
+def little_model():
     plain = "the idiot said that the other idiot is stupid and the clown is pathetic " * 30
+    kinds = toxicity.classes({ord(c): plain.count(c) for c in set(plain)})
+    c = kinds[toxicity.points(plain)].astype(np.int32)
     counts = np.zeros(1 << 18, np.int64)
-    c = toxicity.coded(plain).astype(np.int32)
     np.add.at(counts, c[:-2] << 12 | c[1:-1] << 6 | c[2:], 1)
-    r = toxicity.Restorer(toxicity.language_model(counts))
+    return toxicity.language_model(counts), kinds
+
+
+def test_restorer_reads_disguised_words():
+    r = toxicity.Restorer(*little_model())
     assert r.text("The 1d10t and the cl0wn") == "the idiot and the clown"
     assert r.text("an i d i o t here") == "an idiot here"
     assert r.text("so stuuuupid!") == "so stupid"
+    assert r.text("that\t1d10t\u00a0said") == "that\tidiot\u00a0said"
     assert r.text(None) == "" and r.text("plain words, 2024") == "plain words, 2024"
+    long = "t.h.e.1.d.1.0.t.s.a.i.d." * 20  # no length is too long
+    assert r.text("x " + long).count("theidiotsaid") == 20
+    assert len(r.text("said1" * 60_000)) >= 4 * 60_000
+
+
+def test_viterbi_equals_all_readings():
+    cost, kinds = little_model()
+    rng = np.random.default_rng(9)
+
+    def price(word):
+        """Least cost over every sequence of moves."""
+        open_ = [(0, 0, "", 0.0, "")]
+        for ch in word:
+            after = []
+            for a, b, last, value, said in open_:
+                for x, p in toxicity.moves(ch, last):
+                    k = int(kinds[ord(x)]) if x else 0
+                    after.append((b, k, x, value + p + float(cost[a, b, k]), said + x) if x else (a, b, last, value + p, said))
+            open_ = after
+        return {said: min(v + float(cost[a, b, 0]) for a, b, _, v, s in open_ if s == said) for said in {s for *_, s in open_}}
+
+    for _ in range(150):
+        word = "".join(rng.choice(list("idiotcl10t.-!@|*"), rng.integers(1, 9)))
+        readings = price(word)
+        assert readings[toxicity.restore(word, cost, kinds)] <= min(readings.values()) + 1e-6
 
 
 def test_toxicity_on_few_and_odd_rows(spark, odd, nothing):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnlens.llm.common import small_batches
+from turnlens.llm.common import pieces
 
 #: Characters of text that share one inverted index, and words that a task remembers: both bound its memory.
 BLOCK, KNOWN = 4_000_000, 400_000
@@ -124,7 +124,6 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
     docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
     names = [*docs.columns[:-1], "ids"]
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = Replay(load_ranks(ranks_path))
@@ -142,7 +141,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             return pa.record_batch([*others, pa.array([b"".join(map(known.__getitem__, p)) for p in parts], pa.binary())], names=names)
 
         held, texts, size = [], [], 0
-        for b in batches:
+        for b in pieces(batches):
             held.append(b)
             texts += (more := b.column(len(names) - 1).to_pylist())
             size += sum(len(t or "") for t in more)
@@ -157,14 +156,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids, bytes): the bytes that the ids stand for."""
-    small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(ranks_path)
         table = [b""] * (max(ranks.values()) + 1)
         for word, i in ranks.items():
             table[i] = word
-        for b in batches:
+        for b in pieces(batches):
             back = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(back, pa.binary())], names=["doc_id", "ids", "bytes"])
 

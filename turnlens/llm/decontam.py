@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import id_bounds, id_bucket, small_batches
+from turnlens.llm.common import id_bounds, id_bucket, pieces
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n")
@@ -145,8 +145,6 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     are empty, null item ids are left out; repeated documents each give their rows, repeated item ids
     one; empty tables give no rows. Items are indexed in sets of at most about ``ITEMS``.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
 
@@ -168,7 +166,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
         index = Index([tuple(r) for r in mine.collect()], dict(tuple(r) for r in df.collect()), total, mean or 1.0)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in pieces(batches):
                 rows = [(d, i, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, x in index.leaks(t).items()]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 yield pa.record_batch([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(cols)], names=["doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap"])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut, small_batches
+from turnlens.llm.common import cut, pieces
 from turnlens.llm.components import components
 
 BITS = 2
@@ -60,11 +60,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; ``fp`` is the fingerprint as a signed long. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -210,7 +209,7 @@ def wide_fingerprints(docs: DataFrame, words: int = GROUP_WORDS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for b in batches:
+        for b in pieces(batches):
             nodes, lanes, leasts, sets = [], [], [], []
             for text in b.column(1).to_pylist():
                 h, out = np.unique(shingle_hashes(text, words)), []
@@ -233,7 +232,6 @@ def wide_fingerprints(docs: DataFrame, words: int = GROUP_WORDS) -> DataFrame:
                 names=["doc_id", "node", "n", "lanes", "leasts", "shingles"],
             )
 
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(run, "doc_id long, node long, n long, lanes binary, leasts array<long>, shingles array<long>")
 

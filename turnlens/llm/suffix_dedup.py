@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut, small_batches, whole_text
+from turnlens.llm.common import cut, pieces, whole_text
 
 LENGTH, GRAM = 100, 24
 WINDOWS = LENGTH - GRAM + 1
@@ -212,7 +212,7 @@ def hash_runs(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(2 * BLOCK + LENGTH), [], 0
-        for b in batches:
+        for b in pieces(batches):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 crc = zlib.crc32(data)
@@ -274,7 +274,7 @@ def strings(runs_left: DataFrame, docs: DataFrame) -> DataFrame:
     found = docs.join(asked, ["doc", "crc"]).select("doc", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             for doc, text, asked in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 key, x, y = ([r[k] for r in asked] for k in ("key", "x", "y"))
@@ -325,18 +325,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     come before all others; rows with equal ids are ordered by the crc of their texts; a repeated row
     (equal id and text) counts once and each copy gets the same result. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    small_batches(spark, 1024)
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), whole_text().cast("string").alias("text"))
     settled = cut(settle_runs(hash_runs(keyed)), "repeat-runs")
     known = keyed.select("doc", F.crc32(F.col("text").cast("binary")).alias("crc"), "text")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     compared = cut(compare_runs(strings(settled.where("y >= 0"), known)), "repeat-windows")
     gone = settled.where("y < 0").unionByName(compared).groupBy("doc", (-1 - F.col("y")).alias("crc")).agg(F.collect_list("x").alias("gone"))
     joined = known.join(gone, ["doc", "crc"], "left").select("doc", "text", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             ids, sizes, spans, kept = [], [], [], []
             for doc, text, gone in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
