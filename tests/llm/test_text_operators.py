@@ -265,25 +265,52 @@ def test_ring_overflow_goes_clockwise(spark):
     assert sorted((r.arc, r.shard, r.lo, r.hi) for r in hash_ring.place_arcs(arcs, 3).collect()) == sorted(want)
 
 
-def test_iblt_recovers_the_difference(plain, odd, nothing):
-    rows = iblt.compare_edits(plain).collect()
-    docs = sorted(((r.doc_id, r.text or "") for r in plain.collect()), reverse=True)
-    piece = re.compile(iblt.PIECE)
-    found = {r.doc_id: r for r in rows}
-    for k, (d, t) in enumerate(docs):
-        nxt = docs[(k + 1) % len(docs)][1]
-        cut = len(t) // 3
-        edited = t[: len(t) - cut] + nxt[:cut]
-        a, b, c = (set(piece.findall(x)) for x in (t, edited, nxt))
-        share = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        r = found[d]
-        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(r.near_edited - share(a, b)) < 1e-12 and abs(r.near_next - share(a, c)) < 1e-12
+def test_iblt_recovers_the_difference(spark, plain, odd, nothing):
+    rng = np.random.default_rng(3)
+    line = lambda: "line of " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 12)) + "."
+    base = [line() for _ in range(600)]
+    made = [(1000 + k, "\n".join(base[:n] + [line() for _ in range(m)])) for k, (n, m) in enumerate([(0, 1), (3, 2), (30, 0), (30, 4), (31, 9), (200, 30), (600, 0), (600, 200), (1, 0)])]
+    docs_ = plain.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    for frame, order in ((docs_, lambda r: r.doc_id), (odd, lambda r: -(2**63) if r.doc_id is None else r.doc_id)):
+        rows = iblt.compare_edits(frame).collect()
+        docs = sorted(((order(r), r.text or "") for r in frame.collect()), reverse=True)
+        assert sorted(r.n_chars for r in rows) == sorted(len(t) for _, t in docs)
+        piece = re.compile(iblt.PIECE)
+        found = {r.doc_id: r for r in rows}
+        for k, (d, t) in enumerate(docs if frame is docs_ else []):
+            nxt = docs[(k + 1) % len(docs)][1]
+            cut = len(t) // 3
+            edited = t[: len(t) - cut] + nxt[:cut]
+            a, b, c = (set(piece.findall(x)) for x in (t, edited, nxt))
+            share = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+            r = found[d]
+            assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            assert abs(r.near_edited - share(a, b)) < 1e-12 and abs(r.near_next - share(a, c)) < 1e-12
+            assert (r.fingerprint == r.edited_fingerprint) == (a == b)
+        for r in rows:  # repeated rows and null ids too: each likeness is that of some row with this id
+            mine = [k for k, (d, _) in enumerate(docs) if d == order(r)]
+            assert any(r.n_chars == len(docs[k][1]) for k in mine)
     assert found[4].fingerprint == found[5].fingerprint
-    assert iblt.compare_edits(odd).count() == odd.count()
     assert iblt.compare_edits(nothing).count() == 0
 
 
+def test_small_sketches_peel_in_their_row(spark):
+    rows = [([], []), ([1, 2, 3], [1, 2, 3]), ([1, 2], [2, 3]), (list(range(40)), list(range(1, 41))), ([7], []), (list(range(100)), []), (list(range(5)), list(range(3, 9)))]
+    frame = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(rows)], "k int, one array<long>, two array<long>")
+    got = frame.select("k", iblt.peel_small(iblt.subtract(iblt.sketch(F.col("one")), iblt.sketch(F.col("two")))).alias("d")).collect()
+    want = {k: len(set(a) ^ set(b)) for k, (a, b) in enumerate(rows)}
+    assert {r.k: r.d for r in got if r.d is not None} == {k: want[k] for k, d in want.items() if d < 100 and any(r.k == k and r.d is not None for r in got)}
+    assert all(next(r.d for r in got if r.k == k) == want[k] for k in (0, 1, 2, 3, 4)) and next(r.d for r in got if r.k == 5) is None
+
+
+def test_growing_sketches_never_give_up(spark, monkeypatch):
+    """With an expected difference of nothing, sketches grow until they peel."""
+    monkeypatch.setattr(iblt, "expected_difference", lambda a, b: F.lit(0))
+    texts = [(0, "\n".join(f"left paragraph number {k} is here" for k in range(900))), (1, "\n".join(f"right paragraph number {k} is here" for k in range(900)))]
+    rows = iblt.compare_edits(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert [r.near_next for r in rows] == [0.0, 0.0]
+
+
 def test_successors_cross_parts_and_ranges(spark):
     ids = [*range(0, 40), *range(1000, 1010), 5000]
     docs = spark.createDataFrame([(d, f"t{d}") for d in ids], "doc_id long, text string")

@@ -4,11 +4,14 @@ A text is the set of its paragraphs' digests; a paragraph is a line, long lines
 with a sentence. A sketch has three subtables; each digest goes to one cell of each, where counts add
 up and digests and check hashes are xored. Two sketches of one size subtract cell by cell, equal
 paragraphs vanish, and peeling recovers the rest: a cell with one digest gives it away, and the digest
-leaves its other cells. Subtables take turns, so a digest is never recovered twice. Comparisons that
-do not empty are tried again with cells ``GROW`` times as many, at last by the digests themselves.
-
-All cells of a document stay in the task that holds its id range: the table of digests is bucketed by
-that range, and cells are grouped below it, so no cell is shuffled.
+leaves its other cells.
+
+The fingerprint of a text is its smallest sketch, whole. Two fingerprints are subtracted and peeled in
+their row. Where they differ by more than so few cells hold, larger sketches follow, at first by the
+expected difference (that of an eighth of the digests), then ``GROW`` times larger until all cells
+empty. There subtables take turns, so a digest is never recovered twice, and all cells of a document
+stay in the task that holds its id range: the table of digests is bucketed by that range, and cells are
+grouped below it, so no cell is shuffled.
 """
 
 from __future__ import annotations
@@ -21,12 +24,14 @@ from pyspark.sql import functions as F
 from turnlens.llm.common import cut, id_bucket, id_parts, whole_text
 
 #: Ranges of ids, and rows of a part of a range; a task handles whole parts.
-RANGES, ROWS = 128, 20_000
+RANGES, ROWS = 256, 4_000
 #: A paragraph: up to a line end, or to the end of the first sentence after so many characters.
 PIECE = r"[^\n]{1,40}[^.!?\n]*[.!?]*"
 #: Cells of a subtable in the fingerprint; a power of two.
 CELLS = 4
-TABLES, TURNS, TRIES, GROW = 3, 9, 3, 4
+TABLES, TURNS, GROW = 3, 9, 4
+#: One in so many digests tells the expected difference.
+SAMPLE = 8
 
 
 def digests(text: Column) -> Column:
@@ -43,16 +48,52 @@ def check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(TABLES))
 
 
-def fingerprint(found: Column) -> Column:
-    """The smallest sketch as text: two hex digits of the count and sixteen of the xored digests per cell."""
-    at = lambda t, c: lambda d: position(d, t, CELLS) == c
-    cells = []
-    for t in range(TABLES):
-        for c in range(CELLS):
-            mine = F.filter(found, at(t, c))
-            keys = F.aggregate(mine, F.lit(0).cast("long"), lambda x, d: x.bitwiseXOR(d))
-            cells.append(F.concat(F.lpad(F.hex(F.size(mine) % 256), 2, "0"), F.lpad(F.hex(keys), 16, "0")))
-    return F.lower(F.concat(*cells))
+def sketch(found: Column) -> Column:
+    """The smallest sketch of a set of digests: an array of cells (t, pos, n, d, c)."""
+    items = F.transform(found, lambda d: F.struct(d.alias("d"), check(d).alias("c"), *[position(d, t, CELLS).alias(f"p{t}") for t in range(TABLES)]))
+    zero = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("n", "d", "c")])
+
+    def cell(items: Column, t: int, pos: int) -> Column:
+        add = lambda s, x: F.struct((s.n + 1).alias("n"), s.d.bitwiseXOR(x.d).alias("d"), s.c.bitwiseXOR(x.c).alias("c"))
+        sums = F.aggregate(items, zero, lambda s, x: F.when(x[f"p{t}"] == pos, add(s, x)).otherwise(s))
+        return F.transform(F.array(sums), lambda s: F.struct(F.lit(t).alias("t"), F.lit(pos).cast("long").alias("pos"), s.n.alias("n"), s.d.alias("d"), s.c.alias("c")))[0]
+
+    return F.transform(F.array(items), lambda v: F.array(*[cell(v, t, c) for t in range(TABLES) for c in range(CELLS)]))[0]
+
+
+def fingerprint(cells: Column) -> Column:
+    """A smallest sketch as text: four hex digits of the count, sixteen each of the xored digests and check hashes per cell."""
+    wide = lambda x: F.lpad(F.hex(x), 16, "0")
+    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c.n % 65_536), 4, "0"), wide(c.d), wide(c.c))), ""))
+
+
+def subtract(one: Column, two: Column) -> Column:
+    """Difference of two sketches of one size."""
+    return F.zip_with(one, two, lambda a, b: F.struct(a.t.alias("t"), a.pos.alias("pos"), (a.n - b.n).alias("n"), a.d.bitwiseXOR(b.d).alias("d"), a.c.bitwiseXOR(b.c).alias("c")))
+
+
+def peel_small(cells: Column) -> Column:
+    """Number of digests in which two smallest sketches with the difference ``cells`` differ; null if it does not peel."""
+    empty = lambda c: (c.n == 0) & (c.d == 0) & (c.c == 0)
+
+    def step(state: Column, _: Column) -> Column:
+        pure = F.filter(state.cells, lambda c: (F.abs(c.n) == 1) & (c.c == check(c.d)))
+        spots = lambda p: F.array(*[position(p.d, t, CELLS) for t in range(TABLES)])
+
+        def without(found: Column) -> Column:
+            at = F.transform(F.array(found), lambda p: F.struct(p.n.alias("n"), p.d.alias("d"), p.c.alias("c"), spots(p).alias("spots")))
+            return F.transform(at, lambda p: F.struct(
+                F.transform(state.cells, lambda c: F.when(c.pos == p.spots[c.t], F.struct(
+                    c.t.alias("t"), c.pos.alias("pos"), (c.n - p.n).alias("n"), c.d.bitwiseXOR(p.d).alias("d"), c.c.bitwiseXOR(p.c).alias("c"),
+                )).otherwise(c)).alias("cells"),
+                (state.found + 1).alias("found"),
+            ))[0]
+
+        return F.transform(F.array(pure), lambda p: F.when(F.size(p) > 0, without(p[0])).otherwise(state))[0]
+
+    steps = F.sequence(F.lit(1), F.lit(TABLES * CELLS))
+    start = F.struct(cells.alias("cells"), F.lit(0).cast("long").alias("found"))
+    return F.aggregate(steps, start, step, lambda s: F.when(F.forall(s.cells, empty), s.found))
 
 
 def following(docs: DataFrame, ranges: int = RANGES, part_rows: int = ROWS) -> DataFrame:
@@ -85,7 +126,8 @@ def peel(pairs: DataFrame, turns: int = TURNS) -> DataFrame:
     """Peel the differences of sketches.
 
     ``pairs``: range, rid, cmp, cells and the digest arrays ``one`` and ``two``. Returns range, rid,
-    cmp, differing (digests recovered) and left (cells that did not empty).
+    cmp, differing (digests recovered) and left (cells that did not empty); no row where all digests
+    cancel at once.
     """
     key = ["range", "rid", "cmp", "cells", "t", "pos"]
 
@@ -117,13 +159,21 @@ def power_of_two(n: Column) -> Column:
     return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(4))))).cast("long")
 
 
+def expected_difference(one: Column, two: Column) -> Column:
+    """Differing digests as those with the lowest bits zero tell it; 64-bit digests fall there evenly."""
+    some = lambda found: F.filter(found, lambda d: d.bitwiseAND(F.lit(SAMPLE - 1)) == 0)
+    one, two = some(one), some(two)
+    return SAMPLE * (F.size(F.array_except(one, two)) + F.size(F.array_except(two, one)))
+
+
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how near they are.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     Likeness is the Jaccard share of the digests: (sizes - differing) / (sizes + differing), 1 if
     neither text has a paragraph. Null texts are empty; an only row follows itself; repeated rows and
-    null ids each keep their row; an empty table gives no rows.
+    null ids each keep their row; an empty table gives no rows; other columns are left out. The table of
+    digests stays in the warehouse, since the result reads it.
     """
     spark = docs.sparkSession
     n = F.char_length("text")
@@ -134,34 +184,35 @@ def compare_edits(docs: DataFrame) -> DataFrame:
         digests(F.col("text")).alias("own"), digests(F.col("next_text")).alias("next"),
     )
     rows = rows.select("range", F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("edit"), "next")
+    rows = rows.withColumns({"a": sketch(F.col("own")), "b": sketch(F.col("edit")), "c": sketch(F.col("next"))})
+    rows = rows.select(
+        "range", "rid", "doc_id", "n_chars", "edited_sha256", "own", "edit", "next", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"),
+        peel_small(subtract(F.col("a"), F.col("b"))).alias("d1"), peel_small(subtract(F.col("a"), F.col("c"))).alias("d2"),
+    )
     name = f"iblt_{uuid.uuid4().hex}"
     rows.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").saveAsTable(name)
     rows = spark.table(name)
 
-    both = F.array(F.struct(F.lit(1).alias("cmp"), F.col("own").alias("one"), F.col("edit").alias("two")), F.struct(F.lit(2).alias("cmp"), F.col("own").alias("one"), F.col("next").alias("two")))
-    pairs = rows.select("range", "rid", F.inline(both))
-    total = F.size("one") + F.size("two")
-    first = power_of_two(total / 3 + 1)
-    done, todo = [], pairs
-    for k in range(TRIES):
-        tried = todo.where(total > 0).withColumn("cells", first * GROW**k)
+    both = F.array(*[F.struct(F.lit(k).alias("cmp"), F.col("own").alias("one"), F.col(two).alias("two"), F.col(f"d{k}").alias("d")) for k, two in ((1, "edit"), (2, "next"))])
+    pairs = rows.select("range", "rid", F.inline(F.filter(both, lambda x: x.d.isNull())))
+    first = power_of_two(expected_difference(F.col("one"), F.col("two")) / 2 + 2 * CELLS)
+    done, todo, grown = [], pairs, 1
+    while todo is not None:
         # where all digests cancel, no cell is left to report: such a comparison differs in nothing
-        out = cut(peel(tried), "iblt-peeled")
+        out = cut(peel(todo.withColumn("cells", first * grown)), "iblt-peeled")
         done.append(out.where("left = 0").select("rid", "cmp", "differing"))
         failed = out.where("left > 0").select("rid", "cmp")
-        if not failed.limit(1).count():
-            todo = None
-            break
-        todo = pairs.join(failed, ["rid", "cmp"])
-    if todo is not None:
-        exact = F.size(F.array_except("one", "two")) + F.size(F.array_except("two", "one"))
-        done.append(todo.select("rid", "cmp", exact.cast("long").alias("differing")))
+        todo = pairs.join(failed, ["rid", "cmp"]) if failed.limit(1).count() else None
+        grown *= GROW
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
-    found = found.groupBy("rid").agg(F.max(F.when(F.col("cmp") == 1, F.col("differing"))).alias("d1"), F.max(F.when(F.col("cmp") == 2, F.col("differing"))).alias("d2"))
+    found = found.groupBy("rid").agg(*[F.max(F.when(F.col("cmp") == k, F.col("differing"))).alias(f"more{k}") for k in (1, 2)])
+
+    kept = rows.select("rid", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "d1", "d2", F.size("own").alias("n_own"), F.size("edit").alias("n_edit"), F.size("next").alias("n_next"))
+
+    def share(size: str, k: int) -> Column:
+        total, differing = F.col("n_own") + F.col(size), F.coalesce(f"d{k}", f"more{k}", F.lit(0))
+        return F.when(total == 0, F.lit(1.0)).otherwise((total - differing) / (total + differing))
 
-    kept = rows.select("rid", "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("edit")).alias("edited_fingerprint"), F.size("own").alias("n_own"), F.size("edit").alias("n_edit"), F.size("next").alias("n_next"))
-    out = kept.join(found, "rid", "left")
-    share = lambda size, d: F.when(F.col("n_own") + F.col(size) == 0, F.lit(1.0)).otherwise((F.col("n_own") + F.col(size) - F.coalesce(d, F.lit(0))) / (F.col("n_own") + F.col(size) + F.coalesce(d, F.lit(0))))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", share("n_edit", "d1").alias("near_edited"), share("n_next", "d2").alias("near_next"))
+    return kept.join(found, "rid", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", share("n_edit", 1).alias("near_edited"), share("n_next", 2).alias("near_next"))
