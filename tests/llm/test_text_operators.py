@@ -145,10 +145,10 @@ def test_representatives_equal_brute_force_around_the_limit(spark):
         assert len(kept - want) <= 1  # dealing misses 2 of 1000 pairs at 0.8
 
 
-def test_suffix_dedup_equals_brute_force(odd, nothing):
-    got = {(r.doc_id, r.n_bytes): (r.spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(odd).collect()}
-    docs = sorted({(-(2**63) if r.doc_id is None else r.doc_id, zlib.crc32((r.text or "").encode()), (r.text or "").encode()) for r in odd.collect()})
-    seen = set()
+def without_repeats(docs):
+    """(doc, size) -> (kept bytes, number of spans) by brute force over (doc, text)."""
+    docs = sorted({(-(2**63) if d is None else d, zlib.crc32((t or "").encode()), (t or "").encode()) for d, t in docs})
+    seen, out = set(), {}
     for doc, _, data in docs:
         gone = bytearray(len(data))
         for p in range(len(data) - 99):
@@ -156,12 +156,36 @@ def test_suffix_dedup_equals_brute_force(odd, nothing):
             if w in seen:
                 gone[p : p + 100] = b"\1" * 100
             seen.add(w)
-        spans, kept = got[None if doc == -(2**63) else doc, len(data)]
-        assert kept == bytes(b for b, g in zip(data, gone, strict=True) if not g)
-        assert len(spans) == sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        kept = bytes(b for b, g in zip(data, gone, strict=True) if not g)
+        out[None if doc == -(2**63) else doc, len(data)] = kept, sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+    return out
+
+
+def test_suffix_dedup_equals_brute_force(odd, nothing):
+    rows = suffix_dedup.remove_repeats(odd).collect()
+    assert len(rows) == odd.count()
+    want = without_repeats((r.doc_id, r.text) for r in odd.collect())
+    assert {(r.doc_id, r.n_bytes): (bytes(r.kept), len(r.spans)) for r in rows} == want
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_crowded_anchors_are_split(spark, monkeypatch):
+    """A passage in all documents, whole or in part, with other bytes around it: with few strings a collection and small blocks."""
+    rng = np.random.default_rng(12)
+    noise = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    passage = noise(260)
+    docs = [(k, noise(int(rng.integers(0, 130))) + passage[int(rng.integers(0, 3)) * 40 :][: int(rng.integers(120, 260))] + noise(int(rng.integers(0, 130)))) for k in range(80)]
+    docs += [(200 + k, "z" * (90 + 7 * k) + noise(3)) for k in range(12)] + [(300, passage * 2), (301, passage * 2), (7, docs[7][1])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 400)
+    want = without_repeats(docs)
+    for limit in (60_000, 5, 1):
+        monkeypatch.setattr(suffix_dedup, "STRINGS", limit)
+        rows = suffix_dedup.remove_repeats(frame).collect()
+        assert len(rows) == len(docs)
+        assert {(r.doc_id, r.n_bytes): (bytes(r.kept), len(r.spans)) for r in rows} == want
+
+
 def test_column_orders_are_suffix_orders():
     rng = np.random.default_rng(2)
     rows = [bytes(rng.integers(97, 99, rng.integers(1, 12)).tolist()) for _ in range(60)]

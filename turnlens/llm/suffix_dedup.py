@@ -13,12 +13,16 @@ longest text over the whole collection, so the collection is first cut to the st
    inserted symbols, which are the Burrows-Wheeler column of the order before) and updates the common
    prefixes of neighbours by range minima. The columns lie in an external file that is read
    sequentially. Neighbours with ``LENGTH`` bytes in common are equal windows.
+3. An anchor with over ``STRINGS`` runs (a passage that very many documents share) is split by the bytes
+   around it: first the windows that reach further before it from those that reach further behind it,
+   then each half again, until a part is small or holds one window alone. No task holds a whole anchor.
 
-Every window of every text is covered, and comparisons in step 2 are of bytes, not hashes.
+Every window of every text is covered, and comparisons in steps 2 and 3 are of bytes, not hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import zlib
@@ -318,6 +322,57 @@ def compare_runs(parts: DataFrame) -> DataFrame:
     return parts.repartition("key").sortWithinPartitions("key").mapInArrow(run, ROW)
 
 
+def halves(parts: DataFrame) -> DataFrame:
+    """Each string (key, low, high, ...) as at most two: its windows with the anchor ``low`` to the middle and above the middle bytes behind their start.
+
+    All windows of one half share the bytes that reach as far before and behind the anchor as each of them
+    does; the new key hashes these, so equal windows still have equal keys.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, 1024):
+            out = []
+            for key, doc, x, y, part, low, high in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                before, n, middle = y >> 8 & 255, y & 255, (low + high) // 2
+                for a, z in ((low, middle), (middle + 1, high)):
+                    first, last = max(0, before - z), min(n - 1, before - a)
+                    if first > last:
+                        continue
+                    shared = part[before - a : before - z + LENGTH]
+                    digest = hashlib.blake2b(key.to_bytes(8, "big", signed=True) + bytes([a, z]) + shared, digest_size=8).digest()
+                    out.append((int.from_bytes(digest, "big", signed=True), doc, x + first, y >> 16 << 16 | before - first << 8 | last - first + 1, part[first : last + LENGTH], a, z))
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            yield pa.record_batch([pa.array(c, pa.binary() if k == 4 else pa.int32() if k > 4 else pa.int64()) for k, c in enumerate(columns)], names=["key", "doc", "x", "y", "part", "low", "high"])
+
+    return parts.select("key", "doc", "x", "y", "part", "low", "high").mapInArrow(run, "key long, doc long, x long, y long, part binary, low int, high int")
+
+
+def settle_windows(leaves: DataFrame) -> DataFrame:
+    """The intervals of single windows (key, doc, x, y, part) that an equal one comes before: a minimum per window, whatever their number."""
+    place = F.struct("doc", F.shiftright("y", 16).alias("crc"), "x")
+    first = leaves.groupBy("key", "part").agg(F.min(place).alias("first"))
+    late = leaves.join(first, ["key", "part"]).where(place > F.col("first"))
+    end = F.shiftleft(F.col("x") + LENGTH, 32).bitwiseOR(F.col("x"))
+    return late.select(F.col("doc").alias("key"), F.lit(0).cast("long").alias("hash"), "doc", end.alias("x"), (-1 - F.shiftright("y", 16)).alias("y"))
+
+
+def repeats(runs_left: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Step 2 for all runs: an anchor of more than ``limit`` runs is split by the bytes around it, again and again, so that no task holds it."""
+    limit = STRINGS if limit is None else limit
+    crowded = cut(runs_left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select("key"), "crowded-anchors")
+    out = compare_runs(strings(runs_left.join(crowded, "key", "left_anti"), docs))
+    group = ["key", "low", "high"]
+    left = strings(runs_left.join(crowded, "key", "left_semi"), docs).withColumns({"low": F.lit(0), "high": F.lit(WINDOWS - 1)}) if crowded.limit(1).count() else None
+    while left is not None:
+        split = cut(halves(left), "split-anchors")
+        crowded = cut(split.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit).select(*group), "crowded-anchors")
+        calm = split.join(crowded, group, "left_anti").select("key", "doc", "x", "y", "part")
+        again = split.join(crowded, group, "left_semi")
+        out = out.unionByName(compare_runs(calm)).unionByName(settle_windows(again.where("low = high")))
+        left = again.where("low < high") if crowded.where("low < high").limit(1).count() else None
+    return out
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the maximal removed spans (start, end) in bytes, and the bytes left.
 
@@ -328,7 +383,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), whole_text().cast("string").alias("text"))
     settled = cut(settle_runs(hash_runs(keyed)), "repeat-runs")
     known = keyed.select("doc", F.crc32(F.col("text").cast("binary")).alias("crc"), "text")
-    compared = cut(compare_runs(strings(settled.where("y >= 0"), known)), "repeat-windows")
+    compared = cut(repeats(settled.where("y >= 0"), known), "repeat-windows")
     gone = settled.where("y < 0").unionByName(compared).groupBy("doc", (-1 - F.col("y")).alias("crc")).agg(F.collect_list("x").alias("gone"))
     joined = known.join(gone, ["doc", "crc"], "left").select("doc", "text", "gone")
 
