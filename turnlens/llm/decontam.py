@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnlens.llm.common import id_bounds, id_bucket, pieces
 
@@ -141,9 +142,10 @@ class Index:
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, shingle_overlap, question_overlap, answer_overlap) of every leaked item.
 
-    ``docs`` (doc_id, text), ``items`` (item_id, text). Items without words match nothing, null texts
-    are empty, null item ids are left out; repeated documents each give their rows, repeated item ids
-    one; empty tables give no rows. Items are indexed in sets of at most about ``ITEMS``.
+    ``docs`` (doc_id, text), ``items`` (item_id, text); a doc_id may be a string. Items without words match
+    nothing, null texts are empty, null item ids are left out, null doc_ids are kept; repeated documents each
+    give their rows, of repeated item ids the least text counts; empty tables give no rows; texts of any
+    length are searched whole, window by window. Items are indexed in sets of at most about ``ITEMS``.
     """
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
@@ -156,9 +158,11 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     terms = items.mapInArrow(said, "item_id long, term string, size long")
     total, mean = items.count(), terms.groupBy("item_id").agg(F.max("size").alias("size")).agg(F.avg("size")).first()[0]
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    columns = "doc_id long, item_id long, score double, shingle_overlap double, question_overlap double, answer_overlap double"
+    named = docs.schema["doc_id"].dataType == T.StringType()
+    docs = docs.select(F.col("doc_id").cast("string" if named else "long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    columns = f"doc_id {'string' if named else 'long'}, item_id long, score double, shingle_overlap double, question_overlap double, answer_overlap double"
     bounds = id_bounds(items, math.ceil(total / ITEMS), "item_id") if total > ITEMS else []
+    kinds = [pa.string() if named else pa.int64(), pa.int64(), *[pa.float64()] * 4]
     frames = []
     for part in range(len(bounds) + 1):
         mine = items.where(id_bucket(bounds, "item_id") == part)
@@ -169,7 +173,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
             for b in pieces(batches):
                 rows = [(d, i, *x) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, x in index.leaks(t).items()]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
-                yield pa.record_batch([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(cols)], names=["doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap"])
+                yield pa.record_batch([pa.array(c, kinds[k]) for k, c in enumerate(cols)], names=["doc_id", "item_id", "score", "shingle_overlap", "question_overlap", "answer_overlap"])
 
         frames.append(docs.mapInArrow(run, columns))
     out = frames[0]

@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def wide_fingerprints(docs: DataFrame, words: int = GROUP_WORDS) -> DataFrame:
-    """(doc_id, node, n, lanes, leasts, shingles) over the distinct shingle hashes of each text.
+    """(doc_id, key, node, n, lanes, leasts, shingles) of ``docs`` (doc_id, key, text), over the distinct shingle hashes of each text.
 
     ``node`` hashes the whole set, ``lanes`` is its SimHash in ``LANES`` lanes of 64 bits as bytes, ``leasts`` the least hashes of ``LEASTS`` lanes.
     """
@@ -211,7 +211,7 @@ def wide_fingerprints(docs: DataFrame, words: int = GROUP_WORDS) -> DataFrame:
         add = np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in pieces(batches):
             nodes, lanes, leasts, sets = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 h, out = np.unique(shingle_hashes(text, words)), []
                 low = np.zeros(LEASTS, np.uint64)
                 for k in range(LANES):
@@ -228,12 +228,12 @@ def wide_fingerprints(docs: DataFrame, words: int = GROUP_WORDS) -> DataFrame:
                 sets.append(h.view(np.int64))
             longs = pa.list_(pa.int64())
             yield pa.record_batch(
-                [b.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), pa.array(lanes, pa.binary()), pa.array(leasts, longs), pa.array(sets, longs)],
-                names=["doc_id", "node", "n", "lanes", "leasts", "shingles"],
+                [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), pa.array(lanes, pa.binary()), pa.array(leasts, longs), pa.array(sets, longs)],
+                names=["doc_id", "key", "node", "n", "lanes", "leasts", "shingles"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, node long, n long, lanes binary, leasts array<long>, shingles array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "doc_id long, key string, node long, n long, lanes binary, leasts array<long>, shingles array<long>")
 
 
 def differing_bits(similar: float, bits: int = 64 * LANES, sigmas: float = 4.8) -> int:
@@ -325,15 +325,18 @@ def similar_links(sets: DataFrame, rows: DataFrame, similar: float = SIMILAR, bl
 
 
 def representatives(docs: DataFrame, words: int = GROUP_WORDS, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
-    """(doc_id) of the smallest id of each group of near copies of ``docs`` (doc_id, text).
+    """(doc_id, key) of the row with the smallest id of each group of near copies of ``docs`` (doc_id, key, text).
 
     Two texts link when the sets of their shingles have a Jaccard similarity of at least ``similar``, checked
     exactly. Pairs are missed only by dealing: texts of similarity 0.8 share two of six least hashes in 998 of
-    1000 cases. Empty texts are equal to each other; rows with null ids are left out.
+    1000 cases. Empty and null texts are equal to each other; null ids come after all others, equal ids go by
+    ``key`` (by default the id as text); an empty table gives no rows.
     """
-    rows = cut(wide_fingerprints(docs.where("doc_id is not null"), words), "simhash-wide")
-    least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "n", "lanes", "leasts")).alias("x"))
+    keyed = docs if "key" in docs.columns else docs.withColumn("key", F.col("doc_id").cast("string"))
+    rows = cut(wide_fingerprints(keyed, words), "simhash-wide")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    least = rows.groupBy("node").agg(F.min(F.struct(order.alias("row"), "n", "lanes", "leasts")).alias("x"))
     sets = cut(least.select("node", "x.*"), "simhash-sets")
     roots = components(similar_links(sets, rows, similar, block))
-    groups = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("doc_id").alias("doc_id"))
-    return groups.select("doc_id").distinct()
+    groups = sets.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
+    return groups.select("row.doc_id", "row.key")
