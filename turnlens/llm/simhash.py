@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut, pieces
+from turnlens.llm.common import cut, drop, pieces
 from turnlens.llm.components import components
 
 BITS = 2
@@ -204,7 +204,8 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def wide_fingerprints(docs: DataFrame, words: int = GROUP_WORDS) -> DataFrame:
     """(doc_id, key, node, n, lanes, leasts, shingles) of ``docs`` (doc_id, key, text), over the distinct shingle hashes of each text.
 
-    ``node`` hashes the whole set, ``lanes`` is its SimHash in ``LANES`` lanes of 64 bits as bytes, ``leasts`` the least hashes of ``LEASTS`` lanes.
+    ``node`` hashes the whole set, ``shingles`` is the set in 32 bits a hash, sorted (so two texts of 20,000 words share
+    one by chance in one case of ten, far below any limit of similarity); ``lanes`` is its SimHash in ``LANES`` lanes of 64 bits as bytes, ``leasts`` the least hashes of ``LEASTS`` lanes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,15 +226,15 @@ def wide_fingerprints(docs: DataFrame, words: int = GROUP_WORDS) -> DataFrame:
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 43))
                 lanes.append(np.array(out, np.uint64).tobytes())
                 leasts.append(low.view(np.int64).tolist())
-                sets.append(h.view(np.int64))
-            longs = pa.list_(pa.int64())
+                sets.append(np.unique(h.astype(np.uint32)).view(np.int32))
+            longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
             yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), pa.array(lanes, pa.binary()), pa.array(leasts, longs), pa.array(sets, longs)],
+                [b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), pa.array(lanes, pa.binary()), pa.array(leasts, longs), pa.array(sets, ints)],
                 names=["doc_id", "key", "node", "n", "lanes", "leasts", "shingles"],
             )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("key").cast("string").alias("key"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, key string, node long, n long, lanes binary, leasts array<long>, shingles array<long>")
+    return texts.mapInArrow(run, "doc_id long, key string, node long, n long, lanes binary, leasts array<long>, shingles array<int>")
 
 
 def differing_bits(similar: float, bits: int = 64 * LANES, sigmas: float = 4.8) -> int:
@@ -257,15 +258,67 @@ def as_lanes(column: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(column.tolist()), np.uint64).reshape(-1, LANES)
 
 
+def sets_of(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(node, shingles) of the asked ``nodes``, once each."""
+    return rows.select("node", "shingles").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node"])
+
+
 def verified(pairs: DataFrame, rows: DataFrame, similar: float) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets, in ``rows`` (node, shingles), have a Jaccard similarity of at least ``similar``."""
     pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(rows.select("node", "shingles").dropDuplicates(["node"]).join(asked, "node", "left_semi"), "simhash-asked")
+    sets = cut(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), rows), "simhash-asked")
     side = lambda k: sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}"))
     both = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").where(both / (F.size("sa") + F.size("sb") - both) >= similar)
-    return cut(found.select("a", "b"), "simhash-links")
+    links = cut(found.select("a", "b"), "simhash-links")
+    drop(pairs)
+    drop(sets)
+    return links
+
+
+class SetIndex:
+    """Inverted index from shingles to the sets that hold them."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(x) for x in sets])
+        flat, who = np.concatenate([*sets, np.zeros(0, np.int32)]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.who = flat[order], who[order]
+
+    def similarity(self, asked: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of a set to each set of the index; empty sets are equal."""
+        low, high = np.searchsorted(self.flat, asked), np.searchsorted(self.flat, asked, "right")
+        many = high - low
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        both = np.bincount(self.who[at], minlength=len(self.sizes))
+        return np.where(self.sizes + len(asked) == 0, 1.0, both / np.maximum(self.sizes + len(asked) - both, 1))
+
+
+def spanning(asks: np.ndarray, root: np.ndarray, n: np.ndarray, lanes: np.ndarray, sets: np.ndarray, similar: float) -> tuple[list[int], list[int]]:
+    """Links between rows that ask and rows that do not, as many as join the roots that have similar members: fewer than there are rows.
+
+    SimHash lanes say which rows may be similar; the sets of those decide.
+    """
+    q, m = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
+    local = np.unique(root, return_inverse=True)[1]
+    top = np.arange(local.max() + 1)  # root of each root in this group
+    index, a, b = None, [], []
+    for k in range(0, len(q), 128):
+        some = q[k : k + 128]
+        bits = near(lanes[some], lanes[m], n[some], n[m], similar)
+        for row, i in zip(bits, some, strict=True):
+            maybe = np.flatnonzero((row < 1000) & (top[local[i]] != top[local[m]]))
+            if not len(maybe):
+                continue
+            if index is None:
+                index = SetIndex([sets[x] for x in m])
+            hit = maybe[index.similarity(sets[i])[maybe] >= similar]
+            others, first = np.unique(top[local[m[hit]]], return_index=True)
+            if len(others):
+                a += [i] * len(others)
+                b += m[hit[first]].tolist()
+                top[np.isin(top, others)] = top[local[i]]
+    return a, b
 
 
 def similar_links(sets: DataFrame, rows: DataFrame, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
@@ -274,7 +327,8 @@ def similar_links(sets: DataFrame, rows: DataFrame, similar: float = SIMILAR, bl
     Sets that share two of their ``LEASTS`` least hashes have a key in common. First each proposes its nearest
     one among up to ``block`` sets of a key; the exact links of these give components. Then, in the
     keys that still hold several components, every two sets of different ones are compared by their
-    SimHash lanes, block by block, and what may be similar is compared exactly.
+    SimHash lanes, block by block, and what may be similar is compared exactly where it meets; a block
+    returns the links that join its components, never its pairs.
     """
     two = [F.xxhash64(F.lit(LEASTS * i + j), F.col("leasts")[i], F.col("leasts")[j]) for i in range(LEASTS) for j in range(i)]
     keys = sets.select(F.explode(F.array(*two)).alias("key"), "node", "n", "lanes")
@@ -303,25 +357,24 @@ def similar_links(sets: DataFrame, rows: DataFrame, similar: float = SIMILAR, bl
     each = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
     mixed = each.groupBy("key").agg(F.max_by("root", "rows").alias("main"), F.sum("rows").alias("rows"), F.max("rows").alias("of_main")).where("rows > of_main")
     mixed = mixed.withColumn("few", F.col("rows") - F.col("of_main"))
-    left = cut(named.join(mixed, "key"), "simhash-open")
+    left = named.join(mixed, "key")
+    left = cut(left.join(cut(sets_of(left.select("node"), rows), "simhash-open-sets"), "node"), "simhash-open")
     # every set of a key meets every set outside its main component in one of blocks x chunks
     grid = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    asked = left.where("root <> main").select("key", part(blocks("few"), 2).alias("chunk"), F.explode(grid(blocks("rows"))).alias("block"), F.lit(1).alias("asks"), "node", "root", "n", "lanes")
-    met = left.select("key", F.explode(grid(blocks("few"))).alias("chunk"), part(blocks("rows"), 1).alias("block"), F.lit(0).alias("asks"), "node", "root", "n", "lanes")
+    asked = left.where("root <> main").select("key", part(blocks("few"), 2).alias("chunk"), F.explode(grid(blocks("rows"))).alias("block"), F.lit(1).alias("asks"), "node", "root", "n", "lanes", "shingles")
+    met = left.select("key", F.explode(grid(blocks("few"))).alias("chunk"), part(blocks("rows"), 1).alias("block"), F.lit(0).alias("asks"), "node", "root", "n", "lanes", "shingles")
     pairs = met.unionByName(asked).repartition("key", "block", "chunk").sortWithinPartitions("key", "block", "chunk")
-    pairs = pairs.select("key", "block", "chunk", "asks", "node", "root", "n", "lanes")
+    pairs = pairs.select("key", "block", "chunk", "asks", "node", "root", "n", "lanes", "shingles")
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for asks, node, root, n, lanes in in_groups(batches, 3):
-            lanes = as_lanes(lanes)
-            q, m = np.flatnonzero(asks == 1), np.flatnonzero(asks == 0)
-            for k in range(0, len(q), 128):
-                some = q[k : k + 128]
-                bits = near(lanes[some], lanes[m], n[some], n[m], similar)
-                x, y = np.nonzero((bits < 1000) & (root[some][:, None] != root[m][None, :]))
-                yield pa.record_batch([pa.array(node[some[x]]), pa.array(node[m[y]])], names=["a", "b"])
-
-    return sure.unionByName(verified(pairs.mapInArrow(others, "a long, b long"), rows, similar))
+        for asks, node, root, n, lanes, found in in_groups(batches, 3):
+            a, b = spanning(asks, root, n, as_lanes(lanes), found, similar)
+            yield pa.record_batch([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    more = cut(pairs.mapInArrow(others, "a long, b long").distinct(), "simhash-more-links")
+    drop(shared)
+    drop(left)
+    return sure.unionByName(more)
 
 
 def representatives(docs: DataFrame, words: int = GROUP_WORDS, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
