@@ -52,27 +52,45 @@ def normalized_models(models: DataFrame, rates: DataFrame) -> DataFrame:
     return distinct.join(best, "model", "left")
 
 
+def rate_families(rates: DataFrame) -> DataFrame:
+    """(head, keys): the models with rates that begin with one dash-delimited word, longest first."""
+    key = F.struct((-F.char_length("model")).alias("order"), F.col("model").alias("key"))
+    return rates.groupBy(F.split("model", "-")[0].alias("head")).agg(F.array_sort(F.collect_set(key)).alias("keys"))
+
+
+def rate_intervals(rates: DataFrame) -> DataFrame:
+    """(key, tier, since, until, rate_<kind>): for each model and tier, non-overlapping times and the rates in force then.
+
+    Rows of the tier win over rows of none, then the later start, then the later declared one; the last interval is open.
+    """
+    each = rates.groupBy(F.col("model").alias("key")).agg(F.collect_list(F.struct("tier", "kind", "effective_from", "effective_until", "ord", "rate_micro")).alias("rows"))
+    bounds = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.transform("rows", lambda r: r.effective_from), F.transform("rows", lambda r: r.effective_until)))))
+    cut = each.withColumn("bounds", bounds).select("key", "rows", "bounds", F.posexplode("bounds").alias("n", "since"))
+    tiers = F.array_distinct(F.concat(F.array(F.lit(None).cast("string")), F.transform("rows", lambda r: r.tier)))
+    cut = cut.select("key", "rows", "since", F.get("bounds", F.col("n") + 1).alias("until"), F.explode(tiers).alias("tier"))
+    fits = lambda r: (r.tier.isNull() | (r.tier == F.col("tier"))) & (r.effective_from <= F.col("since")) & (r.effective_until.isNull() | (F.col("since") < r.effective_until))
+    best = lambda k: F.array_max(F.transform(F.filter("rows", lambda r: fits(r) & (r.kind == k)), lambda r: F.struct(r.tier.isNotNull(), r.effective_from, r.ord, r.rate_micro.alias("rate_micro"))))
+    return cut.select("key", "tier", "since", "until", *[best(k).rate_micro.alias(f"rate_{k}") for k in KINDS])
+
+
 def rated(usage: DataFrame, rates: DataFrame, as_of: str = "ts") -> DataFrame:
-    """``usage`` (model, service_tier, a time) with ``rates``: a map from kind to micro-USD.
+    """``usage`` (model, service_tier, a time) with the rate of each kind in micro-USD.
 
     The rates in force at ``as_of`` for the normalised model (unknown: the default one); an asked tier
-    wins over none, then the later start, then the later declared row. Keys are the distinct
-    (model, tier, time) triples, so the lookup does not grow with the turns.
+    wins over none, then the later start, then the later declared row. Models join the rate table on
+    their first word, then on model, tier and time, so usage is read once; Catalyst broadcasts the rate
+    table where its size allows it, and then usage is not dealt out either.
     """
-    keys = usage.select("model", "service_tier", F.col(as_of).alias("at")).distinct()
-    named = keys.join(normalized_models(usage, rates), "model", "left").withColumn("key", F.coalesce("key", F.lit(DEFAULT_MODEL)))
-    r = F.broadcast(rates.withColumnsRenamed({"model": "r_model", "tier": "r_tier"}))
-    fits = (F.col("key") == F.col("r_model")) & (F.col("r_tier").isNull() | (F.col("r_tier") == F.col("service_tier")))
-    fits &= (F.col("effective_from") <= F.col("at")) & (F.col("effective_until").isNull() | (F.col("at") < F.col("effective_until")))
-    found = named.join(r, fits, "left")
-    best = found.groupBy("model", "service_tier", "at", "kind").agg(
-        F.max_by("rate_micro", F.struct(F.col("r_tier").isNotNull(), "effective_from", "ord")).alias("rate_micro")
-    )
-    by_kind = [F.coalesce(F.max(F.when(F.col("kind") == k, F.col("rate_micro"))), F.lit(0)).alias(f"rate_{k}") for k in KINDS]
-    wide = best.groupBy("model", "service_tier", "at").agg(*by_kind)
-    u, w = usage.alias("u"), wide.alias("w")
-    same = F.col("u.model").eqNullSafe(F.col("w.model")) & F.col("u.service_tier").eqNullSafe(F.col("w.service_tier")) & F.col(f"u.{as_of}").eqNullSafe(F.col("w.at"))
-    return u.join(w, same, "left").select("u.*", *[F.coalesce(f"w.rate_{k}", F.lit(0)).alias(f"rate_{k}") for k in KINDS])
+    u, families = usage.withColumn("_head", F.split("model", "-")[0]).alias("u"), rate_families(rates).alias("f")
+    key = F.get(F.filter("f.keys", lambda m: (F.col("u.model") == m.key) | F.startswith(F.col("u.model"), F.concat(m.key, F.lit("-")))), F.lit(0)).key
+    named = u.join(families, F.col("u._head") == F.col("f.head"), "left").select("u.*", F.coalesce(key, F.lit(DEFAULT_MODEL)).alias("_key")).drop("_head").alias("u")
+    times = rate_intervals(rates)
+    plain, tiered = times.where("tier is null").alias("p"), times.where("tier is not null").alias("t")
+    during = lambda w: (F.col(f"u.{as_of}") >= F.col(f"{w}.since")) & (F.col(f"{w}.until").isNull() | (F.col(f"u.{as_of}") < F.col(f"{w}.until")))
+    joined = named.join(plain, (F.col("u._key") == F.col("p.key")) & during("p"), "left")
+    joined = joined.join(tiered, (F.col("u._key") == F.col("t.key")) & (F.col("u.service_tier") == F.col("t.tier")) & during("t"), "left")
+    found = lambda k: F.coalesce(F.when(F.col("t.key").isNotNull(), F.col(f"t.rate_{k}")).otherwise(F.col(f"p.rate_{k}")), F.lit(0))
+    return joined.select(*[F.col(f"u.{c}") for c in usage.columns], *[found(k).alias(f"rate_{k}") for k in KINDS])
 
 
 def exact(tokens: Column, rate: str) -> Column:
