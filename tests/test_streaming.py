@@ -57,15 +57,28 @@ def test_ordered_state(spark, turns, tmp_path):
     c = {r.session_key: (r.retries, r.pivots) for r in ordered.self_correction(turns).collect()}
     assert {k: (r.max_streak, r.n_idle, (r.retries, r.pivots)) for k, r in last.items()} == {k: (a[k], t[k], c[k]) for k in a}
     assert all(r.flow_longest <= f[k] + 1 for k, r in last.items())
+    b = {r.session_key: (r.max_run, r.stalls) for r in ordered.circuit_breaker(turns).collect()}
+    o = {r.session_key: (r.max_streak, r.current_streak) for r in ordered.timeline(turns, idle).collect()}
+    assert {k: (r.max_run, r.stalls) for k, r in last.items()} == b
+    assert {k: (r.closed_streak, r.current_streak) for k, r in last.items()} == o
+
+
+def test_turns_without_a_time_open_no_gap(spark, turns, tmp_path):
+    rows = sessions.flags(turns.withColumn("ts", F.when(F.col("turn_index") % 3 != 1, F.col("ts"))))
+    rows.write.parquet(str(tmp_path / "in"))
+    idle = 12 * 3_600_000
+    got = finish(sessions.ordered_state(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), idle), "update", tmp_path, "untimed").collect()
+    known = turns.where("turn_index % 3 <> 1")
+    assert {r.session_key: r.n_idle for r in got} == {r.session_key: r.n_idle for r in ordered.timeline(known, idle).collect()}
 
 
 def test_loop_alerts(spark, tmp_path):
-    schema = "session_key string, turn_index long, role string, ms long, n_calls long, wrong boolean, broke boolean, key string, mutates boolean"
-    keys = ["a", "a", "a", "a", "b", "b", "!", "b", "b", "b"]
-    rows = spark.createDataFrame([("s", k, "Assistant", 0, 1, False, False, x, x == "!") for k, x in enumerate(keys)], schema)
+    schema = "session_key string, turn_index long, keys array<string>, mutates array<boolean>"
+    calls = [["a"], ["a", "a", "a"], ["b", "b", "!", "b"], [], ["b", "b", None, "b"]]
+    rows = spark.createDataFrame([("s", k, x, [y == "!" for y in x]) for k, x in enumerate(calls)], schema)
     rows.write.parquet(str(tmp_path / "in"))
     got = finish(sessions.loop_alerts(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))), "append", tmp_path, "alerts").collect()
-    assert [(r.turn_index, r.key) for r in got] == [(2, "a"), (9, "b")]
+    assert [(r.turn_index, r.key) for r in got] == [(1, "a"), (4, "b")]
 
 
 def test_windows(spark, turns):

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from turnlens import schema
 from turnlens.functions.columns import has_error, n_items, total_tokens
 from turnlens.operators.facts import latest_by_key, upsert
+from turnlens.operators.ordered import TRIP
 
 LOOP = 3
 
@@ -31,63 +33,80 @@ def session_totals(turns: DataFrame) -> DataFrame:
 
 
 def flags(turns: DataFrame) -> DataFrame:
-    """What the ordered state needs of each turn, in a few plain columns."""
-    first = F.get("tool_calls", F.lit(0))
-    arg = first.intent
+    """What the ordered state needs of each turn, in plain columns; calls as arrays in their order."""
+    calls = F.coalesce("tool_calls", F.array().cast(schema.CALLS_DDL))
+    kind = lambda c: c.intent.kind
+    second = lambda c: F.get(F.split(F.trim(c.intent.action), r"\s+"), F.lit(1))
+    mutates = lambda c: kind(c).isin("FileEdit", "FileCreate") | (kind(c) == "VersionControl") & F.coalesce(second(c).isin("commit", "push"), F.lit(False))
+    key = lambda c: F.when(kind(c) == "CodeSearch", c.intent["query"]).when(kind(c).isin("FileRead", "FileEdit", "FileCreate"), c.intent.path)
     return turns.select(
-        "session_key", "turn_index", "role", F.coalesce(F.unix_millis("ts"), F.lit(0)).alias("ms"), n_items("tool_calls").alias("n_calls"), has_error().alias("wrong"),
+        "session_key", "turn_index", "role", F.unix_millis("ts").alias("ms"), n_items("tool_calls").alias("n_calls"), has_error().alias("wrong"),
         F.coalesce(F.exists("tool_results", lambda r: r.is_error & F.contains(F.lower(r.error_class), F.lit("permission"))), F.lit(False)).alias("broke"),
-        F.coalesce(arg["query"], arg.path, F.lit("")).alias("key"), F.coalesce(arg.kind.isin("FileEdit", "FileCreate", "VersionControl"), F.lit(False)).alias("mutates"),
+        F.transform(calls, key).alias("keys"), F.transform(calls, lambda c: F.coalesce(mutates(c), F.lit(False))).alias("mutates"),
+        F.transform(F.filter(calls, lambda c: kind(c) == "SubagentSpawn"), lambda c: F.coalesce(c.intent.agent_type, F.lit(""))).alias("spawns"),
     )
 
 
-STATE = "streak long, longest long, flow long, flow_longest long, idle long, last_ms long, was_wrong boolean, retries long, pivots long, turns long"
-ORDERED = "session_key string, max_streak long, flow_longest long, n_idle long, retries long, pivots long, n_turns long"
+STATE = (
+    "streak long, longest long, own long, own_longest long, flow long, flow_longest long, idle long, last_ms long, was_wrong boolean, retries long, pivots long, turns long, "
+    "agent string, run long, max_run long, stalls long"
+)
+COLUMNS = ("session_key", "max_streak", "closed_streak", "current_streak", "flow_longest", "n_idle", "retries", "pivots", "max_run", "stalls", "n_turns")
+ORDERED = "session_key string, " + ", ".join(f"{c} long" for c in COLUMNS[1:])
 
 
 def ordered_state(rows: DataFrame, idle_ms: int = 300_000) -> DataFrame:
     """Ordered folds continued from batch to batch; one updated row per session and batch.
 
     ``rows`` come from ``flags``. Turns of a session must arrive in order across batches; inside a batch
-    they are sorted.
+    they are sorted. A turn without a time opens no idle gap; the last known time stays. ``max_run`` and
+    ``stalls`` are those of the circuit breaker, the closed and the current streak those of Assistant turns.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak, longest, flow, flow_longest, idle, last, was_wrong, retries, pivots, turns = state.get if state.exists else (0, 0, 0, 0, 0, -1, False, 0, 0, 0)
-        pdf = pd.concat(list(batches)).sort_values("turn_index")
-        for r in pdf.itertuples():
+        start = (0, 0, 0, 0, 0, 0, 0, -1, False, 0, 0, 0, None, 0, 0, 0)
+        streak, longest, own, own_longest, flow, flow_longest, idle, last, was_wrong, retries, pivots, turns, agent, run, max_run, stalls = state.get if state.exists else start
+        for r in pd.concat(list(batches)).sort_values("turn_index").itertuples():
             if r.role == "User":
                 streak = 0
             elif r.role in ("Assistant", "ToolResult"):
                 streak += 1
                 longest = max(longest, streak)
+            if r.role == "Assistant":
+                own += 1
+            else:
+                own, own_longest = 0, max(own_longest, own)
             flow = 0 if r.broke else flow + r.n_calls
             flow_longest = max(flow_longest, flow)
-            idle += last >= 0 and r.ms - last > idle_ms
-            last = r.ms
+            if not pd.isna(r.ms):
+                idle += last >= 0 and r.ms - last > idle_ms
+                last = r.ms
+            for spawned in r.spawns:
+                run = run + 1 if spawned == agent else 1
+                agent, max_run, stalls = spawned, max(max_run, run), stalls + (run > TRIP)
             if was_wrong and r.n_calls:
                 retries, pivots = retries + (not r.wrong), pivots + bool(r.wrong)
             was_wrong = bool(r.wrong)
             turns += 1
-        state.update((int(streak), int(longest), int(flow), int(flow_longest), int(idle), int(last), was_wrong, int(retries), int(pivots), int(turns)))
-        yield pd.DataFrame([(key[0], int(longest), int(flow_longest), int(idle), int(retries), int(pivots), int(turns))], columns=["session_key", "max_streak", "flow_longest", "n_idle", "retries", "pivots", "n_turns"])
+        state.update((*map(int, (streak, longest, own, own_longest, flow, flow_longest, idle, last)), was_wrong, *map(int, (retries, pivots, turns)), agent, *map(int, (run, max_run, stalls))))
+        yield pd.DataFrame([(key[0], *map(int, (longest, own_longest, own, flow_longest, idle, retries, pivots, max_run, stalls, turns)))], columns=list(COLUMNS))
 
     return rows.groupBy("session_key").applyInPandasWithState(step, ORDERED, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def loop_alerts(rows: DataFrame, trip: int = LOOP) -> DataFrame:
-    """An alert at the ``trip``-th call in a row on one key without a change in between."""
+    """An alert at the ``trip``-th call in a row on one key without a change in between; all calls of a turn count, in order."""
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, n = state.get if state.exists else ("", 0)
         out = []
         for r in pd.concat(list(batches)).sort_values("turn_index").itertuples():
-            if not r.n_calls:
-                continue
-            n = 0 if r.mutates or not r.key else n + 1 if r.key == last else 1
-            last = r.key
-            if n == trip:
-                out.append((key[0], int(r.turn_index), r.key))
+            for target, mutates in zip(r.keys, r.mutates, strict=True):
+                target = target or ""
+                n = 0 if mutates or not target else n + 1 if target == last and n else 1
+                last = target
+                if n == trip:
+                    out.append((key[0], int(r.turn_index), target))
         state.update((last, int(n)))
         yield pd.DataFrame(out, columns=["session_key", "turn_index", "key"])
 
