@@ -89,6 +89,64 @@ def test_pipeline_stages_take_effect(spark):
     assert docs.where("n_tokens <> octet_length(ids) / 4").count() == 0
 
 
+def test_pipeline_stages_equal_brute_force_on_planted_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, repeated rows, ties, near copies, leaks, secrets and toxic words."""
+    import re
+
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdeghilmnorst"), 6)) for _ in range(n))
+    item = words(24) + ". " + words(12) + "."
+    clean = [words(60) for _ in range(40)]
+    rows = [(k, t) for k, t in enumerate(clean)] + [(100 + k, words(60) + " zorkquux") for k in range(40)]
+    rows += [(200, clean[0]), (201, clean[1].rsplit(" ", 2)[0]), (None, clean[2]), (None, words(50)), (3, clean[3]), (3, words(40)), (202, None), (203, ""), (None, None), (204, "two words"), (205, "two words")]
+    rows += [(300, words(20) + " " + item + " " + words(20)), (None, item.upper()), (301, words(9) + " password = hunter2hunter22 " + words(9)), (302, words(9) + " z0rkquux " + words(9)), (303, words(30_000))]
+    docs = [(d, t, "en", "s", None if t is None else len(t)) for d, t in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, int(k >= 100)) for k in [*range(40), *range(100, 140)]] + [(None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    stages = dict(corpus_pipeline.STAGES)
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
+    keep = [(d, t) for d, t in rows if "quux" not in (t or "")]
+    out = stages["toxicity"](spark, now, str(tmp_path))
+    assert pairs(out) == sorted(keep, key=str)
+
+    def near(a, b):
+        sets = []
+        for t in (a, b):
+            w = (t or "").lower().split()
+            sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+        return sets[0] == sets[1] or len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8
+
+    kept = []
+    for d, t in sorted(set(keep), key=lambda r: (r[0] is None, r[0] or 0)):
+        if not any(near(t, u) for _, u in kept):
+            kept.append((d, t))
+    out.write.parquet(f"{tmp_path}/1")
+    out = stages["near_dedup"](spark, spark.read.parquet(f"{tmp_path}/1"), str(tmp_path))
+    assert [t for _, t in pairs(out) if t] == [t for _, t in sorted(kept, key=str) if t]
+    assert sorted(d for d, _ in pairs(out) if d is not None) == sorted(d for d, _ in kept if d is not None)
+
+    out.write.parquet(f"{tmp_path}/2")
+    out = stages["decontamination"](spark, spark.read.parquet(f"{tmp_path}/2"), str(tmp_path))
+    left = [(d, t) for d, t in kept if item.lower() not in (t or "").lower()]
+    assert len(left) < len(kept) and sorted(str(t) for _, t in pairs(out) if t) == sorted(str(t) for _, t in left if t)
+
+    out.write.parquet(f"{tmp_path}/3")
+    out = stages["secrets"](spark, spark.read.parquet(f"{tmp_path}/3"), str(tmp_path))
+    hidden = [(d, t and re.sub(r"password = \w+", "[SECRET]", t)) for d, t in left]
+    assert sorted(str(t) for _, t in pairs(out) if t) == sorted(str(t) for _, t in hidden if t)
+    out.write.parquet(f"{tmp_path}/4")
+    ids = stages["tokenize"](spark, spark.read.parquet(f"{tmp_path}/4"), str(tmp_path))
+    assert ids.count() == len(left) and ids.where("n_tokens = 0").count() == sum(not t for _, t in left)
+    nothing = spark.createDataFrame([], now.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, str(tmp_path)).count() == 0, name
+
+
 def test_queries_equal_their_sql(spark):
     import duckdb
 
