@@ -156,7 +156,10 @@ def pr_links(turns: DataFrame) -> DataFrame:
 
 
 def fuzzy_tools(turns: DataFrame) -> DataFrame:
-    """Clusters of misspelt tool names per session: (session_key, canonical, n_names, n_calls), by one fold over the distinct names.
+    """Clusters of misspelt tool names per session, by one fold over the distinct names.
+
+    (session_key, canonical, n_names, n_calls, typo_calls, variants, typo_rate): ``variants`` are the other
+    names with their calls, ``typo_rate`` is the share of all calls of the session that are such.
 
     Names go by calls descending, then by name; each joins the earliest canonical name within one edit
     (names under five bytes) or two, else it becomes canonical.
@@ -171,5 +174,11 @@ def fuzzy_tools(turns: DataFrame) -> DataFrame:
             ).alias("canonical"), x["name"].alias("name"), (-x.less).alias("n"),
         ))),
     )
-    rows = named.select("session_key", F.inline(folded))
-    return rows.groupBy("session_key", "canonical").agg(F.count(F.lit(1)).alias("n_names"), F.sum("n").alias("n_calls"), F.sum(F.when(F.col("name") != F.col("canonical"), F.col("n")).otherwise(0)).alias("typo_calls"))
+    rows = named.select("session_key", F.inline(folded)).withColumn("typo", F.col("name") != F.col("canonical"))
+    variants = F.array_sort(F.collect_list(F.when(F.col("typo"), F.struct((-F.col("n")).alias("less"), "name"))))
+    clusters = rows.groupBy("session_key", "canonical").agg(
+        F.count(F.lit(1)).alias("n_names"), F.sum("n").alias("n_calls"), F.sum(F.when(F.col("typo"), F.col("n")).otherwise(0)).alias("typo_calls"),
+        F.transform(variants, lambda v: F.struct(v["name"].alias("name"), (-v.less).alias("n_calls"))).alias("variants"),
+    )
+    session = Window.partitionBy("session_key")
+    return clusters.withColumn("typo_rate", ratio(F.sum("typo_calls").over(session), F.sum("n_calls").over(session), 0.0))

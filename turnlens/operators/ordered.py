@@ -43,14 +43,19 @@ def timeline(turns: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
 
 
 def flow(turns: DataFrame) -> DataFrame:
-    """Tool calls between permission errors; the calls of the breaking turn join no streak but count in the total."""
+    """Tool calls between permission errors; the calls of the breaking turn join no streak but count in the total.
+
+    ``streaks`` lists the lengths of the streaks in order, ``permission_blocks`` counts the breaking turns.
+    """
     broke = F.coalesce(F.exists("tool_results", lambda r: r.is_error & F.contains(F.lower(r.error_class), F.lit("permission"))), F.lit(False))
     rows = turns.select("session_key", "turn_index", n_items("tool_calls").alias("n"), broke.alias("broke"))
     rows = rows.withColumn("island", F.count_if("broke").over(so_far()))
-    islands = rows.groupBy("session_key", "island").agg(F.sum(F.when(F.col("broke"), 0).otherwise(F.col("n"))).alias("streak"), F.sum("n").alias("calls"))
+    islands = rows.groupBy("session_key", "island").agg(F.sum(F.when(F.col("broke"), 0).otherwise(F.col("n"))).alias("streak"), F.sum("n").alias("calls"), F.count_if("broke").alias("blocks"))
     streak = F.when(F.col("streak") > 0, F.col("streak"))
     return islands.groupBy("session_key").agg(
         F.count(streak).alias("n_streaks"), F.coalesce(F.max(streak), F.lit(0)).alias("longest"), F.coalesce(F.avg(streak), F.lit(0.0)).alias("mean_streak"),
+        F.sum("blocks").alias("permission_blocks"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("streak") > 0, F.struct("island", "streak")))), lambda x: x.streak).alias("streaks"),
         F.sum("calls").alias("n_calls"), F.coalesce(F.sum(F.when(F.col("streak") >= 2, F.col("streak"))), F.lit(0)).alias("flowing"),
     ).withColumn("flow_ratio", ratio(F.col("flowing"), F.col("n_calls"), 0.0)).drop("flowing")
 

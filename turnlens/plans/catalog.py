@@ -122,6 +122,24 @@ PLAIN = "src AS (SELECT session_key, turn_index, ts, model, service_tier, inp, c
 LAST = "src AS (SELECT session_key, arg_max_null(model, turn_index) AS model, max(ts) AS ts, sum(inp) AS inp, sum(cw) AS cw, sum(cr) AS cr, sum(outp) AS outp, sum(rs) AS rs FROM used GROUP BY session_key)"
 
 
+FUZZY_SQL = """,
+tools AS (SELECT session_key, tool_name AS name, count(*) AS n FROM calls GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY n DESC, name) AS i FROM tools),
+folded AS (
+  WITH RECURSIVE step AS (
+    SELECT DISTINCT session_key, 0::BIGINT AS i, []::VARCHAR[] AS known, NULL::VARCHAR AS name, NULL::VARCHAR AS canonical, 0::BIGINT AS n FROM ranked
+    UNION ALL
+    SELECT session_key, i, CASE WHEN hit IS NULL THEN list_append(known, name) ELSE known END, name, coalesce(hit, name), n FROM (
+      SELECT r.session_key, r.i, s.known, r.name, r.n, [c for c in s.known if levenshtein(c, r.name) <= CASE WHEN strlen(r.name) < 5 THEN 1 ELSE 2 END][1] AS hit
+      FROM step s JOIN ranked r ON r.session_key = s.session_key AND r.i = s.i + 1))
+  SELECT session_key, name, canonical, n FROM step WHERE i > 0)
+SELECT session_key, canonical, count(*) AS n_names, sum(n)::BIGINT AS n_calls, coalesce(sum(n) FILTER (name <> canonical), 0)::BIGINT AS typo_calls,
+  coalesce(string_agg(name || ':' || n, ',' ORDER BY n DESC, name) FILTER (name <> canonical), '') AS variants,
+  (sum(coalesce(sum(n) FILTER (name <> canonical), 0)) OVER w)::DOUBLE / (sum(sum(n)) OVER w)::DOUBLE AS typo_rate
+FROM folded GROUP BY session_key, canonical WINDOW w AS (PARTITION BY session_key)
+"""
+
+
 def over(sql: str, rates: str = "") -> str:
     """SQL over the derived turns; ``rates`` prices the CTE ``src`` it defines."""
     return "WITH " + TURNS_SQL + (f", {rates}, {RATES_SQL}" if rates else "") + sql
@@ -266,12 +284,12 @@ def queries() -> dict[str, Query]:
         "e13_session_counts": lambda s, d: facts.tool_call_facts(turns(s, d)).groupBy("session_key").agg(F.count(F.lit(1)).alias("n_calls"), F.count_if("is_error").alias("n_errors")),
         "e14_schema_citations": lambda s, d: folds.schema_citations(text_turns(s, d)),
         "e15_pr_links": lambda s, d: folds.pr_links(text_turns(s, d)),
-        "e16_fuzzy_tools": over_turns(folds.fuzzy_tools),
+        "e16_fuzzy_tools": over_turns(lambda t: folds.fuzzy_tools(t).withColumn("variants", F.array_join(F.transform("variants", lambda v: F.concat(v["name"], F.lit(":"), v.n_calls.cast("string"))), ","))),
         "e17_rollups": lambda s, d: ms(facts.periodic_rollups(session_facts(s, d)), "period_start"),
         "f1_autonomy": over_turns(ordered.autonomy),
         "f1_autonomy_conversations": lambda s, d: ordered.autonomy(said(s, d)),
         "f2_timeline": lambda s, d: ms(ordered.timeline(turns(s, d), IDLE), "last_ts"),
-        "f3_flow": over_turns(ordered.flow),
+        "f3_flow": over_turns(lambda t: ordered.flow(t).withColumn("streaks", F.array_join(F.transform("streaks", lambda n: n.cast("string")), ","))),
         "f4_context_growth": over_turns(ordered.context_growth),
         "f5_self_correction": over_turns(ordered.self_correction),
         "f6_errors_by_tool": over_turns(ordered.errors_by_tool),
@@ -404,9 +422,10 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT session_key, island, count(*) FILTER (role = 'Assistant') AS n, count(*) FILTER (gap > {IDLE}) AS gaps, sum(gap) FILTER (gap > {IDLE}) AS idle, max(gap) FILTER (gap > {IDLE}) AS longest, arg_max(ms, turn_index) AS ms FROM r GROUP BY ALL),
           l AS (SELECT *, max(island) OVER (PARTITION BY session_key) AS last FROM g)
           SELECT session_key, count(*) FILTER (n > 0 AND island < last) AS n_streaks, coalesce(max(n) FILTER (island < last), 0) AS max_streak, max(n) FILTER (island = last) AS current_streak, sum(gaps)::BIGINT AS n_idle, coalesce(sum(idle), 0)::BIGINT AS idle_ms, coalesce(max(longest), 0) AS longest_idle_ms, arg_max(ms, island) AS last_ts FROM l GROUP BY session_key"""),
+        "e16_fuzzy_tools": over(FUZZY_SQL),
         "f3_flow": over(f""", r AS (SELECT *, wrong AND error_class = 'permission_denied' AS broke FROM turns), i AS (SELECT *, count(*) FILTER (broke) OVER w AS island FROM r {W}),
-          g AS (SELECT session_key, island, sum(CASE WHEN broke THEN 0 ELSE n_calls END) AS streak, sum(n_calls) AS calls FROM i GROUP BY ALL)
-          SELECT session_key, count(*) FILTER (streak > 0) AS n_streaks, max(streak)::BIGINT AS longest, coalesce(avg(streak) FILTER (streak > 0), 0)::DOUBLE AS mean_streak, sum(calls)::BIGINT AS n_calls, CASE WHEN sum(calls) = 0 THEN 0.0::DOUBLE ELSE coalesce(sum(streak) FILTER (streak >= 2), 0)::DOUBLE / sum(calls)::DOUBLE END AS flow_ratio FROM g GROUP BY session_key"""),
+          g AS (SELECT session_key, island, sum(CASE WHEN broke THEN 0 ELSE n_calls END) AS streak, sum(n_calls) AS calls, count(*) FILTER (broke) AS blocks FROM i GROUP BY ALL)
+          SELECT session_key, sum(blocks)::BIGINT AS permission_blocks, coalesce(string_agg(streak::BIGINT::VARCHAR, ',' ORDER BY island) FILTER (streak > 0), '') AS streaks, count(*) FILTER (streak > 0) AS n_streaks, max(streak)::BIGINT AS longest, coalesce(avg(streak) FILTER (streak > 0), 0)::DOUBLE AS mean_streak, sum(calls)::BIGINT AS n_calls, CASE WHEN sum(calls) = 0 THEN 0.0::DOUBLE ELSE coalesce(sum(streak) FILTER (streak >= 2), 0)::DOUBLE / sum(calls)::DOUBLE END AS flow_ratio FROM g GROUP BY session_key"""),
         "f4_context_growth": over(", r AS (SELECT session_key, turn_index, prompt AS p, greatest(prompt - lag(prompt) OVER (PARTITION BY session_key ORDER BY turn_index), 0) AS rise, lag(prompt) OVER (PARTITION BY session_key ORDER BY turn_index) IS NOT NULL AS later FROM used) SELECT session_key, arg_min(p, turn_index) AS first_tokens, max(p) AS peak_tokens, arg_max(p, turn_index) AS last_tokens, coalesce(max(rise), 0) AS max_rise, coalesce(sum(rise) FILTER (later)::DOUBLE / nullif(count(*) - 1, 0), 0) AS mean_rise FROM r GROUP BY session_key"),
         "f5_self_correction": over(", r AS (SELECT *, coalesce(lag(wrong) OVER (PARTITION BY session_key ORDER BY turn_index), false) AND n_calls > 0 AS aft FROM turns) SELECT session_key, count(*) FILTER (aft AND NOT wrong) AS retries, count(*) FILTER (aft AND wrong) AS pivots FROM r GROUP BY session_key"),
         "f6_errors_by_tool": over(f", r AS (SELECT *, last_value(tool_name IGNORE NULLS) OVER w AS t FROM turns {W}) SELECT session_key, t AS tool_name, count(*) AS n_errors FROM r WHERE wrong AND t IS NOT NULL GROUP BY ALL"),

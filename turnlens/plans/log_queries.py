@@ -163,6 +163,7 @@ def oracle_sql() -> dict[str, str]:
         "a14_decoded_args": f"WITH {STEPS}, n AS (SELECT *, unnest(generate_series(0, n_calls - 1)) AS i FROM f WHERE n_calls > 0) SELECT session_key, 'agy_call_' || CAST(c - n_calls + i AS BIGINT) AS call_id, '{{\"inner\":{{\"k\":' || k || '}},\"word\":\"plain\"}}' AS raw_arguments FROM n",
         "a15_session_headers": f"WITH {SAID} SELECT 's' || conv_id AS session_id, 'claude-3-5-sonnet' AS model, (max(turn) - min(turn)) * 60000 AS wall_duration_ms, coalesce(sum(turn * 10 + 1) FILTER (role = 'assistant'), 0)::BIGINT AS input_tokens FROM ok GROUP BY conv_id",
         "a16_result_sizes": f"WITH {STEPS} SELECT session_key, turn_index, strlen(props) AS output_bytes, 1::BIGINT AS line_count FROM s WHERE is_result",
+        "a18_json_export": over("SELECT to_json({'session_key': session_key, 'turn_index': turn_index, 'role': role, 'latency_ms': latency_ms})::VARCHAR AS value FROM turns"),
         "i2_running_totals": over("SELECT session_key, count(*) AS n_turns, sum(n_calls)::BIGINT AS n_calls, coalesce(sum(inp + cw + cr + outp) FILTER (has_usage), 0)::BIGINT AS total_tokens, count(*) FILTER (role = 'User') AS n_user FROM turns GROUP BY session_key"),
         "i5_idle_sessions": over(", g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_key ORDER BY ts, event_id) > 43200000000 THEN 1 ELSE 0 END AS cut FROM turns), s AS (SELECT session_key, sum(cut) OVER (PARTITION BY session_key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spell FROM g), n AS (SELECT session_key, spell, count(*) AS n FROM s GROUP BY ALL) SELECT session_key, count(*) AS n_spells, max(n) AS longest FROM n GROUP BY session_key"),
         "i6_weekly_cost": "SELECT epoch_us(CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)) // 1000 AS period_start, count(*) AS session_count, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total_cost_usd FROM orders GROUP BY ALL",
