@@ -9,7 +9,7 @@ import pytest
 from turnlens.plans import catalog, log_queries
 
 SF = "/root/testdata/sf0.001"
-BRUTE = {"h2_similar_sessions", "j1_report", "j2_load_by_dialect"}  # compared with plain Python elsewhere
+BRUTE = {"j1_report", "j2_load_by_dialect"}  # compared with plain Python elsewhere
 QUERIES, SQL = catalog.queries() | log_queries.queries(), catalog.oracle_sql() | log_queries.oracle_sql()
 
 

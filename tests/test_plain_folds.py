@@ -129,6 +129,9 @@ def test_similar_sessions_and_clusters(spark, frame):
     grams = {s: set(zip(q, q[1:], strict=False)) for s, q in seqs.items()}
     want = {(a, b) for a in grams for b in grams if a < b and grams[a] != grams[b] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.75}
     assert {(r.a, r.b) for r in insights.similar_sessions(frame(turns)).collect()} == {(a, b) for a, b in want if a not in "bc" and b not in "bc"}
+    near = lambda s, t: s != t and len(grams[s] & grams[t]) / len(grams[s] | grams[t]) >= 0.75
+    classes = {r.session_key: (r.class_id, r.n_links) for r in insights.session_classes(frame(turns)).collect()}
+    assert classes == {s: (min(t for t in grams if grams[t] == grams[s]), sum(near(s, t) for t in grams)) for s in grams}
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d")], "a string, b string")
     comps = spark.createDataFrame([(x, "a") for x in "abcd"], "node string, root string")
     assert sorted((r.cluster, r.session_key) for r in insights.workflow_clusters(pairs, comps).collect()) == [("a", "a"), ("a", "b"), ("a", "c")]

@@ -41,26 +41,53 @@ def bigrams(turns: DataFrame) -> DataFrame:
     return c.where("b is not null").select("session_key", F.concat_ws(">", "a", "b").alias("gram")).distinct()
 
 
-def similar_sessions(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
-    """(a, b, jaccard) of sessions whose bigram sets have at least that similarity.
-
-    Only the rarest grams of a session are candidates: of n grams, n - ceil(least * n) + 1 are enough
-    for two similar sets to share one, so frequent grams never join. Equal sets are compared once.
-    """
+def gram_sets(turns: DataFrame) -> DataFrame:
+    """(session_key, g, rep): the bigram set of each session, rarest first, and the least session with an equal set."""
     grams = bigrams(turns)
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     sets = grams.join(df, "gram").groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
     sets = sets.select("session_key", F.transform("g", lambda x: x.gram).alias("g"))
-    groups = sets.groupBy("g").agg(F.min("session_key").alias("rep"))
+    reps = sets.groupBy("g").agg(F.min("session_key").alias("rep"))
+    return sets.join(reps, "g").select("session_key", "g", "rep")
+
+
+def similar_sets(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(a, b, jaccard) of the representatives of different ``sets`` with at least that similarity, each pair once.
+
+    Only the rarest grams of a session are candidates: of n grams, n - ceil(least * n) + 1 are enough
+    for two similar sets to share one, so frequent grams never join. Equal sets are compared once.
+    """
+    groups = sets.where(F.col("session_key") == F.col("rep"))
     n = F.size("g")
-    prefix = groups.select("rep", "g", F.explode(F.slice("g", F.lit(1), n - F.ceil(least * n).cast("int") + 1)).alias("gram"))
+    slack = 1e-9  # of products like 0.7 * 10
+    prefix = groups.select("rep", "g", F.explode(F.slice("g", F.lit(1), n - F.ceil(least * n - slack).cast("int") + 1)).alias("gram"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.size("a.g") >= least * F.size("b.g")) & (F.size("b.g") >= least * F.size("a.g"))
+    near = (F.size("a.g") >= least * F.size("b.g") - slack) & (F.size("b.g") >= least * F.size("a.g") - slack)
     pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.g").alias("ga"), F.col("b.g").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     return pairs.withColumn("jaccard", both / (F.size("ga") + F.size("gb") - both)).where(F.col("jaccard") >= least).select("a", "b", "jaccard").distinct()
 
 
+def similar_sessions(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(a, b, jaccard) of class representatives whose bigram sets have at least that similarity; ``session_classes`` has the members."""
+    return similar_sets(gram_sets(turns), least)
+
+
+def session_classes(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """(session_key, class_id, n_links) of every session with two calls or more.
+
+    The class is the least session with an equal bigram set; links are the other sessions of the class and
+    all members of similar classes, counted without listing them.
+    """
+    sets = gram_sets(turns)
+    sizes = sets.groupBy(F.col("rep").alias("class_id")).agg(F.count(F.lit(1)).alias("members"))
+    pairs = similar_sets(sets, least)
+    other = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = other.join(sizes.withColumnsRenamed({"class_id": "b"}), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("members").alias("near"))
+    classes = sizes.join(linked, "class_id", "left").select("class_id", (F.col("members") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    return sets.select("session_key", F.col("rep").alias("class_id")).join(classes, "class_id").select("session_key", "class_id", "n_links")
+
+
 def workflow_clusters(pairs: DataFrame, components: DataFrame) -> DataFrame:
     """(cluster, session_key): maximal cliques of at least ``CLIQUE`` sessions inside each component (node, root).
 

@@ -122,6 +122,17 @@ PLAIN = "src AS (SELECT session_key, turn_index, ts, model, service_tier, inp, c
 LAST = "src AS (SELECT session_key, arg_max_null(model, turn_index) AS model, max(ts) AS ts, sum(inp) AS inp, sum(cw) AS cw, sum(cr) AS cr, sum(outp) AS outp, sum(rs) AS rs FROM used GROUP BY session_key)"
 
 
+SIMILAR_SQL = f""",
+following AS (SELECT session_key, tool_name || '>' || lead(tool_name) OVER (PARTITION BY session_key ORDER BY turn_index) AS gram FROM calls),
+grams AS (SELECT DISTINCT session_key, gram FROM following WHERE gram IS NOT NULL),
+sets AS (SELECT session_key, string_agg(gram, ' ' ORDER BY gram) AS g, count(*) AS size FROM grams GROUP BY session_key),
+classed AS (SELECT *, min(session_key) OVER (PARTITION BY g) AS rep FROM sets),
+sizes AS (SELECT rep AS class_id, count(*) AS members FROM classed GROUP BY rep),
+reps AS (SELECT session_key, gram, size FROM grams JOIN classed USING (session_key) WHERE session_key = rep),
+pairs AS (SELECT x.session_key AS a, y.session_key AS b, count(*)::DOUBLE / (x.size + y.size - count(*))::DOUBLE AS jaccard
+  FROM reps x JOIN reps y ON x.gram = y.gram AND x.session_key <> y.session_key GROUP BY x.session_key, y.session_key, x.size, y.size HAVING jaccard >= {insights.SIMILAR}::DOUBLE)
+"""
+
 FUZZY_SQL = """,
 tools AS (SELECT session_key, tool_name AS name, count(*) AS n FROM calls GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY n DESC, name) AS i FROM tools),
@@ -308,6 +319,7 @@ def queries() -> dict[str, Query]:
         "g9_trajectory_metrics": over_turns(trajectory.trajectory_metrics),
         "h1_bimodal": over_turns(insights.bimodal),
         "h2_similar_sessions": over_turns(insights.similar_sessions),
+        "h2_session_classes": over_turns(insights.session_classes),
         "h3_legacy_tools": lambda s, d: insights.legacy_tools(legacy_commands(s, d)),
         "h4_loop_findings": lambda s, d: findings(s, d).drop("finding_id"),
         "j1_report": over_turns(lambda t: ms(analysis_report(t), "timeline_last_ts")),
@@ -423,6 +435,9 @@ def oracle_sql() -> dict[str, str]:
           l AS (SELECT *, max(island) OVER (PARTITION BY session_key) AS last FROM g)
           SELECT session_key, count(*) FILTER (n > 0 AND island < last) AS n_streaks, coalesce(max(n) FILTER (island < last), 0) AS max_streak, max(n) FILTER (island = last) AS current_streak, sum(gaps)::BIGINT AS n_idle, coalesce(sum(idle), 0)::BIGINT AS idle_ms, coalesce(max(longest), 0) AS longest_idle_ms, arg_max(ms, island) AS last_ts FROM l GROUP BY session_key"""),
         "e16_fuzzy_tools": over(FUZZY_SQL),
+        "h2_similar_sessions": over(SIMILAR_SQL + "SELECT a, b, jaccard FROM pairs WHERE a < b"),
+        "h2_session_classes": over(SIMILAR_SQL + """, near AS (SELECT a AS class_id, sum(members) AS n FROM pairs JOIN sizes ON sizes.class_id = pairs.b GROUP BY a)
+          SELECT session_key, rep AS class_id, (members - 1 + coalesce(n, 0))::BIGINT AS n_links FROM classed JOIN sizes ON sizes.class_id = rep LEFT JOIN near ON near.class_id = rep"""),
         "f3_flow": over(f""", r AS (SELECT *, wrong AND error_class = 'permission_denied' AS broke FROM turns), i AS (SELECT *, count(*) FILTER (broke) OVER w AS island FROM r {W}),
           g AS (SELECT session_key, island, sum(CASE WHEN broke THEN 0 ELSE n_calls END) AS streak, sum(n_calls) AS calls, count(*) FILTER (broke) AS blocks FROM i GROUP BY ALL)
           SELECT session_key, sum(blocks)::BIGINT AS permission_blocks, coalesce(string_agg(streak::BIGINT::VARCHAR, ',' ORDER BY island) FILTER (streak > 0), '') AS streaks, count(*) FILTER (streak > 0) AS n_streaks, max(streak)::BIGINT AS longest, coalesce(avg(streak) FILTER (streak > 0), 0)::DOUBLE AS mean_streak, sum(calls)::BIGINT AS n_calls, CASE WHEN sum(calls) = 0 THEN 0.0::DOUBLE ELSE coalesce(sum(streak) FILTER (streak >= 2), 0)::DOUBLE / sum(calls)::DOUBLE END AS flow_ratio FROM g GROUP BY session_key"""),
