@@ -271,6 +271,14 @@ def test_ring_fills_shards_exactly(odd, nothing):
     assert hash_ring.shard_rows(nothing).count() == 0
 
 
+def test_one_more_shard_moves_few_rows(spark):
+    """Capacities are exact, so some rows also change between old shards; a modulus would move 8 of 9 rows."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    a, b = (hash_ring.shard_rows(docs, shards=n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (8, 9))
+    both = a.join(b, "doc_id").select(F.count_if(F.expr("s8 <> s9")).alias("moved"), F.count_if(F.expr("s9 = 8")).alias("new"), F.count(F.lit(1)).alias("n")).first()
+    assert both.n == 6000 and both.new in (666, 667) and both.moved < 6000 / 3
+
+
 def test_ring_overflow_goes_clockwise(spark):
     """Against a plain walk: arcs in ring order, each to its shards clockwise until it is placed."""
     prefs = {0: [0, 1, 2], 1: [1, 2, 0], 2: [0, 2, 1], 3: [2, 0, 1]}
