@@ -137,14 +137,29 @@ def test_similar_sessions_and_clusters(spark, frame):
     assert sorted((r.cluster, r.session_key) for r in insights.workflow_clusters(pairs, comps).collect()) == [("a", "a"), ("a", "b"), ("a", "c")]
 
 
-def test_report_joins_all_folds_on_one_exchange(spark):
+def test_report_reads_the_turns_three_times_and_shuffles_them_three_times(spark):
     turns = bridge.turns_from_events(spark.read.parquet("/root/testdata/sf0.001/events.parquet"))
     report = analysis_report(turns)
-    rows = report.collect()
-    assert len(rows) == turns.select("session_key").distinct().count() == len({r.session_key for r in rows})
-    n = {r.session_key: r.n_calls for r in folds.stats(turns).collect()}
-    assert all(r.n_calls == n[r.session_key] and r.flow_n_calls == r.n_calls for r in rows)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= 3 and plan.count("Exchange hashpartitioning") <= 3
+    rows = {r.session_key: r for r in report.collect()}
     assert duckdb.sql("SELECT count(DISTINCT user_id) FROM '/root/testdata/sf0.001/events.parquet'").fetchall()[0][0] == len(rows)
+    for mark, fold in (("autonomy", ordered.autonomy), ("timeline", ordered.timeline), ("flow", ordered.flow), ("context", ordered.context_growth), ("correction", ordered.self_correction), ("breaker", ordered.circuit_breaker)):
+        for r in fold(turns).collect():
+            assert all(rows[r.session_key][f"{mark}_{c}"] == v for c, v in r.asDict().items() if c != "session_key")
+    for fold in (folds.stats, folds.turn_duration, folds.api_health, folds.mcp_affinity, folds.permission_mode, folds.artifacts, folds.unmapped_results):
+        for r in fold(turns).collect():
+            assert all(rows[r.session_key][c] == v for c, v in r.asDict().items())
+
+
+def test_report_of_bare_sessions(frame):
+    """Sessions without calls, usage, times or roles have nulls or zeros, as the folds have; equal latencies are ties."""
+    rows = [turn(0, None, session="bare"), turn(1, "User", text="yes", session="bare"), *[turn(k, "Assistant", latency=7, results=[wrong(said="github.com/a/b/pull/3 github.com/a/b/pull/3")], session="same") for k in range(3)]]
+    got = {r.session_key: r for r in analysis_report(frame(rows)).collect()}
+    bare, same = got["bare"], got["same"]
+    assert (bare.n_turns, bare.manual, bare.distinct_tools, bare.typo_calls, bare.n_paths, bare.breaker_tripped, bare.context_max_rise, bare.charged_errors, bare.pull_requests) == (2, 1, None, None, 0, False, None, None, None)
+    assert (same.p50_ms, same.p95_ms, same.mean_ms, same.pull_requests, same.timeline_current_streak, same.timeline_n_streaks, same.autonomy_max_streak) == (7, 7, 7, 1, 3, 0, 3)
+    assert analysis_report(frame([])).count() == 0
 
 
 def test_no_rows(frame):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens.functions.columns import n_items, ratio, total_tokens, trimmed
@@ -138,6 +138,12 @@ def schema_citations(turns: DataFrame) -> DataFrame:
     return turns.where("text is not null").select("session_key", "turn_index", F.explode(cited).alias("schema_id"), valid.alias("valid"))
 
 
+def named_pull_requests(text: Column) -> Column:
+    """Every mention of a pull request as owner/repository#number."""
+    parts = lambda url: F.split(url, "/")
+    return F.transform(F.regexp_extract_all(text, F.lit(PR_LINK), F.lit(1)), lambda url: F.concat(parts(url)[1], F.lit("/"), parts(url)[2], F.lit("#"), parts(url)[4]))
+
+
 def pr_links(turns: DataFrame) -> DataFrame:
     """Distinct pull requests named in results and texts: first turn, mentions, mentions in the output of a version-control call.
 
@@ -149,10 +155,21 @@ def pr_links(turns: DataFrame) -> DataFrame:
     used = first.select("session_key", F.col("at.turn_index").alias("turn_index"), F.col("at.result_pos").alias("result_pos")).distinct().withColumn("from_vcs", F.lit(True))
     texts = r.join(used, ["session_key", "turn_index", "result_pos"], "left").select("session_key", "turn_index", "said", F.coalesce("from_vcs", F.lit(False)).alias("from_vcs"))
     texts = texts.unionByName(turns.where("text is not null").select("session_key", "turn_index", F.col("text").alias("said"), F.lit(False).alias("from_vcs")))
-    links = texts.where(F.contains("said", F.lit("github.com/"))).select("session_key", "turn_index", "from_vcs", F.explode(F.regexp_extract_all("said", F.lit(PR_LINK), F.lit(1))).alias("url"))
-    parts = F.split("url", "/")
-    name = F.concat(parts[1], F.lit("/"), parts[2], F.lit("#"), parts[4])
-    return links.groupBy("session_key", name.alias("pr")).agg(F.min("turn_index").alias("first_turn"), F.count(F.lit(1)).alias("mentions"), F.count_if("from_vcs").alias("vcs_mentions"))
+    links = texts.where(F.contains("said", F.lit("github.com/"))).select("session_key", "turn_index", "from_vcs", F.explode(named_pull_requests(F.col("said"))).alias("pr"))
+    return links.groupBy("session_key", "pr").agg(F.min("turn_index").alias("first_turn"), F.count(F.lit(1)).alias("mentions"), F.count_if("from_vcs").alias("vcs_mentions"))
+
+
+def by_calls(names: Column) -> Column:
+    """All (less, name) of a group, most calls first; ``less`` is the negated number of calls."""
+    return F.array_sort(F.collect_list(names))
+
+
+def folded_names(names: str) -> Column:
+    """(canonical, name, n) of each of ``by_calls``, in order."""
+    close = lambda d, x: (d.canonical == d["name"]) & (F.levenshtein(d.canonical, x["name"]) <= F.when(F.octet_length(x["name"]) < 5, 1).otherwise(2))
+    known = lambda done, x: F.get(F.filter(done, lambda d: close(d, x)), F.lit(0)).canonical
+    one = lambda done, x: F.struct(F.coalesce(known(done, x), x["name"]).alias("canonical"), x["name"].alias("name"), (-x.less).alias("n"))
+    return F.aggregate(names, F.array().cast("array<struct<canonical:string,name:string,n:bigint>>"), lambda done, x: F.concat(done, F.array(one(done, x))))
 
 
 def fuzzy_tools(turns: DataFrame) -> DataFrame:
@@ -164,16 +181,8 @@ def fuzzy_tools(turns: DataFrame) -> DataFrame:
     Names go by calls descending, then by name; each joins the earliest canonical name within one edit
     (names under five bytes) or two, else it becomes canonical.
     """
-    named = tool_inventory(turns).groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("n_calls")).alias("less"), F.col("tool_name").alias("name")))).alias("names"))
-    kind = "array<struct<canonical:string,name:string,n:bigint>>"
-    folded = F.aggregate(
-        "names", F.array().cast(kind),
-        lambda done, x: F.concat(done, F.array(F.struct(
-            F.coalesce(
-                F.get(F.filter(done, lambda d: (d.canonical == d["name"]) & (F.levenshtein(d.canonical, x["name"]) <= F.when(F.octet_length(x["name"]) < 5, 1).otherwise(2))), F.lit(0)).canonical, x["name"]
-            ).alias("canonical"), x["name"].alias("name"), (-x.less).alias("n"),
-        ))),
-    )
+    named = tool_inventory(turns).groupBy("session_key").agg(by_calls(F.struct((-F.col("n_calls")).alias("less"), F.col("tool_name").alias("name"))).alias("names"))
+    folded = folded_names("names")
     rows = named.select("session_key", F.inline(folded)).withColumn("typo", F.col("name") != F.col("canonical"))
     variants = F.array_sort(F.collect_list(F.when(F.col("typo"), F.struct((-F.col("n")).alias("less"), "name"))))
     clusters = rows.groupBy("session_key", "canonical").agg(

@@ -23,11 +23,12 @@ def turns_from_events(events: DataFrame) -> DataFrame:
     """One session per user_id, one turn per event in (ts, event_id) order.
 
     The event's type and the number ``k`` of its props choose role, call, result, usage and
-    attribution. Two windows over the same partitioning: one Exchange.
+    attribution. Two windows over the same partitioning: one Exchange, which ordered folds of the session share.
     """
     k = F.get_json_object("props", "$.k").cast("long")
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = events.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.coalesce(k, F.lit(0)).alias("k"), (F.row_number().over(order) - 1).cast("long").alias("ti"))
+    order = Window.partitionBy("session_key").orderBy("ts", "event_id")
+    rows = events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value", F.coalesce(k, F.lit(0)).alias("k"))
+    rows = rows.withColumn("ti", (F.row_number().over(order) - 1).cast("long"))
     kk, ti = F.col("k"), F.col("ti")
     is_ = lambda t: F.col("event_type") == t
     read = F.concat(F.lit("f"), (ti / 6).cast("long").cast("string"))
@@ -79,8 +80,7 @@ def turns_from_events(events: DataFrame) -> DataFrame:
     )
     none = F.array().cast(schema.CALLS_DDL), F.array().cast(schema.RESULTS_DDL)
     return rows.select(
-        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_key"),
-        F.lit("bridge").alias("provider"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("session_id"),
+        "session_key", F.lit("bridge").alias("provider"), F.col("session_key").alias("session_id"),
         F.lit(None).cast("string").alias("parent_session_id"), F.lit(None).cast("string").alias("subagent_role"),
         F.col("ti").alias("turn_index"),
         F.when(is_("signup"), "User").when(is_("error"), "ToolResult").when(assistant, "Assistant").otherwise("System").alias("role"),

@@ -322,7 +322,7 @@ def queries() -> dict[str, Query]:
         "h2_session_classes": over_turns(insights.session_classes),
         "h3_legacy_tools": lambda s, d: insights.legacy_tools(legacy_commands(s, d)),
         "h4_loop_findings": lambda s, d: findings(s, d).drop("finding_id"),
-        "j1_report": over_turns(lambda t: ms(analysis_report(t), "timeline_last_ts")),
+        "j1_report": over_turns(lambda t: ms(analysis_report(t), "timeline_last_ts").withColumn("flow_streaks", F.array_join(F.transform("flow_streaks", lambda n: n.cast("string")), ","))),
     }
 
 
@@ -372,9 +372,37 @@ r AS (SELECT (epoch_us(p) // 1000) AS period_start, 'week' AS period_type, coale
 """
 
 
+def timeline_sql(idle_ms: int) -> str:
+    return f""", r AS (SELECT *, (epoch_us(ts) // 1000) AS ms, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER w AS gap, count(*) FILTER (role <> 'Assistant') OVER w AS island FROM turns {W}),
+    g AS (SELECT session_key, island, count(*) FILTER (role = 'Assistant') AS n, count(*) FILTER (gap > {idle_ms}) AS gaps, sum(gap) FILTER (gap > {idle_ms}) AS idle, max(gap) FILTER (gap > {idle_ms}) AS longest, arg_max(ms, turn_index) AS ms FROM r GROUP BY ALL),
+    l AS (SELECT *, max(island) OVER (PARTITION BY session_key) AS last FROM g)
+    SELECT session_key, count(*) FILTER (n > 0 AND island < last) AS n_streaks, coalesce(max(n) FILTER (island < last), 0) AS max_streak, max(n) FILTER (island = last) AS current_streak, sum(gaps)::BIGINT AS n_idle, coalesce(sum(idle), 0)::BIGINT AS idle_ms, coalesce(max(longest), 0) AS longest_idle_ms, arg_max(ms, island) AS last_ts FROM l GROUP BY session_key"""
+
+
+REPORT_SQL = """, cites AS (SELECT session_key, count(*) AS citations, count(*) FILTER (contains(text, '{"$schema"')) AS valid_citations FROM turns WHERE contains(text, 'plan@1') GROUP BY session_key),
+links AS (SELECT session_key, count(DISTINCT k) AS pull_requests FROM turns WHERE contains(text, 'github.com/acme/app/pull/') GROUP BY session_key),
+sources AS (SELECT session_key, coalesce(sum(total) FILTER (attr_kind = 'Plugin'), 0)::BIGINT AS plugin_tokens, coalesce(sum(total) FILTER (attr_kind = 'Skill'), 0)::BIGINT AS skill_tokens,
+  coalesce(sum(total) FILTER (attr_kind = 'Unattributed'), 0)::BIGINT AS other_tokens FROM used GROUP BY session_key)
+SELECT * FROM (SELECT DISTINCT session_key FROM turns) LEFT JOIN sources USING (session_key) LEFT JOIN cites USING (session_key) LEFT JOIN links USING (session_key)"""
+
+
+def report_sql(parts: dict[str, str]) -> str:
+    """The report as a join of the SQL of its parts on the session."""
+    totals = {"e5_tool_inventory": "count(*) AS distinct_tools, sum(n_calls)::BIGINT AS tool_calls", "e16_fuzzy_tools": "count(*) AS tool_clusters, sum(typo_calls)::BIGINT AS typo_calls", "f6_errors_by_tool": "sum(n_errors)::BIGINT AS charged_errors"}
+    names = {
+        "autonomy": (parts["f1_autonomy"], "max_streak mean_streak n_streaks autonomous_share"), "timeline": (over(timeline_sql(ordered.IDLE_MS)), "n_streaks max_streak current_streak n_idle idle_ms longest_idle_ms last_ts"),
+        "flow": (parts["f3_flow"], "n_streaks longest mean_streak permission_blocks streaks n_calls flow_ratio"), "context": (parts["f4_context_growth"], "first_tokens peak_tokens last_tokens max_rise mean_rise"),
+        "correction": (parts["f5_self_correction"], "retries pivots"), "breaker": (parts["f7_circuit_breaker"], "max_run stalls tripped"),
+    }
+    joined = [parts[p] for p in ("e2_turn_duration", "e3_api_health", "e4_mcp_affinity", "e6_permission_mode", "e7_artifacts", "e12_unmapped_results")] + [over(REPORT_SQL)]
+    joined += [f"SELECT session_key, {c} FROM ({parts[p]}) GROUP BY session_key" for p, c in totals.items()]
+    joined += [f"SELECT session_key, {', '.join(f'{c} AS {mark}_{c}' for c in columns.split())} FROM ({sql})" for mark, (sql, columns) in names.items()]
+    return f"SELECT * FROM ({parts['e1_stats']})" + "".join(f" LEFT JOIN ({sql}) USING (session_key)" for sql in joined)
+
+
 def oracle_sql() -> dict[str, str]:
     priced = lambda sql, src=PLAIN: over(sql, src)
-    return {
+    found = {
         "b1_seed_rates": priced("SELECT ord, model, kind, rate::BIGINT AS rate_micro FROM seed WHERE model IN (SELECT key FROM keyed)", "src AS (SELECT * FROM turns)"),
         "b2_model_keys": over(", m AS (SELECT DISTINCT model FROM turns) SELECT model, CASE model WHEN 'claude-3-5-sonnet-20241022' THEN 'claude-3-5-sonnet' WHEN 'gpt-4o-2024-08-06' THEN 'gpt-4o' WHEN 'qwen-2.5-coder-32b' THEN 'qwen-2.5-coder' END AS key FROM m"),
         "b3_as_of_rates": LINEITEM_SQL + "SELECT session_key, turn_index, r_in AS \"rate_Input\", r_cw AS \"rate_CacheWrite\", r_cr AS \"rate_CacheRead\", r_out AS \"rate_Output\", r_rs AS \"rate_Reasoning\" FROM priced",
@@ -430,10 +458,7 @@ def oracle_sql() -> dict[str, str]:
         "e17_rollups": ROLLUP_SQL + "SELECT * FROM r",
         "f1_autonomy": over(AUTONOMY.format(src="turns", a="'Assistant', 'ToolResult'", u="User")),
         "f1_autonomy_conversations": "WITH v AS (SELECT 'v' || conv_id AS session_key, turn AS turn_index, role FROM conversations)" + AUTONOMY.format(src="v", a="'assistant'", u="user"),
-        "f2_timeline": over(f""", r AS (SELECT *, (epoch_us(ts) // 1000) AS ms, (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER w AS gap, count(*) FILTER (role <> 'Assistant') OVER w AS island FROM turns {W}),
-          g AS (SELECT session_key, island, count(*) FILTER (role = 'Assistant') AS n, count(*) FILTER (gap > {IDLE}) AS gaps, sum(gap) FILTER (gap > {IDLE}) AS idle, max(gap) FILTER (gap > {IDLE}) AS longest, arg_max(ms, turn_index) AS ms FROM r GROUP BY ALL),
-          l AS (SELECT *, max(island) OVER (PARTITION BY session_key) AS last FROM g)
-          SELECT session_key, count(*) FILTER (n > 0 AND island < last) AS n_streaks, coalesce(max(n) FILTER (island < last), 0) AS max_streak, max(n) FILTER (island = last) AS current_streak, sum(gaps)::BIGINT AS n_idle, coalesce(sum(idle), 0)::BIGINT AS idle_ms, coalesce(max(longest), 0) AS longest_idle_ms, arg_max(ms, island) AS last_ts FROM l GROUP BY session_key"""),
+        "f2_timeline": over(timeline_sql(IDLE)),
         "e16_fuzzy_tools": over(FUZZY_SQL),
         "h2_similar_sessions": over(SIMILAR_SQL + "SELECT a, b, jaccard FROM pairs WHERE a < b"),
         "h2_session_classes": over(SIMILAR_SQL + """, near AS (SELECT a AS class_id, sum(members) AS n FROM pairs JOIN sizes ON sizes.class_id = pairs.b GROUP BY a)
@@ -461,6 +486,7 @@ def oracle_sql() -> dict[str, str]:
         "h3_legacy_tools": "WITH c AS (SELECT 'u' || user_id AS session_key, CASE event_type WHEN 'click' THEN 'grep' WHEN 'view' THEN 'find' WHEN 'error' THEN 'cat' END AS command_base FROM events) SELECT session_key, command_base, count(*) AS n_uses, CASE command_base WHEN 'grep' THEN 'rg' WHEN 'find' THEN 'fd' ELSE 'bat' END AS replacement FROM c WHERE command_base IS NOT NULL GROUP BY ALL",
         "h4_loop_findings": over(FINDINGS_SQL + "SELECT * FROM finds"),
     }
+    return found | {"j1_report": report_sql(found)}
 
 
 COMMANDS = "SELECT session_key, turn_index, 0::BIGINT AS call_pos, string_split(coalesce(action, raw_name), ' ')[1] AS command_base, CASE action WHEN 'git status' THEN 'git [REDACTED]' WHEN 'git commit -m x' THEN 'git [REDACTED] -m [REDACTED]' ELSE raw_name END AS sanitized FROM calls WHERE kind IN ('VersionControl', 'Other')"

@@ -167,4 +167,8 @@ def oracle_sql() -> dict[str, str]:
         "i2_running_totals": over("SELECT session_key, count(*) AS n_turns, sum(n_calls)::BIGINT AS n_calls, coalesce(sum(inp + cw + cr + outp) FILTER (has_usage), 0)::BIGINT AS total_tokens, count(*) FILTER (role = 'User') AS n_user FROM turns GROUP BY session_key"),
         "i5_idle_sessions": over(", g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_key ORDER BY ts, event_id) > 43200000000 THEN 1 ELSE 0 END AS cut FROM turns), s AS (SELECT session_key, sum(cut) OVER (PARTITION BY session_key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spell FROM g), n AS (SELECT session_key, spell, count(*) AS n FROM s GROUP BY ALL) SELECT session_key, count(*) AS n_spells, max(n) AS longest FROM n GROUP BY session_key"),
         "i6_weekly_cost": "SELECT epoch_us(CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)) // 1000 AS period_start, count(*) AS session_count, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total_cost_usd FROM orders GROUP BY ALL",
+        "j2_load_by_dialect": f"""WITH {SAID}, loaded AS (SELECT 'ClaudeCode' AS provider, who AS role FROM kept WHERE conv_id % 4 = 0
+          UNION ALL SELECT 'Codex', CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END FROM c WHERE conv_id % 4 = 1
+          UNION ALL SELECT 'OpenCode', CASE role WHEN 'assistant' THEN 'Assistant' ELSE 'User' END FROM c WHERE conv_id % 4 = 2)
+          SELECT provider, role, count(*) AS n_turns FROM loaded GROUP BY ALL""",
     }
