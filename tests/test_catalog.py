@@ -6,10 +6,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from turnlens.plans import catalog, log_queries
+from turnlens.plans import catalog, log_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.queries() | log_queries.queries(), catalog.oracle_sql() | log_queries.oracle_sql()
+QUERIES, SQL = catalog.queries() | log_queries.queries() | stream_queries.queries(), catalog.oracle_sql() | log_queries.oracle_sql() | stream_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -32,9 +32,9 @@ def number_lines(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.where(~F.col("value").rlike(r"(?U)^\s*$"))
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a file or of the ``*.jsonl`` files directly in a directory, in file order."""
-    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").text(path)
+def read_lines(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
+    """Lines of a file or of the files called ``names`` directly in a directory, in file order."""
+    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", names).text(path)
     rows = text.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
     return number_lines(rows, ["block", "id"])
 

@@ -18,9 +18,9 @@ from turnlens.operators.ordered import TRIP
 LOOP = 3
 
 
-def line_stream(spark: SparkSession, path: str) -> DataFrame:
-    """New ``*.jsonl`` files of a directory as lines (file_path, block, value); the query's checkpoint remembers what was read."""
-    text = spark.readStream.option("lineSep", "\n").option("pathGlobFilter", "*.jsonl").text(path)
+def line_stream(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
+    """New files called ``names`` of a directory as lines (file_path, block, value); the query's checkpoint remembers what was read."""
+    text = spark.readStream.option("lineSep", "\n").option("pathGlobFilter", names).text(path)
     return text.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
