@@ -2,8 +2,11 @@
 
 import base64
 import hashlib
+import math
+import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -431,6 +434,54 @@ def test_leaks_equal_brute_force(spark, nothing):
     assert decontam.leaks(frame(docs, "doc_id"), frame([], "item_id")).count() == 0
 
 
+def all_leaks(docs, items):
+    """Full BM25 of every passage of every document against every item, without an index."""
+    held = [(i, t, decontam.words(t)) for i, t in items if decontam.words(t)]
+    longest, mean = max(len(w) for _, _, w in held), sum(len(w) for _, _, w in held) / len(held)
+    df = Counter(w for _, _, found in held for w in set(found))
+    idf = {w: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    out = {}
+    for d, text in docs:
+        found = decontam.words(text)
+        for k in range(0, max(1, len(found) - longest), longest):
+            passage = found[k : k + 2 * longest]
+            grams = {n: {tuple(passage[j : j + n]) for j in range(len(passage) - n + 1)} for n in range(1, 6)}
+            for i, t, own in held:
+                weight = {w: idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, n in Counter(own).items()}
+                score = sum(x for w, x in weight.items() if w in set(passage)) / sum(weight.values())
+                share = lambda s: sum(x in grams[len(x)] for x in s) / len(s) if s else 1.0  # noqa: B023, E731
+                got = (share(decontam.shingles(own)), score, *map(share, decontam.question_answer(t)))
+                if score >= 0.6 - 1e-9 and got[0] >= 0.8 and min(got[2:]) >= 0.5:
+                    out[d, i] = max(out.get((d, i), (0.0,)), got)
+    return out
+
+
+def test_leaks_equal_full_bm25(spark, monkeypatch):
+    """Damaged items around all three limits, ties of equal items; one index and many give the same rows."""
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(80)] + [f"rare{k}" for k in range(400)]
+    say = lambda n: [rng.choice(vocabulary[:80] if rng.random() < 0.5 else vocabulary) for _ in range(n)]
+    items = [(k, " ".join(say(rng.randint(3, 25))) + "? " + " ".join(say(rng.randint(1, 8))) + ".") for k in range(70)]
+    items += [(100, items[0][1]), (101, "w1"), (102, "w1 w1 w2")]
+    docs = []
+    for k in range(60):
+        parts = say(rng.randint(0, 90))
+        for _ in range(rng.randint(1, 3)):
+            told = rng.choice(items)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                told[rng.randrange(len(told))] = "other"
+            parts += told[rng.randint(0, 3) :] + say(rng.randint(0, 50))
+        docs.append((k, " ".join(parts)))
+    want = all_leaks(docs, items)
+    assert len(want) > 60
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (decontam.ITEMS, 20):
+        monkeypatch.setattr(decontam, "ITEMS", size)
+        got = {(r.doc_id, r.item_id): (r.shingle_overlap, r.score, r.question_overlap, r.answer_overlap) for r in decontam.leaks(*frames).collect()}
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k]) for k in want)
+
+
 def little_model():
     plain = "the idiot said that the other idiot is stupid and the clown is pathetic " * 30
     kinds = toxicity.classes({ord(c): plain.count(c) for c in set(plain)})

@@ -52,14 +52,14 @@ def question_answer(text: str) -> tuple[set[tuple[str, ...]], set[tuple[str, ...
 
 
 class Index:
-    """Block-max index of items [(item_id, text)] under document frequencies ``df`` of ``total`` items."""
+    """Block-max index of items [(item_id, text)] under document frequencies ``df`` of ``total`` items, the longest of ``longest`` words or more."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, mean: float, least: float = SCORE) -> None:
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], total: int, mean: float, longest: int = 1, least: float = SCORE) -> None:
         self.items = [(i, t) for i, t in sorted(items) if words(t)]
         self.least = least
         self.impacts, self.shingles, self.parts, need = [], [], [], []
         essential: dict[str, list[tuple[int, float]]] = {}
-        self.longest = 1
+        self.longest = longest
         for k, (_, text) in enumerate(self.items):
             found = words(text)
             self.longest = max(self.longest, len(found))
@@ -89,6 +89,7 @@ class Index:
             most += [top[b] for b in sorted(top)]
             begin.append(len(blocks))
         self.blocks, self.most, self.begin = np.array(blocks, np.int64), np.array(most), np.array(begin, np.int64)
+        self.top = np.array([max(most[a:b]) for a, b in zip(begin, begin[1:])]) if blocks else np.array([])
         self.n_blocks = (len(self.items) + BLOCK - 1) // BLOCK
         self.need = np.array([min(need[k : k + BLOCK]) for k in range(0, len(need), BLOCK)])
 
@@ -97,10 +98,17 @@ class Index:
         return [(k, min(n, k + 2 * self.longest)) for k in range(0, max(1, n - self.longest), self.longest)]
 
     def candidates(self, term: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window, block) pairs whose block maxima reach the block's need; ``term`` are the essential terms at words ``at``."""
+        """(window, block) pairs whose block maxima reach the block's need; ``term`` are the essential terms at words ``at``.
+
+        A window whose list maxima reach no need has no pivot: its posting lists are not opened.
+        """
         window = at // self.longest
         key = np.unique(np.concatenate([window * len(self.terms) + term, np.maximum(window - 1, 0) * len(self.terms) + term]))
         window, term = np.divmod(key, len(self.terms))
+        pivot = (np.bincount(window, self.top[term]) >= self.need.min() - 1e-9)[window]
+        window, term = window[pivot], term[pivot]
+        if not len(term):
+            return
         many = self.begin[term + 1] - self.begin[term]
         flat = np.repeat(self.begin[term] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         pair, back = np.unique(np.repeat(window, many) * self.n_blocks + self.blocks[flat], return_inverse=True)
@@ -145,7 +153,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``docs`` (doc_id, text), ``items`` (item_id, text); a doc_id may be a string. Items without words match
     nothing, null texts are empty, null item ids are left out, null doc_ids are kept; repeated documents each
     give their rows, of repeated item ids the least text counts; empty tables give no rows; texts of any
-    length are searched whole, window by window. Items are indexed in sets of at most about ``ITEMS``.
+    length are searched whole, window by window. Items are indexed in sets of at most about ``ITEMS``; windows,
+    frequencies and so the results are the same for any number of sets.
     """
     items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("string").alias("text"))
     items = items.groupBy("item_id").agg(F.min("text").alias("text"))
@@ -157,7 +166,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array([i] * len(set(found)), pa.int64()), pa.array(sorted(set(found)), pa.string()), pa.array([len(found)] * len(set(found)), pa.int64())], names=["item_id", "term", "size"])
 
     terms = items.mapInArrow(said, "item_id long, term string, size long")
-    total, mean = items.count(), terms.groupBy("item_id").agg(F.max("size").alias("size")).agg(F.avg("size")).first()[0]
+    mean, longest = terms.groupBy("item_id").agg(F.max("size").alias("size")).agg(F.avg("size"), F.max("size")).first()
+    total = items.count()
     named = docs.schema["doc_id"].dataType == T.StringType()
     docs = docs.select(F.col("doc_id").cast("string" if named else "long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     columns = f"doc_id {'string' if named else 'long'}, item_id long, score double, shingle_overlap double, question_overlap double, answer_overlap double"
@@ -167,7 +177,7 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for part in range(len(bounds) + 1):
         mine = items.where(id_bucket(bounds, "item_id") == part)
         df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms.join(mine, "item_id", "left_semi").select("term").distinct(), "term", "left_semi")
-        index = Index([tuple(r) for r in mine.collect()], dict(tuple(r) for r in df.collect()), total, mean or 1.0)
+        index = Index([tuple(r) for r in mine.collect()], dict(tuple(r) for r in df.collect()), total, mean or 1.0, longest or 1)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in pieces(batches):
