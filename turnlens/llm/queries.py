@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens.llm import bpe_replay, decontam, hash_ring, iblt, repair_codec, reply_trees, secrets, simhash, suffix_dedup, toxicity
+from turnlens.llm import bpe_replay, decontam, fim_assembly, hash_ring, iblt, importance_resample, repair_codec, reply_trees, secrets, simhash, suffix_dedup, topk_threshold, toxicity
 from turnlens.llm.common import table
 
 
@@ -104,6 +104,18 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fim_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_assembly.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_topk_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_threshold.top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -116,11 +128,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repair_codec": op8_repair_codec,
         "op9_reply_trees": op9_reply_trees,
         "op10_hash_ring": op10_hash_ring,
+        "op11_fim_assembly": op11_fim_assembly,
+        "op12_topk_threshold": op12_topk_threshold,
+        "op13_importance_resample": op13_importance_resample,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secret_linking": secrets_sql(), "op9_reply_trees": REPLY_TREES_SQL}
+    return {
+        "op7_secret_linking": secrets_sql(), "op9_reply_trees": REPLY_TREES_SQL,
+        "op11_fim_assembly": FIM_SQL, "op12_topk_threshold": TOP_K_SQL, "op13_importance_resample": RESAMPLE_SQL,
+    }
 
 
 def secrets_sql() -> str:
@@ -171,3 +189,42 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length(replace(replace(role, '&', '&amp;'), '<|', '&lt;|')) + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + 24) AS BIGINT) AS formatted_chars
 FROM turns GROUP BY conv_id
 """
+
+
+FIM_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, [CAST('0x' || h[8 * k + 1 : 8 * k + 8] AS BIGINT) for k in [0, 1, 2, 3]] AS hs FROM d),
+p AS (SELECT *, CAST(len(lines) AS BIGINT) AS n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN hs[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+  least(hs[1] % (len(lines) + 1), hs[2] % (len(lines) + 1)) AS a, greatest(hs[1] % (len(lines) + 1), hs[2] % (len(lines) + 1)) AS b FROM l),
+q AS (SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM q
+"""
+
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) for x in embedding] AS v FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+_CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_CRC_TABLE = "c0 AS (SELECT i, i::BIGINT AS c FROM range(256) t(i)), " + ", ".join(f"c{k} AS (SELECT i, {_CRC_STEP} AS c FROM c{k - 1})" for k in range(1, 9))
+RESAMPLE_SQL = (
+    "WITH " + _CRC_TABLE + r""", crc AS (SELECT list(c ORDER BY i) AS t FROM c8),
+said AS (
+  SELECT row_number() OVER () AS row, doc_id, 0 AS kind, coalesce(text, '') AS text FROM documents UNION ALL SELECT -row_number() OVER (), NULL, 1, coalesce(text, '') FROM benchmark),
+occ AS (SELECT row, doc_id, kind, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM said),
+words AS (SELECT DISTINCT w FROM occ),
+bytes AS (SELECT w, list_prepend(4294967295, [CAST('0x' || h[2 * k + 1 : 2 * k + 2] AS BIGINT) for k in range(length(h) // 2)]) AS b FROM (SELECT w, hex(encode(w)) AS h FROM words)),
+coded AS (SELECT w, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+counts AS (SELECT bucket, count(*) FILTER (kind = 0) AS s, count(*) FILTER (kind = 1) AS t FROM occ JOIN coded USING (w) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS ss, coalesce(sum(t), 0) AS tt FROM counts),
+gained AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (ss + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tt + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts, sums),
+weighed AS (SELECT row, count(*) AS n, CAST(floor(sum(gain)::DOUBLE / count(*)::DOUBLE) AS BIGINT) AS weight FROM occ JOIN coded USING (w) JOIN gained USING (bucket) WHERE kind = 0 GROUP BY row),
+scored AS (SELECT said.row, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+  + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score FROM said LEFT JOIN weighed USING (row) WHERE kind = 0),
+drawn AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS eligible FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * eligible // 100 THEN rank END AS rank FROM scored LEFT JOIN drawn USING (row)
+"""
+)
