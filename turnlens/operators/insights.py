@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens.functions.columns import ratio
-from turnlens.operators import ordered, trajectory
+from turnlens.functions.shared import written
+from turnlens.operators import graph, ordered, trajectory
 
 ACCELERATION, FEW_SEARCHES, MANY_SEARCHES, MANY_TURNS = 0.60, 2, 6, 15
 SIMILAR, CLIQUE = 0.75, 3
@@ -55,17 +55,18 @@ def similar_sets(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(a, b, jaccard) of the representatives of different ``sets`` with at least that similarity, each pair once.
 
     Only the rarest grams of a session are candidates: of n grams, n - ceil(least * n) + 1 are enough
-    for two similar sets to share one, so frequent grams never join. Equal sets are compared once.
+    for two similar sets to share one, so frequent grams never join. Only ids and sizes take part in that join. Equal sets are compared once.
     """
-    groups = sets.where(F.col("session_key") == F.col("rep"))
+    groups = sets.where(F.col("session_key") == F.col("rep")).select("rep", "g")
     n = F.size("g")
     slack = 1e-9  # of products like 0.7 * 10
-    prefix = groups.select("rep", "g", F.explode(F.slice("g", F.lit(1), n - F.ceil(least * n - slack).cast("int") + 1)).alias("gram"))
+    prefix = groups.select("rep", n.alias("n"), F.explode(F.slice("g", F.lit(1), n - F.ceil(least * n - slack).cast("int") + 1)).alias("gram"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.size("a.g") >= least * F.size("b.g") - slack) & (F.size("b.g") >= least * F.size("a.g") - slack)
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), F.col("a.g").alias("ga"), F.col("b.g").alias("gb"))
+    near = (F.col("a.n") >= least * F.col("b.n") - slack) & (F.col("b.n") >= least * F.col("a.n") - slack)
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    of = lambda c: groups.select(F.col("rep").alias(c), F.col("g").alias(f"g{c}"))
     both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.withColumn("jaccard", both / (F.size("ga") + F.size("gb") - both)).where(F.col("jaccard") >= least).select("a", "b", "jaccard").distinct()
+    return pairs.join(of("a"), "a").join(of("b"), "b").withColumn("jaccard", both / (F.size("ga") + F.size("gb") - both)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
 def similar_sessions(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -88,40 +89,26 @@ def session_classes(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
     return sets.select("session_key", F.col("rep").alias("class_id")).join(classes, "class_id").select("session_key", "class_id", "n_links")
 
 
-def workflow_clusters(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """(cluster, session_key): maximal cliques of at least ``CLIQUE`` sessions inside each component (node, root).
+def workflow_clusters(turns: DataFrame, least: float = SIMILAR, smallest: int = CLIQUE) -> DataFrame:
+    """(session_key, cluster, member_count) of the sessions in a maximal clique of at least ``smallest`` similar sessions.
 
-    Overlaps go to the largest clique, then to the one with the lexically earliest member. Components
-    are small groups of one workflow; each is solved in one task.
+    Every two sessions of a clique have bigram sets of at least that similarity. A session of several cliques
+    goes to the largest, then to the one with the earliest member, then by all members in order; ``member_count`` is the size of the clique.
+    Sessions with equal sets move together: a clique of classes is sized by their members, and a class
+    alone can be a cluster. A cluster has the name of the least session that it gets.
     """
-    rows = pairs.join(components.withColumnRenamed("node", "a"), "a").select("root", "a", "b")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(pdf.a, pdf.b, strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        found: list[list[str]] = []
-        todo = [(set(), set(near), set())]
-        while todo:  # candidates beside a pivot's neighbours each open a branch
-            chosen, may, seen = todo.pop()
-            if not may and not seen:
-                found.append(sorted(chosen))
-                continue
-            pivot = max(may | seen, key=lambda v: (len(near[v] & may), v))
-            for v in sorted(may - near[pivot]):
-                todo.append((chosen | {v}, may & near[v], seen & near[v]))
-                may, seen = may - {v}, seen | {v}
-        taken: set[str] = set()
-        out = []
-        for clique in sorted(found, key=lambda c: (-len(c), c)):
-            free = [v for v in clique if v not in taken]
-            if len(free) >= CLIQUE:
-                taken |= set(free)
-                out += [(free[0], v) for v in free]
-        return pd.DataFrame(out, columns=["cluster", "session_key"])
-
-    return rows.groupBy("root").applyInPandas(solve, "cluster string, session_key string")
+    sets = written(gram_sets(turns), "grams")
+    pairs = written(similar_sets(sets, least), "similar")
+    found = graph.maximal_cliques(pairs)
+    members = sets.select("session_key", F.col("rep").alias("node")).join(found.twins, "node", "left").select("session_key", F.coalesce("twin", "node").alias("node"))
+    units = members.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("session_key").alias("earliest"))
+    alone = units.join(found.twins.select(F.col("twin").alias("node")), "node", "left_anti").select(F.col("node").alias("root"), F.lit(0).cast("long").alias("nth"), "node")
+    cliques = found.members.unionByName(alone).join(units, "node")
+    sized = cliques.groupBy("root", "nth").agg(F.sum("size").alias("member_count"), F.array_sort(F.collect_list("earliest")).alias("order")).where(F.col("member_count") >= smallest)
+    choice = F.min(F.struct((-F.col("member_count")).alias("less"), "order", "root", "nth")).alias("best")
+    chosen = cliques.join(sized, ["root", "nth"]).groupBy("node", "earliest").agg(choice)
+    named = chosen.withColumn("cluster", F.min("earliest").over(Window.partitionBy("best.root", "best.nth")))
+    return members.join(named.select("node", "cluster", (-F.col("best.less")).alias("member_count")), "node").select("session_key", "cluster", "member_count")
 
 
 def legacy_tools(commands: DataFrame) -> DataFrame:

@@ -133,6 +133,7 @@ pairs AS (SELECT x.session_key AS a, y.session_key AS b, count(*)::DOUBLE / (x.s
   FROM reps x JOIN reps y ON x.gram = y.gram AND x.session_key <> y.session_key GROUP BY x.session_key, y.session_key, x.size, y.size HAVING jaccard >= {insights.SIMILAR}::DOUBLE)
 """
 
+WEEKLY_SQL = SIMILAR_SQL.replace("FROM calls)", "FROM weekly)", 1).replace("following AS (", "weekly AS (SELECT * REPLACE (session_key || '@' || strftime(date_trunc('week', ts), '%Y-%m-%d') AS session_key) FROM calls),\nfollowing AS (", 1)
 FUZZY_SQL = """,
 tools AS (SELECT session_key, tool_name AS name, count(*) AS n FROM calls GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY session_key ORDER BY n DESC, name) AS i FROM tools),
@@ -320,12 +321,19 @@ def queries() -> dict[str, Query]:
         "h1_bimodal": over_turns(insights.bimodal),
         "h2_similar_sessions": over_turns(insights.similar_sessions),
         "h2_session_classes": over_turns(insights.session_classes),
+        "h2_workflow_clusters": lambda s, d: insights.workflow_clusters(weekly(turns(s, d))),
         "h3_legacy_tools": lambda s, d: insights.legacy_tools(legacy_commands(s, d)),
         "h4_loop_findings": lambda s, d: findings(s, d).drop("finding_id"),
         "j1_report": over_turns(lambda t: ms(analysis_report(t), "timeline_last_ts").withColumn("flow_streaks", F.array_join(F.transform("flow_streaks", lambda n: n.cast("string")), ","))),
     }
 
 
+def weekly(rows: DataFrame) -> DataFrame:
+    """Sessions of one user and week: short enough that many are alike."""
+    week = F.date_format(F.date_trunc("week", "ts"), "yyyy-MM-dd")
+    return rows.withColumn("session_key", F.concat_ws("@", "session_key", week))
+
+
 def used_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seeded rates of the models that the turns use."""
     keys = pricing.normalized_models(turns(spark, sf_dir), pricing.seed_rates(spark)).select(F.coalesce("key", F.lit(pricing.DEFAULT_MODEL)).alias("model")).distinct()
@@ -463,6 +471,13 @@ def oracle_sql() -> dict[str, str]:
         "h2_similar_sessions": over(SIMILAR_SQL + "SELECT a, b, jaccard FROM pairs WHERE a < b"),
         "h2_session_classes": over(SIMILAR_SQL + """, near AS (SELECT a AS class_id, sum(members) AS n FROM pairs JOIN sizes ON sizes.class_id = pairs.b GROUP BY a)
           SELECT session_key, rep AS class_id, (members - 1 + coalesce(n, 0))::BIGINT AS n_links FROM classed JOIN sizes ON sizes.class_id = rep LEFT JOIN near ON near.class_id = rep"""),
+        "h2_workflow_clusters": over(WEEKLY_SQL + """, near AS (SELECT a AS node, list(b) AS nbrs FROM pairs GROUP BY a),
+          cliques AS (WITH RECURSIVE grown AS (
+            SELECT [rep] AS m, rep AS last FROM classed WHERE session_key = rep
+            UNION ALL SELECT list_append(m, p.b), p.b FROM grown JOIN pairs p ON p.a = last AND p.b > last JOIN near ON near.node = p.b WHERE list_has_all(nbrs, m)) SELECT m FROM grown),
+          sized AS (SELECT m, (SELECT sum(members) FROM sizes WHERE list_contains(m, class_id)) AS size FROM cliques WHERE NOT EXISTS (SELECT 1 FROM near WHERE list_has_all(nbrs, m))),
+          chosen AS (SELECT class_id, m, size FROM (SELECT unnest(m) AS class_id, m, size FROM sized WHERE size >= 3) QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY size DESC, m) = 1)
+          SELECT session_key, min(session_key) OVER (PARTITION BY m) AS cluster, chosen.size::BIGINT AS member_count FROM classed JOIN chosen ON class_id = rep"""),
         "f3_flow": over(f""", r AS (SELECT *, wrong AND error_class = 'permission_denied' AS broke FROM turns), i AS (SELECT *, count(*) FILTER (broke) OVER w AS island FROM r {W}),
           g AS (SELECT session_key, island, sum(CASE WHEN broke THEN 0 ELSE n_calls END) AS streak, sum(n_calls) AS calls, count(*) FILTER (broke) AS blocks FROM i GROUP BY ALL)
           SELECT session_key, sum(blocks)::BIGINT AS permission_blocks, coalesce(string_agg(streak::BIGINT::VARCHAR, ',' ORDER BY island) FILTER (streak > 0), '') AS streaks, count(*) FILTER (streak > 0) AS n_streaks, max(streak)::BIGINT AS longest, coalesce(avg(streak) FILTER (streak > 0), 0)::DOUBLE AS mean_streak, sum(calls)::BIGINT AS n_calls, CASE WHEN sum(calls) = 0 THEN 0.0::DOUBLE ELSE coalesce(sum(streak) FILTER (streak >= 2), 0)::DOUBLE / sum(calls)::DOUBLE END AS flow_ratio FROM g GROUP BY session_key"""),

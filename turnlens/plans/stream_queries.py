@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlens.functions.shared import new_folder
 from turnlens.operators import facts
 from turnlens.plans import catalog
 from turnlens.sources import lines
@@ -20,16 +19,6 @@ FIRST = 40
 PARTS = 8
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share; a temporary one only where all tasks run in the driver's machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def finish(stream: DataFrame, folder: str, mode: str, write: Callable[[DataFrame, int], None] | None = None) -> None:
     """Run a stream over what is there: through ``write``, or as Parquet files in ``folder``/out."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
