@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnlens.functions.columns import redacted
@@ -119,36 +119,16 @@ def latest_by_key(rows: DataFrame, key: tuple[str, ...], batch: str = "batch_id"
     return rows.groupBy(*key).agg(F.max_by(F.struct(*names), batch).alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in names])
 
 
-def upsert(path: str, rows: DataFrame, key: tuple[str, ...], partition_by: str) -> None:
-    """Replace the keys of ``rows`` in the Parquet table at ``path``: only partitions that ``rows`` touch are rewritten.
-
-    The new partitions are written beside the table first, so a failed job leaves it as it was. A key
-    must keep its partition. Writing the same rows twice changes nothing.
-    """
-    spark: SparkSession = rows.sparkSession
-    conf = spark._jsc.hadoopConfiguration()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(conf)
-    merged = rows
-    if fs.exists(where):
-        old = spark.read.schema(rows.schema).parquet(path).join(rows.select(partition_by).distinct(), partition_by, "left_semi").join(rows.select(*key), list(key), "left_anti")
-        merged = rows.unionByName(old.select(*rows.columns))
-    beside = f"{path}.next"
-    merged.write.mode("overwrite").parquet(beside)
-    spark.read.schema(rows.schema).parquet(beside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
-    fs.delete(spark._jvm.org.apache.hadoop.fs.Path(beside), True)
-
-
 def append(path: str, rows: DataFrame, partition_by: str | None = None) -> None:
     writer = rows.write.mode("append")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
 def ledger(events: DataFrame) -> DataFrame:
-    """State of each item from its status events (item, seq, event, error): pending, complete, failed or, from the third failure on, dead_letter."""
+    """State of each item from its status events (item, seq, event, error): pending, completed, failed or, from the third failure on, dead_letter."""
     fails = F.count_if(F.col("event") == "fail")
     out = events.groupBy("item").agg(F.max_by("event", "seq").alias("last"), fails.cast("long").alias("retry_count"), F.max_by(F.when(F.col("event") == "fail", F.col("error")), F.when(F.col("event") == "fail", F.col("seq"))).alias("last_error"), F.min("seq").alias("created"))
-    status = F.when(F.col("last") == "enqueue", "pending").when(F.col("last") == "complete", "complete").when(F.col("retry_count") >= DEAD_AFTER, "dead_letter").otherwise("failed")
+    status = F.when(F.col("last") == "enqueue", "pending").when(F.col("last") == "complete", "completed").when(F.col("retry_count") >= DEAD_AFTER, "dead_letter").otherwise("failed")
     return out.select("item", status.alias("status"), "retry_count", "last_error", "created")
 
 

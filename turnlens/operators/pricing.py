@@ -129,10 +129,14 @@ def session_usage(usage: DataFrame, last_model: bool = True) -> DataFrame:
 
 def summarised(priced: DataFrame) -> DataFrame:
     cost, base = F.sum(cost_micro()), F.sum(baseline_micro())
-    sums = priced.groupBy("session_key").agg(*[F.sum(f"usage.{c}").alias(c) for c in COUNTERS], cost.alias("c"), base.alias("b"))
+    return balance(priced.groupBy("session_key").agg(*[F.sum(f"usage.{c}").alias(c) for c in COUNTERS], cost.alias("c"), base.alias("b")))
+
+
+def balance(sums: DataFrame, *kept: str) -> DataFrame:
+    """Economics of summed counters with the exact cost ``c`` and baseline ``b``, beside the columns ``kept``."""
     prompt = F.col("input_tokens") + F.col("cache_creation_tokens") + F.col("cache_read_tokens")
     return sums.select(
-        "session_key", *COUNTERS, prompt.alias("prompt_tokens"), (prompt + F.col("output_tokens")).alias("total_tokens"),
+        "session_key", *kept, *COUNTERS, prompt.alias("prompt_tokens"), (prompt + F.col("output_tokens")).alias("total_tokens"),
         (ratio(F.col("cache_read_tokens"), prompt, 0.0) * 100).alias("cache_hit_pct"),
         usd(F.col("c")).alias("cost_usd"), usd(F.col("b")).alias("baseline_usd"),
         usd(F.greatest(F.col("b") - F.col("c"), F.lit(0).cast("decimal(38,0)"))).alias("net_savings_usd"),

@@ -199,7 +199,7 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_SQL = """
 WITH l AS (SELECT user_id AS item, event_id AS seq, CASE event_type WHEN 'error' THEN 'fail' WHEN 'purchase' THEN 'complete' ELSE 'enqueue' END AS event, 'e' || event_id AS error FROM events),
 f AS (SELECT item, arg_max(event, seq) AS last, count(*) FILTER (event = 'fail') AS retry_count, arg_max(error, seq) FILTER (event = 'fail') AS last_error, min(seq) AS created FROM l GROUP BY item),
-g AS (SELECT item, CASE WHEN last = 'enqueue' THEN 'pending' WHEN last = 'complete' THEN 'complete' WHEN retry_count >= 3 THEN 'dead_letter' ELSE 'failed' END AS status, retry_count, last_error, created FROM f)
+g AS (SELECT item, CASE WHEN last = 'enqueue' THEN 'pending' WHEN last = 'complete' THEN 'completed' WHEN retry_count >= 3 THEN 'dead_letter' ELSE 'failed' END AS status, retry_count, last_error, created FROM f)
 """
 
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from turnlens.plans import bridge
 from turnlens.sources import adapters, lines, sessions
-from turnlens.streaming import sessions as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -127,9 +126,6 @@ def queries() -> dict[str, Query]:
         "a15_session_headers": lambda s, d: claude(s, d).sessions.select("session_id", "model", "wall_duration_ms", F.col("usage.input_tokens").alias("input_tokens")),
         "a16_result_sizes": lambda s, d: steps(s, d).select("session_key", "turn_index", F.explode("tool_results").alias("r")).select("session_key", "turn_index", "r.output_bytes", "r.line_count"),
         "a18_json_export": lambda s, d: lines.as_json(turns(s, d).select("session_key", "turn_index", "role", "latency_ms")),
-        "i2_running_totals": lambda s, d: streams.session_totals(turns(s, d)),
-        "i5_idle_sessions": lambda s, d: streams.idle_sessions(turns(s, d), "12 hours").groupBy("session_key").agg(F.count(F.lit(1)).alias("n_spells"), F.max("n_turns").alias("longest")),
-        "i6_weekly_cost": lambda s, d: streams.cost_rollup(read(s, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("started_at"), F.col("o_totalprice").alias("total_cost_usd"))).select(F.unix_millis(F.col("period_start").cast("timestamp")).alias("period_start"), "session_count", "total_cost_usd"),
         "j2_load_by_dialect": lambda s, d: sessions.load(mixed_lines(s, d)).turns.groupBy("provider", "role").agg(F.count(F.lit(1)).alias("n_turns")),
     }
 
@@ -164,9 +160,6 @@ def oracle_sql() -> dict[str, str]:
         "a15_session_headers": f"WITH {SAID} SELECT 's' || conv_id AS session_id, 'claude-3-5-sonnet' AS model, (max(turn) - min(turn)) * 60000 AS wall_duration_ms, coalesce(sum(turn * 10 + 1) FILTER (role = 'assistant'), 0)::BIGINT AS input_tokens FROM ok GROUP BY conv_id",
         "a16_result_sizes": f"WITH {STEPS} SELECT session_key, turn_index, strlen(props) AS output_bytes, 1::BIGINT AS line_count FROM s WHERE is_result",
         "a18_json_export": over("SELECT to_json({'session_key': session_key, 'turn_index': turn_index, 'role': role, 'latency_ms': latency_ms})::VARCHAR AS value FROM turns"),
-        "i2_running_totals": over("SELECT session_key, count(*) AS n_turns, sum(n_calls)::BIGINT AS n_calls, coalesce(sum(inp + cw + cr + outp) FILTER (has_usage), 0)::BIGINT AS total_tokens, count(*) FILTER (role = 'User') AS n_user FROM turns GROUP BY session_key"),
-        "i5_idle_sessions": over(", g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_key ORDER BY ts, event_id) > 43200000000 THEN 1 ELSE 0 END AS cut FROM turns), s AS (SELECT session_key, sum(cut) OVER (PARTITION BY session_key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS spell FROM g), n AS (SELECT session_key, spell, count(*) AS n FROM s GROUP BY ALL) SELECT session_key, count(*) AS n_spells, max(n) AS longest FROM n GROUP BY session_key"),
-        "i6_weekly_cost": "SELECT epoch_us(CAST(date_trunc('week', o_orderdate) AS TIMESTAMP)) // 1000 AS period_start, count(*) AS session_count, sum(CAST(o_totalprice AS DECIMAL(18,2)))::DOUBLE AS total_cost_usd FROM orders GROUP BY ALL",
         "j2_load_by_dialect": f"""WITH {SAID}, loaded AS (SELECT 'ClaudeCode' AS provider, who AS role FROM kept WHERE conv_id % 4 = 0
           UNION ALL SELECT 'Codex', CASE role WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE 'System' END FROM c WHERE conv_id % 4 = 1
           UNION ALL SELECT 'OpenCode', CASE role WHEN 'assistant' THEN 'Assistant' ELSE 'User' END FROM c WHERE conv_id % 4 = 2)

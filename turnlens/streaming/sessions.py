@@ -8,12 +8,15 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from turnlens import schema
-from turnlens.functions.columns import has_error, n_items, total_tokens
-from turnlens.operators.facts import latest_by_key, upsert
+from turnlens.functions.columns import has_error, n_items
+from turnlens.operators import pricing
+from turnlens.operators.facts import latest_by_key
 from turnlens.operators.ordered import TRIP
+from turnlens.operators.versioned import upsert
 
 LOOP = 3
 
@@ -24,14 +27,45 @@ def line_stream(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataF
     return text.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), "value")
 
 
-def session_totals(turns: DataFrame) -> DataFrame:
-    """Running totals per session; for update mode."""
-    return turns.groupBy("session_key").agg(
-        F.count(F.lit(1)).alias("n_turns"), F.sum(n_items("tool_calls")).alias("n_calls"), F.coalesce(F.sum(total_tokens()), F.lit(0)).alias("total_tokens"),
-        F.count_if(F.col("role") == "User").alias("n_user"),
+def delivered_once(rows: DataFrame, key: tuple[str, ...] = ("file_path", "line_number"), time: str = "ts", late: str = "1 hour") -> DataFrame:
+    """The first delivery of each line; others are left out as long as the watermark remembers it, which is at least ``late``."""
+    return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(list(key))
+
+
+TOTALS_KEY = ("session_key", "kind", "name")
+TOTALS = "session_key string, kind string, name string, n_turns long, n_calls long, n_user long, " + ", ".join(f"{c} long" for c in pricing.COUNTERS) + ", c decimal(38,0), b decimal(38,0)"
+
+
+def running_totals(turns: DataFrame, rates: DataFrame) -> DataFrame:
+    """Running totals of each session by what its tokens are attributed to; for update mode.
+
+    The stream joins the rates in force at each turn's time, a table that stands still, so every turn is priced when it comes. Costs
+    are whole numbers. Turns without usage count under the kind None. ``session_totals`` and ``attributed`` read them.
+    """
+    used = F.col("usage").isNotNull()
+    known = F.col("attribution.kind").isin("Plugin", "Skill")
+    kind = F.when(~used, "None").when(known, F.col("attribution.kind")).otherwise("Unattributed")
+    name = F.when(used & known, F.coalesce("attribution.name", F.lit(""))).otherwise("")
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return pricing.rated(turns, rates).groupBy("session_key", kind.alias("kind"), name.alias("name")).agg(
+        F.count(F.lit(1)).alias("n_turns"), F.sum(n_items("tool_calls")).alias("n_calls"), F.count_if(F.col("role") == "User").alias("n_user"),
+        *[whole(f"usage.{c}").alias(c) for c in pricing.COUNTERS], whole(pricing.cost_micro()).cast("decimal(38,0)").alias("c"), whole(pricing.baseline_micro()).cast("decimal(38,0)").alias("b"),
     )
 
 
+def session_totals(totals: DataFrame) -> DataFrame:
+    """Counts and economics of each session from its running totals."""
+    counts = ("n_turns", "n_calls", "n_user")
+    sums = totals.groupBy("session_key").agg(*[F.sum(c).alias(c) for c in (*counts, *pricing.COUNTERS)], *[F.sum(c).cast("decimal(38,0)").alias(c) for c in "cb"])
+    return pricing.balance(sums, *counts)
+
+
+def attributed(totals: DataFrame) -> DataFrame:
+    """Tokens by plugin, by skill and unattributed from the running totals."""
+    tokens = sum((F.col(c) for c in pricing.COUNTERS[1:4]), F.col(pricing.COUNTERS[0]))
+    return totals.where("kind <> 'None'").select("session_key", "kind", F.when(F.col("kind") != "Unattributed", F.col("name")).alias("name"), tokens.alias("tokens"))
+
+
 def flags(turns: DataFrame) -> DataFrame:
     """What the ordered state needs of each turn, in plain columns; calls as arrays in their order."""
     calls = F.coalesce("tool_calls", F.array().cast(schema.CALLS_DDL))
@@ -40,77 +74,166 @@ def flags(turns: DataFrame) -> DataFrame:
     mutates = lambda c: kind(c).isin("FileEdit", "FileCreate") | (kind(c) == "VersionControl") & F.coalesce(second(c).isin("commit", "push"), F.lit(False))
     key = lambda c: F.when(kind(c) == "CodeSearch", c.intent["query"]).when(kind(c).isin("FileRead", "FileEdit", "FileCreate"), c.intent.path)
     return turns.select(
-        "session_key", "turn_index", "role", F.unix_millis("ts").alias("ms"), n_items("tool_calls").alias("n_calls"), has_error().alias("wrong"),
+        "session_key", "turn_index", "ts", "role", F.unix_millis("ts").alias("ms"), n_items("tool_calls").alias("n_calls"), has_error().alias("wrong"),
         F.coalesce(F.exists("tool_results", lambda r: r.is_error & F.contains(F.lower(r.error_class), F.lit("permission"))), F.lit(False)).alias("broke"),
         F.transform(calls, key).alias("keys"), F.transform(calls, lambda c: F.coalesce(mutates(c), F.lit(False))).alias("mutates"),
         F.transform(F.filter(calls, lambda c: kind(c) == "SubagentSpawn"), lambda c: F.coalesce(c.intent.agent_type, F.lit(""))).alias("spawns"),
     )
 
 
-STATE = (
-    "streak long, longest long, own long, own_longest long, flow long, flow_longest long, idle long, last_ms long, was_wrong boolean, retries long, pivots long, turns long, "
-    "agent string, run long, max_run long, stalls long"
-)
 COLUMNS = ("session_key", "max_streak", "closed_streak", "current_streak", "flow_longest", "n_idle", "retries", "pivots", "max_run", "stalls", "n_turns")
 ORDERED = "session_key string, " + ", ".join(f"{c} long" for c in COLUMNS[1:])
+ALERTS = "session_key string, turn_index long, key string"
+#: What waits for earlier turns, as plain columns of ``flags``.
+WAITING = "role string, ms long, n_calls long, wrong boolean, broke boolean, keys array<string>, mutates array<boolean>, spawns array<string>"
+FIELDS = [f.split()[0] for f in WAITING.split(", ")]
+FOREVER = 1 << 62
 
 
-def ordered_state(rows: DataFrame, idle_ms: int = 300_000) -> DataFrame:
-    """Ordered folds continued from batch to batch; one updated row per session and batch.
+class InOrder(StatefulProcessor):
+    """Hands the turns of each session to ``advance`` in the order of ``turn_index`` (from 0, without gaps), whatever order they come in.
 
-    ``rows`` come from ``flags``. Turns of a session must arrive in order across batches; inside a batch
-    they are sorted. A turn without a time opens no idle gap; the last known time stays. ``max_run`` and
-    ``stalls`` are those of the circuit breaker, the closed and the current streak those of Assistant turns.
+    Turns that come early wait in the state until those before them are there. If these stay away, a timer of
+    event time lets the waiting ones pass once the watermark is beyond the newest of them; what comes after
+    that is late and left out. A turn that is delivered again changes nothing. Between batches the state has the
+    fold's few numbers and the turns that wait.
     """
 
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start = (0, 0, 0, 0, 0, 0, 0, -1, False, 0, 0, 0, None, 0, 0, 0)
-        streak, longest, own, own_longest, flow, flow_longest, idle, last, was_wrong, retries, pivots, turns, agent, run, max_run, stalls = state.get if state.exists else start
-        for r in pd.concat(list(batches)).sort_values("turn_index").itertuples():
-            if r.role == "User":
-                streak = 0
-            elif r.role in ("Assistant", "ToolResult"):
-                streak += 1
-                longest = max(longest, streak)
-            if r.role == "Assistant":
-                own += 1
-            else:
-                own, own_longest = 0, max(own_longest, own)
-            flow = 0 if r.broke else flow + r.n_calls
-            flow_longest = max(flow_longest, flow)
-            if not pd.isna(r.ms):
-                idle += last >= 0 and r.ms - last > idle_ms
-                last = r.ms
-            for spawned in r.spawns:
-                run = run + 1 if spawned == agent else 1
-                agent, max_run, stalls = spawned, max(max_run, run), stalls + (run > TRIP)
-            if was_wrong and r.n_calls:
-                retries, pivots = retries + (not r.wrong), pivots + bool(r.wrong)
-            was_wrong = bool(r.wrong)
-            turns += 1
-        state.update((*map(int, (streak, longest, own, own_longest, flow, flow_longest, idle, last)), was_wrong, *map(int, (retries, pivots, turns)), agent, *map(int, (run, max_run, stalls))))
-        yield pd.DataFrame([(key[0], *map(int, (longest, own_longest, own, flow_longest, idle, retries, pivots, max_run, stalls, turns)))], columns=list(COLUMNS))
-
-    return rows.groupBy("session_key").applyInPandasWithState(step, ORDERED, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def loop_alerts(rows: DataFrame, trip: int = LOOP) -> DataFrame:
-    """An alert at the ``trip``-th call in a row on one key without a change in between; all calls of a turn count, in order."""
+    carry_ddl, start = "", ()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carry = handle.getValueState("carry", f"next long, waiting long, {self.carry_ddl}")
+        self.early = handle.getMapState("early", "turn_index long", WAITING)
+
+    def advance(self, key: str, carry: list[Any], turn_index: int, row: tuple[Any, ...]) -> None:
+        """Fold one turn into ``carry``."""
+        raise NotImplementedError
+
+    def results(self, key: str, carry: list[Any]) -> pd.DataFrame:
+        raise NotImplementedError
+
+    def passed(self, key: str, fresh: dict[int, tuple[Any, ...]], gaps: bool) -> Iterator[pd.DataFrame]:
+        known = self.carry.get()
+        at, waiting, carry = (known[0], known[1], list(known[2:])) if known else (0, 0, list(self.start))
+        held = {k[0]: v for k, v in self.early.iterator()} if waiting else {}
+        turns = held | {k: v for k, v in fresh.items() if k >= at and k not in held}
+        order, done = sorted(turns), 0
+        while done < len(order) and (gaps or order[done] == at):
+            at = order[done] + 1
+            self.advance(key, carry, order[done], turns[order[done]])
+            done += 1
+        for k in order[:done]:
+            if k in held:
+                self.early.removeKey((k,))
+        for k in order[done:]:
+            if k not in held:
+                self.early.updateValue((k,), turns[k])
+        self.carry.update((at, len(order) - done, *carry))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        times = [t[FIELDS.index("ms")] for k, t in turns.items() if k >= at]
+        if times:
+            self.handle.registerTimer(max((t for t in times if t is not None), default=FOREVER))
+        if done:
+            yield self.results(key, carry)
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[int, tuple[Any, ...]] = {}
+        plain = lambda v: None if v is None or v is pd.NA or isinstance(v, float) and v != v else list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v.item() if hasattr(v, "item") else v
+        for pdf in rows:
+            for index, *values in pdf[["turn_index", *FIELDS]].itertuples(index=False):
+                row = [plain(v) for v in values]
+                row[1] = None if row[1] is None else int(row[1])
+                fresh.setdefault(int(index), tuple(row))
+        yield from self.passed(key[0], fresh, False)
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.passed(key[0], {}, True)
+
+    def close(self) -> None:
+        pass
+
 
-    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else ("", 0)
-        out = []
-        for r in pd.concat(list(batches)).sort_values("turn_index").itertuples():
-            for target, mutates in zip(r.keys, r.mutates, strict=True):
-                target = target or ""
-                n = 0 if mutates or not target else n + 1 if target == last and n else 1
-                last = target
-                if n == trip:
-                    out.append((key[0], int(r.turn_index), target))
-        state.update((last, int(n)))
-        yield pd.DataFrame(out, columns=["session_key", "turn_index", "key"])
+class Fold(InOrder):
+    """Streaks, flow, idle gaps, corrections and the circuit breaker, continued from turn to turn."""
 
-    return rows.groupBy("session_key").applyInPandasWithState(step, "session_key string, turn_index long, key string", "last string, n long", "append", GroupStateTimeout.NoTimeout)
+    carry_ddl = (
+        "streak long, longest long, own long, own_longest long, flow long, flow_longest long, idle long, last_ms long, was_wrong boolean, retries long, pivots long, turns long, "
+        "agent string, run long, max_run long, stalls long"
+    )
+    start = (0, 0, 0, 0, 0, 0, 0, -1, False, 0, 0, 0, None, 0, 0, 0)
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def advance(self, key: str, carry: list[Any], turn_index: int, row: tuple[Any, ...]) -> None:
+        streak, longest, own, own_longest, flow, flow_longest, idle, last, was_wrong, retries, pivots, turns, agent, run, max_run, stalls = carry
+        role, ms, n_calls, wrong, broke, _, _, spawns = row
+        streak = 0 if role == "User" else streak + (role in ("Assistant", "ToolResult"))
+        own, own_longest = (own + 1, own_longest) if role == "Assistant" else (0, max(own_longest, own))
+        flow = 0 if broke else flow + n_calls
+        if ms is not None:
+            idle, last = idle + (last >= 0 and ms - last > self.idle_ms), ms
+        for spawned in spawns:
+            run = run + 1 if spawned == agent else 1
+            agent, max_run, stalls = spawned, max(max_run, run), stalls + (run > TRIP)
+        if was_wrong and n_calls:
+            retries, pivots = retries + (not wrong), pivots + bool(wrong)
+        carry[:] = streak, max(longest, streak), own, own_longest, flow, max(flow_longest, flow), int(idle), last, bool(wrong), int(retries), int(pivots), turns + 1, agent, run, max_run, int(stalls)
+
+    def results(self, key: str, carry: list[Any]) -> pd.DataFrame:
+        _, longest, own, own_longest, _, flow_longest, idle, _, _, retries, pivots, turns, _, _, max_run, stalls = carry
+        return pd.DataFrame([(key, longest, own_longest, own, flow_longest, idle, retries, pivots, max_run, stalls, turns)], columns=list(COLUMNS))
+
+
+class Alerts(InOrder):
+    """The ``trip``-th call in a row on one key without a change in between."""
+
+    carry_ddl, start = "last string, n long", ("", 0)
+
+    def __init__(self, trip: int) -> None:
+        self.trip = trip
+
+    def advance(self, key: str, carry: list[Any], turn_index: int, row: tuple[Any, ...]) -> None:
+        last, n = carry
+        for target, mutates in zip(row[FIELDS.index("keys")], row[FIELDS.index("mutates")], strict=True):
+            target = target or ""
+            n = 0 if mutates or not target else n + 1 if target == last and n else 1
+            last = target
+            if n == self.trip:
+                self.found.append((key, turn_index, target))
+        carry[:] = last, n
+
+    def passed(self, key: str, fresh: dict[int, tuple[Any, ...]], gaps: bool) -> Iterator[pd.DataFrame]:
+        self.found: list[tuple[str, int, str]] = []
+        yield from super().passed(key, fresh, gaps)
+
+    def results(self, key: str, carry: list[Any]) -> pd.DataFrame:
+        return pd.DataFrame(self.found, columns=["session_key", "turn_index", "key"])
+
+
+def ordered_session(spark: SparkSession) -> SparkSession:
+    """A session with the state store that ordered folds need; the settings of ``spark`` stay as they are."""
+    other = spark.newSession()
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        other.conf.set(name, spark.conf.get(name))
+    other.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return other
+
+
+def ordered_state(rows: DataFrame, idle_ms: int = 300_000, late: str = "1 day") -> DataFrame:
+    """Ordered folds continued from batch to batch; one updated row per session and batch.
+
+    ``rows`` come from ``flags``, in any order, in a session like ``ordered_session``. A turn without a time opens no idle gap; the last known
+    time stays. ``max_run`` and ``stalls`` are those of the circuit breaker, the closed and the current streak those of Assistant turns.
+    """
+    return rows.withWatermark("ts", late).groupBy("session_key").transformWithStateInPandas(Fold(idle_ms), ORDERED, "Update", "EventTime")
+
+
+def loop_alerts(rows: DataFrame, trip: int = LOOP, late: str = "1 day") -> DataFrame:
+    """An alert at the ``trip``-th call in a row on one key without a change in between; all calls of a turn count, in order."""
+    return rows.withWatermark("ts", late).groupBy("session_key").transformWithStateInPandas(Alerts(trip), ALERTS, "Append", "EventTime")
 
 
 def idle_sessions(turns: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -128,9 +251,13 @@ def cost_rollup(sessions: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def upsert_sink(path: str, key: tuple[str, ...], partition_by: str):
-    """A function for ``foreachBatch``: a batch that is delivered again changes nothing."""
+    """A function for ``foreachBatch``: upserts into the versioned table at ``path``; a batch that is delivered again changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert(path, latest_by_key(batch.withColumn("batch_id", F.lit(batch_id)), key).select(*batch.columns), key, partition_by)
+        rows = latest_by_key(batch.withColumn("batch_id", F.lit(batch_id)), key).select(*batch.columns).persist()
+        try:
+            upsert(path, rows, key, partition_by)
+        finally:
+            rows.unpersist()
 
     return write
