@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens.functions.columns import redacted
@@ -110,6 +110,47 @@ def periodic_rollups(sessions: DataFrame, period_type: str = "week") -> DataFram
     return rows.where("level in (0, 1)").select("period_start", F.lit(period_type).alias("period_type"), F.coalesce("provider", F.lit("*")).alias("provider"), "session_count", F.col("cost").cast("double").alias("total_cost_usd"), "total_duration_ms")
 
 
+SUMS = ("session_count", "total_cost_usd", "active_duration_ms", "finding_count", "severe_count")
+
+
+def with_findings(sessions: DataFrame, findings: DataFrame) -> DataFrame:
+    """``sessions`` with the number of their ``findings`` and of those of severity high."""
+    n = findings.groupBy("session_key").agg(F.count(F.lit(1)).alias("n_findings"), F.count_if(F.col("severity") == "high").alias("n_severe"))
+    return sessions.join(n, "session_key", "left").na.fill(0, ["n_findings", "n_severe"])
+
+
+def summed() -> list[Column]:
+    sums = (F.count(F.lit(1)), F.sum(F.col("total_cost_usd").cast("decimal(18,2)")), F.sum("active_duration_ms"), F.sum("n_findings"), F.sum("n_severe"))
+    return [c.alias(n) for c, n in zip(sums, SUMS, strict=True)]
+
+
+def rollups_by_repository(sessions: DataFrame, findings: DataFrame, period_type: str = "week") -> DataFrame:
+    """Sessions, cost, active time and findings by period, by repository and by category in it, and by both: one pass over grouping sets.
+
+    ``level`` names the grouping; ``repository`` and ``category`` are null where they are summed over, and
+    ``(none)`` where a session has none.
+    """
+    start = F.to_date(F.date_trunc(period_type, "started_at"))
+    named = {c: F.coalesce(c, F.lit("(none)")) for c in ("repository", "category")}
+    rows = with_findings(sessions, findings).withColumns({"period_start": start, **named})
+    p, r, c = (F.col(x) for x in ("period_start", "repository", "category"))
+    sets = rows.groupingSets([[p], [p, r], [p, c], [p, r, c]], p, r, c).agg(F.grouping_id().alias("level"), *summed())
+    level = F.element_at(F.array(*map(F.lit, ("repository and category", "repository", "category", "period"))), F.col("level").cast("int") + 1)
+    return sets.select("period_start", F.lit(period_type).alias("period_type"), level.alias("level"), "repository", "category", "session_count", F.col("total_cost_usd").cast("double").alias("total_cost_usd"), *SUMS[2:])
+
+
+def trailing_week(sessions: DataFrame, findings: DataFrame) -> DataFrame:
+    """For each repository and each day on which it has sessions: the sums of the seven days that end there, with tokens and commits.
+
+    Sessions are summed by day first, so a window orders no more than the days of one repository.
+    """
+    rows = with_findings(sessions, findings).withColumns({"repository": F.coalesce("repository", F.lit("(none)")), "day": F.to_date("started_at")})
+    more = ("total_tokens", "commits")
+    days = rows.groupBy("repository", "day").agg(*summed(), *[F.sum(c).alias(c) for c in more])
+    week = Window.partitionBy("repository").orderBy(F.unix_date("day")).rangeBetween(-6, 0)
+    return days.select("repository", "day", *[(F.sum(c).over(week).cast("double") if c == "total_cost_usd" else F.sum(c).over(week)).alias(c) for c in (*SUMS, *more)])
+
+
 # -- writes
 
 

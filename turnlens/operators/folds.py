@@ -144,10 +144,10 @@ def named_pull_requests(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(PR_LINK), F.lit(1)), lambda url: F.concat(parts(url)[1], F.lit("/"), parts(url)[2], F.lit("#"), parts(url)[4]))
 
 
-def pr_links(turns: DataFrame) -> DataFrame:
-    """Distinct pull requests named in results and texts: first turn, mentions, mentions in the output of a version-control call.
+def pr_mentions(turns: DataFrame) -> DataFrame:
+    """(session_key, turn_index, from_vcs, pr): every mention of a pull request in results and texts.
 
-    A version-control call is used up by its first result that has an output.
+    ``from_vcs`` marks those in the output of a version-control call; such a call is used up by its first result that has an output.
     """
     vcs = calls(turns).where("call.intent.kind = 'VersionControl'").select("session_key", F.col("call.call_id").alias("id"), F.col("turn_index").alias("call_turn"))
     r = results(turns).select("session_key", "turn_index", "result_pos", F.col("result.call_id").alias("id"), F.col("result.truncated_output").alias("said")).where("said is not null")
@@ -155,8 +155,19 @@ def pr_links(turns: DataFrame) -> DataFrame:
     used = first.select("session_key", F.col("at.turn_index").alias("turn_index"), F.col("at.result_pos").alias("result_pos")).distinct().withColumn("from_vcs", F.lit(True))
     texts = r.join(used, ["session_key", "turn_index", "result_pos"], "left").select("session_key", "turn_index", "said", F.coalesce("from_vcs", F.lit(False)).alias("from_vcs"))
     texts = texts.unionByName(turns.where("text is not null").select("session_key", "turn_index", F.col("text").alias("said"), F.lit(False).alias("from_vcs")))
-    links = texts.where(F.contains("said", F.lit("github.com/"))).select("session_key", "turn_index", "from_vcs", F.explode(named_pull_requests(F.col("said"))).alias("pr"))
-    return links.groupBy("session_key", "pr").agg(F.min("turn_index").alias("first_turn"), F.count(F.lit(1)).alias("mentions"), F.count_if("from_vcs").alias("vcs_mentions"))
+    return texts.where(F.contains("said", F.lit("github.com/"))).select("session_key", "turn_index", "from_vcs", F.explode(named_pull_requests(F.col("said"))).alias("pr"))
+
+
+def pr_links(turns: DataFrame) -> DataFrame:
+    """Distinct pull requests of each session: first turn, mentions, mentions in the output of a version-control call."""
+    return pr_mentions(turns).groupBy("session_key", "pr").agg(F.min("turn_index").alias("first_turn"), F.count(F.lit(1)).alias("mentions"), F.count_if("from_vcs").alias("vcs_mentions"))
+
+
+def pr_sessions(turns: DataFrame) -> DataFrame:
+    """One row per session: its distinct pull requests in order, the first turn that names one (null: none), mentions linked through a version-control call."""
+    found = pr_links(turns).groupBy("session_key").agg(F.array_sort(F.collect_list("pr")).alias("pull_requests"), F.min("first_turn").alias("first_turn"), F.sum("vcs_mentions").alias("linked_via_vcs"))
+    every = turns.select("session_key").distinct().join(found, "session_key", "left")
+    return every.select("session_key", F.coalesce("pull_requests", F.array().cast("array<string>")).alias("pull_requests"), "first_turn", F.coalesce("linked_via_vcs", F.lit(0)).alias("linked_via_vcs"))
 
 
 def by_calls(names: Column) -> Column:

@@ -15,6 +15,9 @@ RULE_VERSION = "1"
 
 # Legacy tools and what replaces them.
 LEGACY = {"grep": "rg", "egrep": "rg", "find": "fd", "cat": "bat", "cd": "zoxide"}
+#: Our own estimates of how much faster the replacement is, and the uses from which on a habit is worth more than a hint.
+SPEEDUP = {"grep": 5, "egrep": 5, "find": 4, "cat": 1, "cd": 1}
+OFTEN = 10
 
 
 def bimodal(turns: DataFrame) -> DataFrame:
@@ -119,14 +122,34 @@ def legacy_tools(commands: DataFrame) -> DataFrame:
 
 
 def loop_findings(turns: DataFrame) -> DataFrame:
-    """Findings from circular loops and from tripped circuit breakers, with evidence as JSON."""
+    """Findings from circular loops and from tripped circuit breakers, with evidence as JSON and what to do about them."""
     loops = trajectory.circular_loops(trajectory.grounded(turns)).select(
         "session_key", F.lit("circular-loop").alias("rule_id"), F.when(F.col("size") >= 6, "high").otherwise("medium").alias("severity"),
         F.least(F.lit(1.0), F.col("size") / 10.0).alias("confidence"), F.lit("WrongApproach").alias("friction"),
         F.to_json(F.struct("key", "size")).alias("evidence_json"), F.concat(F.lit("Looped over "), "key").alias("title"),
+        F.concat(F.lit("Stop reading "), "key", F.lit(" again; change it or look elsewhere")).alias("recommendation"),
     )
     stalls = ordered.circuit_breaker(turns).where("tripped").select(
         "session_key", F.lit("gate-stall").alias("rule_id"), F.lit("high").alias("severity"), F.least(F.lit(1.0), F.col("max_run") / 5.0).alias("confidence"),
         F.lit("Other").alias("friction"), F.to_json(F.struct("max_run", "stalls")).alias("evidence_json"), F.lit("Spawned one agent again and again").alias("title"),
+        F.lit("Do the step without the agent, or ask for help").alias("recommendation"),
     )
     return loops.unionByName(stalls).withColumn("rule_version", F.lit(RULE_VERSION))
+
+
+def legacy_findings(commands: DataFrame) -> DataFrame:
+    """A finding for each legacy tool of a session: low, medium from ten uses on; the estimated speedup is part of the evidence."""
+    speedups = F.create_map(*[F.lit(x) for pair in SPEEDUP.items() for x in pair])
+    rows = legacy_tools(commands).withColumn("speedup", speedups[F.col("command_base")])
+    return rows.select(
+        "session_key", F.lit("legacy-tool").alias("rule_id"), F.when(F.col("n_uses") >= OFTEN, "medium").otherwise("low").alias("severity"),
+        F.least(F.lit(1.0), F.lit(0.5) + F.col("n_uses") / 20.0).alias("confidence"), F.lit("ProcessHygieneLapse").alias("friction"),
+        F.to_json(F.struct(F.col("command_base").alias("command"), "n_uses", "replacement", "speedup")).alias("evidence_json"),
+        F.concat(F.lit("Used "), "command_base").alias("title"), F.concat(F.lit("Use "), "replacement", F.lit(" instead of "), "command_base").alias("recommendation"),
+        F.lit(RULE_VERSION).alias("rule_version"),
+    )
+
+
+def findings(turns: DataFrame, commands: DataFrame) -> DataFrame:
+    """All findings of sessions: loops, stalls and legacy tools."""
+    return loop_findings(turns).unionByName(legacy_findings(commands))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnlens import schema
 from turnlens.functions.columns import redacted, salted_hash
 from turnlens.operators import facts, folds, insights, ordered, pricing, trajectory
 from turnlens.plans import bridge
@@ -231,6 +232,48 @@ TEXT_SQL = """d AS (SELECT source AS session_key, doc_id AS turn_index, coalesce
   || CASE WHEN doc_id % 7 = 0 THEN ' github.com/acme/app/pull/' || (doc_id % 50) ELSE '' END AS text FROM documents)"""
 
 
+def vcs_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of ``text_turns`` in threes: one calls version control, two have results of that call, some of these without output."""
+    i = F.col("turn_index")
+    call_id, step = F.concat(F.lit("c"), (F.floor(i / 60)).cast("string")), F.floor(i / 20) % 3
+    call = F.struct(call_id.alias("call_id"), F.lit("git").alias("tool_name"), bridge.intent(F.lit("VersionControl"), action=F.lit("git push")).alias("intent"), F.lit("{}").alias("raw_arguments"))
+    output = F.when(i % 4 > 0, F.concat(F.lit("see github.com/acme/lib/pull/"), (i % 11).cast("string"), F.lit(" and github.com/acme/app/pull/3")))
+    null = lambda kind: F.lit(None).cast(kind)
+    result = F.struct(call_id.alias("call_id"), null("long").alias("output_bytes"), null("long").alias("line_count"), F.lit(False).alias("is_error"), null("string").alias("error_class"), output.alias("truncated_output"), null("string").alias("otel_span_id"))
+    calls, results = F.array().cast(schema.CALLS_DDL), F.array().cast(schema.RESULTS_DDL)
+    return text_turns(spark, sf_dir).withColumns({"tool_calls": F.when(step == 0, F.array(call)).otherwise(calls), "tool_results": F.when(step > 0, F.array(result)).otherwise(results)})
+
+
+PR_SQL = f"""WITH {TEXT_SQL},
+r AS (SELECT session_key, turn_index, 'c' || (turn_index // 60) AS id, 'see github.com/acme/lib/pull/' || (turn_index % 11) AS said FROM d WHERE turn_index // 20 % 3 > 0 AND turn_index % 4 > 0),
+c AS (SELECT session_key, turn_index AS call_turn, 'c' || (turn_index // 60) AS id FROM d WHERE turn_index // 20 % 3 = 0),
+v AS (SELECT DISTINCT session_key, turn_index FROM (SELECT r.session_key, id, call_turn, min(turn_index) AS turn_index FROM r JOIN c USING (session_key, id) WHERE call_turn <= turn_index GROUP BY ALL)),
+mentions AS (
+  SELECT session_key, turn_index, v.turn_index IS NOT NULL AS from_vcs, unnest(['acme/lib#' || (turn_index % 11), 'acme/app#3']) AS pr FROM r LEFT JOIN v USING (session_key, turn_index)
+  UNION ALL SELECT session_key, turn_index, false, 'acme/app#' || (turn_index % 50) FROM d WHERE turn_index % 7 = 0)
+"""
+
+
+def spent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sessions of a repository (some of none) and a category, with tokens and commits."""
+    o, k = read(spark, sf_dir, "orders"), F.col("o_custkey")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("session_key"), F.when(k % 13 > 0, F.concat(F.lit("r"), (k % 7).cast("string"))).alias("repository"), F.col("o_orderstatus").alias("category"),
+        F.col("o_orderdate").cast("timestamp").alias("started_at"), F.col("o_totalprice").alias("total_cost_usd"), (k * 1000).alias("active_duration_ms"), (F.col("o_orderkey") % 1000).alias("total_tokens"), (k % 5).alias("commits"),
+    )
+
+
+def order_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finding for each returned line item, high for large quantities."""
+    line = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return line.select(F.col("l_orderkey").cast("string").alias("session_key"), F.when(F.col("l_quantity") > 40, "high").otherwise("low").alias("severity"))
+
+
+SPENT_SQL = """WITH f AS (SELECT l_orderkey AS k, count(*) AS n_findings, count(*) FILTER (l_quantity > 40) AS n_severe FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey),
+s AS (SELECT coalesce(CASE WHEN o_custkey % 13 > 0 THEN 'r' || (o_custkey % 7) END, '(none)') AS repository, o_orderstatus AS category, o_orderdate AS started_at, CAST(o_totalprice AS DECIMAL(18,2)) AS cost, o_custkey * 1000 AS active_duration_ms,
+  o_orderkey % 1000 AS total_tokens, o_custkey % 5 AS commits, coalesce(n_findings, 0) AS n_findings, coalesce(n_severe, 0) AS n_severe FROM orders LEFT JOIN f ON k = o_orderkey)"""
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = insights.loop_findings(turns(spark, sf_dir))
     return rows.withColumn("finding_id", F.concat_ws("|", "rule_id", "session_key", "evidence_json"))
@@ -295,8 +338,11 @@ def queries() -> dict[str, Query]:
         "e12_unmapped_results": over_turns(folds.unmapped_results),
         "e13_session_counts": lambda s, d: facts.tool_call_facts(turns(s, d)).groupBy("session_key").agg(F.count(F.lit(1)).alias("n_calls"), F.count_if("is_error").alias("n_errors")),
         "e14_schema_citations": lambda s, d: folds.schema_citations(text_turns(s, d)),
-        "e15_pr_links": lambda s, d: folds.pr_links(text_turns(s, d)),
+        "e15_pr_links": lambda s, d: folds.pr_links(vcs_turns(s, d)),
+        "e15_pr_sessions": lambda s, d: folds.pr_sessions(vcs_turns(s, d)).withColumn("pull_requests", F.array_join("pull_requests", ",")),
         "e16_fuzzy_tools": over_turns(lambda t: folds.fuzzy_tools(t).withColumn("variants", F.array_join(F.transform("variants", lambda v: F.concat(v["name"], F.lit(":"), v.n_calls.cast("string"))), ","))),
+        "e17_rollups_by_repository": lambda s, d: ms(facts.rollups_by_repository(spent_sessions(s, d), order_findings(s, d)), "period_start"),
+        "e17_trailing_week": lambda s, d: ms(facts.trailing_week(spent_sessions(s, d), order_findings(s, d)), "day"),
         "e17_rollups": lambda s, d: ms(facts.periodic_rollups(session_facts(s, d)), "period_start"),
         "f1_autonomy": over_turns(ordered.autonomy),
         "f1_autonomy_conversations": lambda s, d: ordered.autonomy(said(s, d)),
@@ -324,6 +370,7 @@ def queries() -> dict[str, Query]:
         "h2_workflow_clusters": lambda s, d: insights.workflow_clusters(weekly(turns(s, d))),
         "h3_legacy_tools": lambda s, d: insights.legacy_tools(legacy_commands(s, d)),
         "h4_loop_findings": lambda s, d: findings(s, d).drop("finding_id"),
+        "h4_findings": lambda s, d: insights.findings(turns(s, d), legacy_commands(s, d)),
         "j1_report": over_turns(lambda t: ms(analysis_report(t), "timeline_last_ts").withColumn("flow_streaks", F.array_join(F.transform("flow_streaks", lambda n: n.cast("string")), ","))),
     }
 
@@ -368,8 +415,14 @@ breaker AS (SELECT s.session_key, coalesce(max(round), 0) AS max_run, count(*) F
 """
 FINDINGS_SQL = NODES_SQL + BREAKER_SQL + """, finds AS (
   SELECT session_key, 'circular-loop' AS rule_id, CASE WHEN size >= 6 THEN 'high' ELSE 'medium' END AS severity, least(1.0, size / 10.0)::DOUBLE AS confidence, 'WrongApproach' AS friction,
-    '{"key":"' || key || '","size":' || size || '}' AS evidence_json, 'Looped over ' || key AS title, '1' AS rule_version FROM loops
-  UNION ALL SELECT session_key, 'gate-stall', 'high', least(1.0, max_run / 5.0)::DOUBLE, 'Other', '{"max_run":' || max_run || ',"stalls":' || stalls || '}', 'Spawned one agent again and again', '1' FROM breaker WHERE tripped)
+    '{"key":"' || key || '","size":' || size || '}' AS evidence_json, 'Looped over ' || key AS title, 'Stop reading ' || key || ' again; change it or look elsewhere' AS recommendation, '1' AS rule_version FROM loops
+  UNION ALL SELECT session_key, 'gate-stall', 'high', least(1.0, max_run / 5.0)::DOUBLE, 'Other', '{"max_run":' || max_run || ',"stalls":' || stalls || '}', 'Spawned one agent again and again', 'Do the step without the agent, or ask for help', '1' FROM breaker WHERE tripped)
+"""
+LEGACY_SQL = "l AS (SELECT 'u' || user_id AS session_key, CASE event_type WHEN 'click' THEN 'grep' WHEN 'view' THEN 'find' WHEN 'error' THEN 'cat' END AS command_base FROM events), legacy AS (SELECT session_key, command_base, count(*) AS n_uses, CASE command_base WHEN 'grep' THEN 'rg' WHEN 'find' THEN 'fd' ELSE 'bat' END AS replacement FROM l WHERE command_base IS NOT NULL GROUP BY ALL)"
+HYGIENE_SQL = f""", {LEGACY_SQL}, hygiene AS (
+  SELECT session_key, 'legacy-tool' AS rule_id, CASE WHEN n_uses >= 10 THEN 'medium' ELSE 'low' END AS severity, least(1.0, 0.5 + n_uses / 20.0)::DOUBLE AS confidence, 'ProcessHygieneLapse' AS friction,
+    '{{"command":"' || command_base || '","n_uses":' || n_uses || ',"replacement":"' || replacement || '","speedup":' || CASE command_base WHEN 'grep' THEN 5 WHEN 'find' THEN 4 ELSE 1 END || '}}' AS evidence_json,
+    'Used ' || command_base AS title, 'Use ' || replacement || ' instead of ' || command_base AS recommendation, '1' AS rule_version FROM legacy)
 """
 CALL_FACTS = """ , wrongs AS (SELECT session_key, result_call AS call_id, bool_or(wrong) AS is_error FROM turns WHERE has_result GROUP BY ALL),
 cf AS (SELECT c.session_key, c.call_id, c.turn_index, 0::BIGINT AS call_pos, c.tool_name, c.kind AS intent_kind, c.latency_ms, coalesce(w.is_error, false) AS is_error FROM calls c LEFT JOIN wrongs w USING (session_key, call_id))
@@ -462,7 +515,7 @@ def oracle_sql() -> dict[str, str]:
         "e12_unmapped_results": over("SELECT session_key, count(*) FILTER (has_result AND span_id IS NULL) AS n_unmapped FROM turns GROUP BY session_key"),
         "e13_session_counts": over(CALL_FACTS + "SELECT session_key, count(*) AS n_calls, count(*) FILTER (is_error) AS n_errors FROM cf GROUP BY session_key"),
         "e14_schema_citations": f"WITH {TEXT_SQL} SELECT session_key, turn_index, s AS schema_id, contains(text, '```json') OR contains(text, '{{\"$schema\"') AS valid FROM d, (VALUES ('spec@1'), ('plan@1'), ('changeset@1'), ('eval-report@1'), ('finding-report@1')) v(s) WHERE contains(text, s)",
-        "e15_pr_links": f"WITH {TEXT_SQL} SELECT session_key, 'acme/app#' || (turn_index % 50) AS pr, min(turn_index) AS first_turn, count(*) AS mentions, 0::BIGINT AS vcs_mentions FROM d WHERE turn_index % 7 = 0 GROUP BY ALL",
+        "e15_pr_links": PR_SQL + "SELECT session_key, pr, min(turn_index) AS first_turn, count(*) AS mentions, count(*) FILTER (from_vcs) AS vcs_mentions FROM mentions GROUP BY session_key, pr",
         "e17_rollups": ROLLUP_SQL + "SELECT * FROM r",
         "f1_autonomy": over(AUTONOMY.format(src="turns", a="'Assistant', 'ToolResult'", u="User")),
         "f1_autonomy_conversations": "WITH v AS (SELECT 'v' || conv_id AS session_key, turn AS turn_index, role FROM conversations)" + AUTONOMY.format(src="v", a="'assistant'", u="user"),
@@ -498,8 +551,17 @@ def oracle_sql() -> dict[str, str]:
         "g8_recovery_index": over(NODES_SQL + "SELECT * FROM recov"),
         "g9_trajectory_metrics": over(NODES_SQL + "SELECT g.session_key, coalesce(monotonicity, 1.0) AS monotonicity, coalesce(efficiency, 1.0) AS efficiency, grounding, recovery, coalesce(n, 0) AS n_loops FROM ground g JOIN recov USING (session_key) LEFT JOIN mono USING (session_key) LEFT JOIN (SELECT session_key, count(*) AS n FROM loops GROUP BY session_key) USING (session_key)"),
         "h1_bimodal": over(", g AS (SELECT session_key, count(*) AS n_turns, sum(n_calls)::BIGINT AS n_calls, count(*) FILTER (kind = 'FileEdit') AS changes, count(*) FILTER (kind = 'CodeSearch') AS searches FROM turns GROUP BY session_key) SELECT *, CASE WHEN n_calls = 0 THEN 'Balanced' WHEN changes::DOUBLE / n_calls >= 0.6 AND searches <= 2 THEN 'Acceleration' WHEN searches >= 6 AND n_turns >= 15 THEN 'Exploration' ELSE 'Balanced' END AS mode FROM g"),
-        "h3_legacy_tools": "WITH c AS (SELECT 'u' || user_id AS session_key, CASE event_type WHEN 'click' THEN 'grep' WHEN 'view' THEN 'find' WHEN 'error' THEN 'cat' END AS command_base FROM events) SELECT session_key, command_base, count(*) AS n_uses, CASE command_base WHEN 'grep' THEN 'rg' WHEN 'find' THEN 'fd' ELSE 'bat' END AS replacement FROM c WHERE command_base IS NOT NULL GROUP BY ALL",
+        "h3_legacy_tools": f"WITH {LEGACY_SQL} SELECT * FROM legacy",
         "h4_loop_findings": over(FINDINGS_SQL + "SELECT * FROM finds"),
+        "h4_findings": over(FINDINGS_SQL + HYGIENE_SQL + "SELECT * FROM finds UNION ALL SELECT * FROM hygiene"),
+        "e15_pr_sessions": PR_SQL + "SELECT session_key, coalesce(string_agg(DISTINCT pr, ',' ORDER BY pr), '') AS pull_requests, min(turn_index) AS first_turn, count(*) FILTER (from_vcs) AS linked_via_vcs FROM (SELECT DISTINCT session_key FROM d) LEFT JOIN mentions USING (session_key) GROUP BY session_key",
+        "e17_rollups_by_repository": SPENT_SQL + """, r AS (SELECT CAST(date_trunc('week', started_at) AS TIMESTAMP) AS p, * FROM s)
+          SELECT epoch_us(p) // 1000 AS period_start, 'week' AS period_type, CASE grouping(repository, category) WHEN 0 THEN 'repository and category' WHEN 1 THEN 'repository' WHEN 2 THEN 'category' ELSE 'period' END AS level, repository, category,
+            count(*) AS session_count, sum(cost)::DOUBLE AS total_cost_usd, sum(active_duration_ms)::BIGINT AS active_duration_ms, sum(n_findings)::BIGINT AS finding_count, sum(n_severe)::BIGINT AS severe_count
+          FROM r GROUP BY GROUPING SETS ((p), (p, repository), (p, category), (p, repository, category))""",
+        "e17_trailing_week": SPENT_SQL + """, days AS (SELECT repository, CAST(started_at AS DATE) AS day, count(*) AS session_count, sum(cost) AS total_cost_usd, sum(active_duration_ms) AS active_duration_ms, sum(n_findings) AS finding_count, sum(n_severe) AS severe_count, sum(total_tokens) AS total_tokens, sum(commits) AS commits FROM s GROUP BY ALL)
+          SELECT repository, epoch_us(CAST(day AS TIMESTAMP)) // 1000 AS day, sum(session_count) OVER w::BIGINT AS session_count, (sum(total_cost_usd) OVER w)::DOUBLE AS total_cost_usd, (sum(active_duration_ms) OVER w)::BIGINT AS active_duration_ms, (sum(finding_count) OVER w)::BIGINT AS finding_count,
+            (sum(severe_count) OVER w)::BIGINT AS severe_count, (sum(total_tokens) OVER w)::BIGINT AS total_tokens, (sum(commits) OVER w)::BIGINT AS commits FROM days WINDOW w AS (PARTITION BY repository ORDER BY day RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)""".replace("sum(session_count) OVER w::BIGINT", "(sum(session_count) OVER w)::BIGINT"),
     }
     return found | {"j1_report": report_sql(found)}
 
