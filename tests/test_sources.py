@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from turnlens.operators import facts
+from turnlens.operators import facts, folds
 from turnlens.sources import adapters, lines, sessions
 
 
@@ -151,3 +151,58 @@ def test_trace_and_export(load):
     turns = load(CLAUDE).turns
     assert facts.trace_view(turns).orderBy("turn_index").collect()[1].asDict() | {"session_key": 0} == {"session_key": 0, "turn_index": 1, "role": "Assistant", "calls": "Read(t1)", "tokens": "3/7/11/5"}
     assert json.loads(lines.as_json(turns.where(F.col("turn_index") == 0)).first().value)["text"] == "hello"
+
+
+def test_blocks_of_a_file_are_numbered_apart(spark, tmp_path):
+    """A file of many blocks gets the numbers it has as one, and no window holds the lines of a whole file."""
+    rows = [(f"line {k} " + "é" * (k % 50) if k % 9 else "  ") + ("\r" if k % 4 == 0 else "") for k in range(4000)]
+    (tmp_path / "long.jsonl").write_bytes("\n".join(rows).encode())
+    (tmp_path / "short.jsonl").write_text("one\n\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        assert lines.text_lines(spark, f"file://{tmp_path}", "*.jsonl").select("file_path", "block").distinct().count() > 10
+        found = lines.read_lines(spark, f"file://{tmp_path}")
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.line_number, r.byte_offset, r.value) for r in found.where("file_path like '%long%'").collect())
+        heads = {r.file_path.rsplit("/", 1)[1]: r.dialect for r in lines.read_fingerprints(spark, f"file://{tmp_path}").collect()}
+        assert heads == {r.file_path.rsplit("/", 1)[1]: r.dialect for r in lines.fingerprints(found).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want, offset = [], 0
+    for k, row in enumerate(rows, 1):
+        row = row.removesuffix("\r")
+        if row.strip():
+            want.append((k, offset, row))
+        offset += len(row.encode()) + 1
+    assert got == want
+    windows = [line for line in plan.splitlines() if "Window" in line]
+    assert sum("row_number" in w for w in windows) == 1 and all("block" in w.split("[", 2)[2] for w in windows if "row_number" in w)
+
+
+def test_dialects_are_read_from_the_first_lines(spark, tmp_path):
+    step = json.dumps({"step_index": 1, "source": "MODEL", "type": "PLANNER_RESPONSE"}, separators=(",", ":"))
+    dump(tmp_path / "late.jsonl", ["x" * 1000, "y" * 1000, "z" * 60, *[step] * 5])
+    dump(tmp_path / "agy.jsonl", [*[""] * 20, step, *["w" * 500] * 50])
+    dump(tmp_path / "claude.jsonl", CLAUDE)
+    dump(tmp_path / "one.jsonl", ["q" * 5000 + step])
+    found = {r.file_path.rsplit("/", 1)[1]: r.dialect for r in lines.read_fingerprints(spark, f"file://{tmp_path}").collect()}
+    assert found == {r.file_path.rsplit("/", 1)[1]: r.dialect for r in lines.fingerprints(lines.read_lines(spark, f"file://{tmp_path}")).collect()}
+    assert found == {"late.jsonl": None, "agy.jsonl": "Antigravity", "claude.jsonl": "ClaudeCode", "one.jsonl": None}
+
+
+def test_pull_requests_of_sessions(spark):
+    """Version-control calls are used up by their first result with an output; a call in the turn of its result counts."""
+    call = lambda i, kind="VersionControl": F.struct(F.lit(i).alias("call_id"), F.struct(F.lit(kind).alias("kind")).alias("intent"))
+    result = lambda i, said: F.struct(F.lit(i).alias("call_id"), F.lit(said).cast("string").alias("truncated_output"))
+    said = [
+        ("s", 0, [call("a"), call("b")], [], "github.com/o/r/pull/1"), ("s", 1, [], [result("a", None), result("a", "github.com/o/r/pull/2 github.com/o/q/pull/3"), result("a", "github.com/o/r/pull/4")], None),
+        ("s", 2, [call("c", "Other")], [result("c", "github.com/o/r/pull/2"), result("b", "github.com/o/r/pull/x")], None), ("t", 5, [call("d")], [result("d", "github.com/o/r/pull/9")], "github.com/o/pull/7"), ("u", 0, [], [], None),
+    ]
+    kinds = "array<struct<call_id:string,intent:struct<kind:string>>>", "array<struct<call_id:string,truncated_output:string>>"
+    one = lambda s, i, c, r, t: spark.range(1).select(F.lit(s).alias("session_key"), F.lit(i).cast("long").alias("turn_index"), F.lit("Assistant").alias("role"), F.array(*c).cast(kinds[0]).alias("tool_calls"), F.array(*r).cast(kinds[1]).alias("tool_results"), F.lit(t).cast("string").alias("text"))
+    turns = one(*said[0])
+    for row in said[1:]:
+        turns = turns.unionByName(one(*row))
+    got = {r.session_key: (r.pull_requests, r.first_turn, r.linked_via_vcs) for r in folds.pr_sessions(turns).collect()}
+    assert got == {"s": (["o/q#3", "o/r#1", "o/r#2", "o/r#4"], 0, 2), "t": (["o/r#9"], 5, 1), "u": ([], None, 0)}

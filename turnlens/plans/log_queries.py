@@ -18,9 +18,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a file of lines."""
+    """Each document as a file of lines, in blocks of a few lines."""
     d = read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "value"))
-    return lines.number_lines(d, ["pos"])
+    return lines.number_lines(d.withColumn("block", F.floor(F.col("pos") / 3)), ["pos"], "block")
 
 
 def said_lines(spark: SparkSession, sf_dir: str, render: Callable[[Column], Column]) -> DataFrame:

@@ -17,26 +17,54 @@ RULES = (
 )
 
 
-def number_lines(rows: DataFrame, order: list[str]) -> DataFrame:
+BLANK = r"(?U)^\s*$"
+
+
+def number_lines(rows: DataFrame, order: list[str], block: str | None = None) -> DataFrame:
     """(file_path, line_number, byte_offset, value) of ``rows`` (file_path, value, order columns).
 
     Offsets add up bytes and one line feed per earlier line, so a carriage return at a line's end,
-    which is stripped, is not counted. Blank lines are numbered and then left out.
+    which is stripped, is not counted. Blank lines are numbered and then left out. With ``block``, a column that
+    grows along a file, lines are numbered inside their block only, and the lines and bytes of
+    the blocks before, summed in a pass of their own, are added: a file of any size is spread over its blocks.
     """
-    w = Window.partitionBy("file_path").orderBy(*order)
-    value = F.regexp_replace("value", r"\r$", "")
-    rows = rows.withColumn("value", value).select(
-        "file_path", F.row_number().over(w).cast("long").alias("line_number"),
-        F.coalesce(F.sum(F.octet_length("value") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias("byte_offset"), "value",
-    )
-    return rows.where(~F.col("value").rlike(r"(?U)^\s*$"))
+    rows = rows.withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    size = F.octet_length("value") + 1
+    key = ["file_path"] if block is None else ["file_path", block]
+    w = Window.partitionBy(*key).orderBy(*order)
+    number, offset = F.row_number().over(w).cast("long"), F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    placed = rows.select(*key, number.alias("line_number"), offset.alias("byte_offset"), "value").where(~F.col("value").rlike(BLANK))
+    if block is None:
+        return placed
+    totals = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
+    earlier = Window.partitionBy("file_path").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)  # of a file's blocks, not lines
+    before = totals.select(*key, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("n", "bytes")])
+    found = placed.join(before, key)
+    return found.select("file_path", (F.col("line_number") + F.col("n_before")).alias("line_number"), (F.col("byte_offset") + F.col("bytes_before")).alias("byte_offset"), "value")
+
+
+def text_lines(spark: SparkSession, path: str, names: str) -> DataFrame:
+    """(file_path, block, id, value): lines as read; ``id`` ascends inside a block, which is what one task reads of a file."""
+    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", names).text(path)
+    return text.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
 
 
 def read_lines(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
     """Lines of a file or of the files called ``names`` directly in a directory, in file order."""
-    text = spark.read.option("lineSep", "\n").option("pathGlobFilter", names).text(path)
-    rows = text.select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
-    return number_lines(rows, ["block", "id"])
+    return number_lines(text_lines(spark, path, names), ["id"], "block")
+
+
+def read_fingerprints(spark: SparkSession, path: str, names: str = "*.jsonl") -> DataFrame:
+    """(file_path, dialect) of the files of a directory without numbering them: of each, the first lines of the first block are kept.
+
+    A line has one byte at least, so no more than ``HEADER_BYTES`` lines can begin in the header.
+    """
+    first = Window.partitionBy("file_path").orderBy("id")
+    rows = text_lines(spark, path, names).where("block = 0").select("file_path", "id", F.substr(F.regexp_replace("value", r"\r$", ""), F.lit(1), F.lit(HEADER_BYTES)).alias("value"))
+    rows = rows.withColumn("line_number", F.row_number().over(first)).where(F.col("line_number") <= HEADER_BYTES)
+    earlier = first.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("byte_offset", F.coalesce(F.sum(F.octet_length("value") + 1).over(earlier), F.lit(0)))
+    return fingerprints(rows.where(~F.col("value").rlike(BLANK)))
 
 
 def dialect(header: Column) -> Column:
