@@ -1,12 +1,14 @@
 """Folds against plain Python on small hand-made and random sessions."""
 
 import random
+from itertools import combinations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from turnlens import schema
-from turnlens.operators import facts, folds, insights, ordered, pricing, trajectory
+from turnlens.operators import facts, folds, insights, ordered, pricing, trajectory, versioned
 from turnlens.plans import bridge
 from turnlens.plans.report import analysis_report
 
@@ -105,13 +107,13 @@ def test_rate_windows_tiers_and_ties(spark):
 def test_ledger_dead_letter_and_upsert(spark, tmp_path):
     events = [(1, 1, "enqueue", None), (1, 2, "fail", "a"), (1, 3, "fail", "b"), (1, 4, "fail", "c"), (2, 5, "enqueue", None), (3, 6, "enqueue", None), (3, 7, "fail", "x"), (4, 8, "enqueue", None), (4, 9, "complete", None)]
     got = {r.item: (r.status, r.retry_count, r.last_error) for r in facts.ledger(spark.createDataFrame(events, "item long, seq long, event string, error string")).collect()}
-    assert got == {1: ("dead_letter", 3, "c"), 2: ("pending", 0, None), 3: ("failed", 1, "x"), 4: ("complete", 0, None)}
+    assert got == {1: ("dead_letter", 3, "c"), 2: ("pending", 0, None), 3: ("failed", 1, "x"), 4: ("completed", 0, None)}
     make = lambda rows: spark.createDataFrame(rows, "provider string, provider_session_id string, cost double")
     path = str(tmp_path / "sessions")
     for _ in range(2):
-        facts.upsert(path, make([("a", "1", 1.0), ("b", "1", 2.0)]), facts.SESSION_KEY, "provider")
-    facts.upsert(path, make([("a", "1", 5.0), ("a", "2", 6.0)]), facts.SESSION_KEY, "provider")
-    rows = sorted((r.provider, r.provider_session_id, r.cost) for r in spark.read.parquet(path).collect())
+        versioned.upsert(path, make([("a", "1", 1.0), ("b", "1", 2.0)]), facts.SESSION_KEY, "provider")
+    versioned.upsert(path, make([("a", "1", 5.0), ("a", "2", 6.0)]), facts.SESSION_KEY, "provider")
+    rows = sorted((r.provider, r.provider_session_id, r.cost) for r in versioned.load(spark, path, make([]).schema).collect())
     assert rows == [("a", "1", 5.0), ("a", "2", 6.0), ("b", "1", 2.0)]
 
 
@@ -132,9 +134,25 @@ def test_similar_sessions_and_clusters(spark, frame):
     near = lambda s, t: s != t and len(grams[s] & grams[t]) / len(grams[s] | grams[t]) >= 0.75
     classes = {r.session_key: (r.class_id, r.n_links) for r in insights.session_classes(frame(turns)).collect()}
     assert classes == {s: (min(t for t in grams if grams[t] == grams[s]), sum(near(s, t) for t in grams)) for s in grams}
-    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d")], "a string, b string")
-    comps = spark.createDataFrame([(x, "a") for x in "abcd"], "node string, root string")
-    assert sorted((r.cluster, r.session_key) for r in insights.workflow_clusters(pairs, comps).collect()) == [("a", "a"), ("a", "b"), ("a", "c")]
+    best = max((set(c) for n in range(1, 6) for c in combinations(grams, n) if all(near(s, t) for s in c for t in c if s != t)), key=len)
+    assert {(r.cluster, r.session_key, r.member_count) for r in insights.workflow_clusters(frame(turns)).collect()} == {(min(best), s, len(best)) for s in best} and len(best) == 4
+
+
+
+def test_sums_of_costs_are_exact_for_any_counters(frame, spark):
+    """Counters that leave longs, unknown models with a tier of the default one, and null counters."""
+    rates = spark.createDataFrame(
+        [(k, m, t, kind, r, None, None) for k, (m, t, kind, r) in enumerate([("claude-3-5-sonnet", None, "Input", 3_000_000), ("claude-3-5-sonnet", "flex", "Input", 7), ("claude-3-5-sonnet", None, "CacheRead", 300_000), ("gpt-4o", None, "Output", 10_000_001)])],
+        "ord int, model string, tier string, kind string, rate_micro long, effective_from timestamp, effective_until timestamp",
+    ).withColumn("effective_from", F.lit("2020-01-01").cast("timestamp"))
+    used = [("s", 0, "gpt-4o-x", None, (2**62, 2**62, 5, 6, 7)), ("s", 1, "gpt-4o", None, (1, 2**33 - 1, 3, 4, 5)), ("s", 2, "mystery", "flex", (10, 0, 2, 3, 0)), ("s", 3, "mystery", "other", (10, 0, 2, 2**40, 0)), ("s", 4, "gpt-4o", "flex", (1, None, 1, 1, 1))]
+    rows = spark.createDataFrame(used, f"session_key string, turn_index long, model string, service_tier string, usage struct<{','.join(f'{c}:long' for c in ('input_tokens', 'output_tokens', 'cache_creation_tokens', 'cache_read_tokens', 'reasoning_tokens'))}>")
+    priced = pricing.rated(rows.withColumn("ts", F.lit("2021-01-01").cast("timestamp")), rates)
+    at = {r.turn_index: (r.rate_Input, r.rate_CacheRead, r.rate_Output) for r in priced.collect()}
+    assert at == {0: (0, 0, 10_000_001), 1: (0, 0, 10_000_001), 2: (7, 300_000, 0), 3: (3_000_000, 300_000, 0), 4: (0, 0, 10_000_001)}
+    got = priced.agg(pricing.summed_micro().alias("c"), pricing.summed_micro(baseline=True).alias("b"), F.sum(pricing.cost_micro()).alias("dc"), F.sum(pricing.baseline_micro()).alias("db")).first()
+    assert (got.c, got.b) == (got.dc, got.db)
+    assert int(got.c) == 10_000_001 * (2**62 + 2**33 - 1) + 70 + 900_000 + 30_000_000 + 300_000 * 2**40
 
 
 def test_report_reads_the_turns_three_times_and_shuffles_them_three_times(spark):

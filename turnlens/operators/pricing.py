@@ -83,14 +83,14 @@ def rated(usage: DataFrame, rates: DataFrame, as_of: str = "ts") -> DataFrame:
     """
     u, families = usage.withColumn("_head", F.split("model", "-")[0]).alias("u"), rate_families(rates).alias("f")
     key = F.get(F.filter("f.keys", lambda m: (F.col("u.model") == m.key) | F.startswith(F.col("u.model"), F.concat(m.key, F.lit("-")))), F.lit(0)).key
-    named = u.join(families, F.col("u._head") == F.col("f.head"), "left").select("u.*", F.coalesce(key, F.lit(DEFAULT_MODEL)).alias("_key")).drop("_head").alias("u")
-    times = rate_intervals(rates)
-    plain, tiered = times.where("tier is null").alias("p"), times.where("tier is not null").alias("t")
-    during = lambda w: (F.col(f"u.{as_of}") >= F.col(f"{w}.since")) & (F.col(f"{w}.until").isNull() | (F.col(f"u.{as_of}") < F.col(f"{w}.until")))
-    joined = named.join(plain, (F.col("u._key") == F.col("p.key")) & during("p"), "left")
-    joined = joined.join(tiered, (F.col("u._key") == F.col("t.key")) & (F.col("u.service_tier") == F.col("t.tier")) & during("t"), "left")
-    found = lambda k: F.coalesce(F.when(F.col("t.key").isNotNull(), F.col(f"t.rate_{k}")).otherwise(F.col(f"p.rate_{k}")), F.lit(0))
-    return joined.select(*[F.col(f"u.{c}") for c in usage.columns], *[found(k).alias(f"rate_{k}") for k in KINDS])
+    named = u.join(families, F.col("u._head") == F.col("f.head"), "left").select("u.*", F.coalesce(key, F.lit(DEFAULT_MODEL)).alias("_key"))
+    tiers = rates.groupBy(F.col("model").alias("_key")).agg(F.collect_set("tier").alias("_tiers"))
+    tier = F.when(F.array_contains("_tiers", F.col("service_tier")), F.col("service_tier"))
+    named = named.join(tiers, "_key", "left").withColumn("_tier", F.coalesce(tier, F.lit(""))).drop("_head", "_tiers").alias("u")
+    times = rate_intervals(rates).withColumn("tier", F.coalesce("tier", F.lit(""))).alias("t")
+    during = (F.col(f"u.{as_of}") >= F.col("t.since")) & (F.col("t.until").isNull() | (F.col(f"u.{as_of}") < F.col("t.until")))
+    joined = named.join(times, (F.col("u._key") == F.col("t.key")) & (F.col("u._tier") == F.col("t.tier")) & during, "left")
+    return joined.select(*[F.col(f"u.{c}") for c in usage.columns], *[F.coalesce(f"t.rate_{k}", F.lit(0)).alias(f"rate_{k}") for k in KINDS])
 
 
 def exact(tokens: Column, rate: str) -> Column:
@@ -107,6 +107,27 @@ def baseline_micro() -> Column:
     return (exact(prompt_tokens(), "rate_Input") + exact(F.col("usage.output_tokens"), "rate_Output") + exact(F.col("usage.reasoning_tokens"), "rate_Reasoning")).cast("decimal(38,0)")
 
 
+#: Counters and rates below these give products and sums of a row that fit in a long.
+FEW_TOKENS, FEW_MICRO, HALF = 1 << 33, 1 << 27, 31
+
+
+def summed_micro(baseline: bool = False) -> Column:
+    """The exact sum of the rows' costs (or baselines), an aggregate.
+
+    A row's cost is a long unless its counters are huge; its upper and lower bits are summed apart, also as longs, and
+    joined once for a group. Only rows with huge counters are summed as decimals.
+    """
+    counters = [F.col(f"usage.{c}") for c in COUNTERS]
+    small = F.greatest(*counters) < FEW_TOKENS
+    small &= (F.least(*counters) >= 0) & (F.greatest(*[F.col(f"rate_{k}") for k in KINDS]) < FEW_MICRO)
+    rates = dict(zip(COUNTERS, KINDS, strict=True)) | (dict.fromkeys(COUNTERS[1:3], KINDS[0]) if baseline else {})
+    cost = sum((F.col(f"usage.{c}") * F.col(f"rate_{k}") for c, k in list(rates.items())[1:]), counters[0] * F.col(f"rate_{KINDS[0]}"))
+    upper, lower = F.sum(F.when(small, F.shiftright(cost, HALF))), F.sum(F.when(small, cost.bitwiseAND(F.lit((1 << HALF) - 1))))
+    huge = F.sum(F.when(~F.coalesce(small, F.lit(False)), baseline_micro() if baseline else cost_micro()))
+    whole = lambda c: F.coalesce(c.cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
+    return (whole(upper) * F.lit(1 << HALF).cast("decimal(10,0)") + whole(lower) + F.coalesce(huge, F.lit(0).cast("decimal(38,0)"))).cast("decimal(38,0)")
+
+
 def usd(micro: Column) -> Column:
     return micro.cast("double") / F.lit(1e12)
 
@@ -128,7 +149,7 @@ def session_usage(usage: DataFrame, last_model: bool = True) -> DataFrame:
 
 
 def summarised(priced: DataFrame) -> DataFrame:
-    cost, base = F.sum(cost_micro()), F.sum(baseline_micro())
+    cost, base = summed_micro(), summed_micro(baseline=True)
     return balance(priced.groupBy("session_key").agg(*[F.sum(f"usage.{c}").alias(c) for c in COUNTERS], cost.alias("c"), base.alias("b")))
 
 
@@ -155,7 +176,7 @@ def per_model(usage: DataFrame, rates: DataFrame, grain: str = "turn") -> DataFr
     """(session_key, model, tokens by kind, cost_usd, turns)."""
     rows = usage.where("usage is not null") if grain == "turn" else session_usage(usage)
     return rated(rows, rates).groupBy("session_key", "model").agg(
-        *[F.sum(f"usage.{c}").alias(c) for c in COUNTERS], usd(F.sum(cost_micro())).alias("cost_usd"), F.count(F.lit(1)).alias("turns")
+        *[F.sum(f"usage.{c}").alias(c) for c in COUNTERS], usd(summed_micro()).alias("cost_usd"), F.count(F.lit(1)).alias("turns")
     )
 
 
