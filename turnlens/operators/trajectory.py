@@ -49,40 +49,57 @@ def components(nodes: DataFrame) -> DataFrame:
     return rows.withColumn("component", F.sum(starts.cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("reach")
 
 
-def circular_loops(nodes: DataFrame) -> DataFrame:
-    """(session_key, component, key, size): components of at least three calls, all on one key, none of which mutates."""
+def component_sums(nodes: DataFrame) -> DataFrame:
+    """One row per component: size, its key if all calls share one, whether it is a loop, and the calls that mutate.
+
+    A loop has at least ``LOOP`` calls, all on one key, none of which mutates.
+    """
     c = components(nodes).groupBy("session_key", "component").agg(
-        F.count(F.lit(1)).alias("size"), F.count("key").alias("keyed"), F.min("key").alias("key"), F.max("key").alias("top"), F.bool_or("mutates").alias("mutates"),
+        F.count(F.lit(1)).alias("size"), F.count("key").alias("keyed"), F.min("key").alias("key"), F.max("key").alias("top"), F.count_if("mutates").alias("changes"),
     )
-    return c.where((F.col("size") >= LOOP) & (F.col("keyed") == F.col("size")) & (F.col("key") == F.col("top")) & ~F.col("mutates")).select("session_key", "component", "key", "size")
+    loop = (F.col("size") >= LOOP) & (F.col("keyed") == F.col("size")) & (F.col("key") == F.col("top")) & (F.col("changes") == 0)
+    return c.select("session_key", "component", "key", "size", "changes", F.coalesce(loop, F.lit(False)).alias("loop"))
+
+
+def circular_loops(nodes: DataFrame) -> DataFrame:
+    """(session_key, component, key, size): components of at least three calls, all on one key, none of which mutates."""
+    return component_sums(nodes).where("loop").select("session_key", "component", "key", "size")
+
+
+def node_metrics(nodes: DataFrame) -> DataFrame:
+    """(session_key, n_nodes, efficiency, monotonicity, n_loops), summed from the components in the partitioning they have."""
+    size = F.sum("size")
+    sums = component_sums(nodes).groupBy("session_key").agg(size.alias("n_nodes"), ((size + F.sum("changes")) * 0.5 / size).alias("efficiency"), F.sum(F.when(F.col("loop"), F.col("size")).otherwise(0)).alias("looping"), F.count_if("loop").alias("n_loops"))
+    return sums.select("session_key", "n_nodes", "efficiency", (1 - F.least(F.lit(1.0), F.col("looping") / F.col("n_nodes"))).alias("monotonicity"), "n_loops")
 
 
 def monotonicity(nodes: DataFrame) -> DataFrame:
-    looping = circular_loops(nodes).groupBy("session_key").agg(F.sum("size").alias("looping"))
-    counted = nodes.groupBy("session_key").agg(F.count(F.lit(1)).alias("n_nodes"), F.avg(F.when(F.col("mutates"), 1.0).otherwise(0.5)).alias("efficiency"))
-    joined = counted.join(looping, "session_key", "left")
-    return joined.select("session_key", "n_nodes", "efficiency", (1 - F.least(F.lit(1.0), F.coalesce("looping", F.lit(0)) / F.col("n_nodes"))).alias("monotonicity"))
+    return node_metrics(nodes).select("session_key", "n_nodes", "efficiency", "monotonicity")
 
 
-def grounding_score(turns: DataFrame) -> DataFrame:
-    """Share of calls that are not a read, edit or search without an argument; 1 if there are no calls."""
+def turn_metrics(turns: DataFrame) -> DataFrame:
+    """(session_key, grounding, recovery) in one pass over the turns.
+
+    Grounding is the share of calls that are not a read, edit or search without an argument; recovery that of error
+    turns that are followed by a turn without error. Each is 1 where there is nothing to share.
+    """
     kind = lambda c: c.intent.kind
     blank = lambda c: (kind(c).isin("FileRead", "FileEdit") & (F.coalesce(c.intent.path, F.lit("")) == "")) | ((kind(c) == "CodeSearch") & (F.coalesce(c.intent["query"], F.lit("")) == ""))
-    out = turns.groupBy("session_key").agg(F.sum(F.size("tool_calls")).alias("n"), F.sum(F.size(F.filter("tool_calls", lambda c: ~blank(c)))).alias("good"))
-    return out.select("session_key", ratio(F.col("good"), F.col("n"), 1.0).alias("grounding"))
+    rows = turns.select("session_key", "turn_index", F.size("tool_calls").alias("n"), F.size(F.filter("tool_calls", lambda c: ~blank(c))).alias("good"), has_error().alias("wrong"))
+    rows = rows.withColumn("next", F.lead("wrong").over(in_order()))
+    out = rows.groupBy("session_key").agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.count_if("wrong").alias("errors"), F.count_if(F.col("wrong") & ~F.col("next")).alias("mended"))
+    return out.select("session_key", ratio(F.col("good"), F.col("n"), 1.0).alias("grounding"), ratio(F.col("mended"), F.col("errors"), 1.0).alias("recovery"))
+
+
+def grounding_score(turns: DataFrame) -> DataFrame:
+    return turn_metrics(turns).select("session_key", "grounding")
 
 
 def recovery_index(turns: DataFrame) -> DataFrame:
-    """Error turns that are followed by a turn without error, over all error turns; 1 if there are none."""
-    rows = turns.select("session_key", "turn_index", has_error().alias("wrong"))
-    rows = rows.withColumn("next", F.lead("wrong").over(in_order()))
-    out = rows.groupBy("session_key").agg(F.count_if("wrong").alias("n"), F.count_if(F.col("wrong") & ~F.col("next")).alias("good"))
-    return out.select("session_key", ratio(F.col("good"), F.col("n"), 1.0).alias("recovery"))
+    return turn_metrics(turns).select("session_key", "recovery")
 
 
 def trajectory_metrics(turns: DataFrame) -> DataFrame:
-    """Monotonicity, efficiency, grounding, recovery and the number of loops of every session."""
-    nodes = grounded(turns)
-    loops = circular_loops(nodes).groupBy("session_key").agg(F.count(F.lit(1)).alias("n_loops"))
-    out = grounding_score(turns).join(recovery_index(turns), "session_key").join(monotonicity(nodes), "session_key", "left").join(loops, "session_key", "left")
+    """Monotonicity, efficiency, grounding, recovery and the number of loops of every session: one pass over turns, one over calls."""
+    out = turn_metrics(turns).join(node_metrics(grounded(turns)), "session_key", "left")
     return out.select("session_key", *[F.coalesce(c, F.lit(1.0)).alias(c) for c in ("monotonicity", "efficiency", "grounding", "recovery")], F.coalesce("n_loops", F.lit(0)).alias("n_loops"))
