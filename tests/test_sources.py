@@ -206,3 +206,19 @@ def test_pull_requests_of_sessions(spark):
         turns = turns.unionByName(one(*row))
     got = {r.session_key: (r.pull_requests, r.first_turn, r.linked_via_vcs) for r in folds.pr_sessions(turns).collect()}
     assert got == {"s": (["o/q#3", "o/r#1", "o/r#2", "o/r#4"], 0, 2), "t": (["o/r#9"], 5, 1), "u": ([], None, 0)}
+
+
+def test_loading_parses_once(spark, tmp_path):
+    """Turns of files in four dialects come from one parse of each line, dealt out by their file once after they are numbered."""
+    dump(tmp_path / "one.jsonl", CLAUDE)
+    load = sessions.load(lines.read_lines(spark, f"file://{tmp_path}"), lines.read_fingerprints(spark, f"file://{tmp_path}"))
+    plan = load.turns._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 2 and plan.count("Union") == 0  # the line, and arguments that are JSON in a string
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        numbered = lines.number_lines(spark.createDataFrame([("f", 1, "x")], "file_path string, pos long, value string"), ["pos"])
+        plan = sessions.load(numbered).turns._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Exchange hashpartitioning") <= 2 and plan.count("Exchange") <= 3

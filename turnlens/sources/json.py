@@ -41,14 +41,9 @@ def time(v: Column, path: str) -> Column:
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """``lines`` with ``v`` (null: malformed), ``good`` and, over a file's lines, an order."""
-    return lines.withColumn("v", F.try_parse_json(F.regexp_replace("value", r"(?U)^\ufeff|^\s+|\s+$", ""))).withColumn("good", F.col("v").isNotNull())
+    """``lines`` with ``v``; null: malformed."""
+    return lines.withColumn("v", F.try_parse_json(F.regexp_replace("value", r"(?U)^\ufeff|^\s+|\s+$", "")))
 
 
 def line_order() -> Window:
     return Window.partitionBy("file_path").orderBy("line_number")
-
-
-def failures(rows: DataFrame, error: Column) -> DataFrame:
-    """(file_path, line_number, byte_offset, error) of the rows with an error."""
-    return rows.withColumn("error", error).where("error is not null").select("file_path", "line_number", "byte_offset", "error")

@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnlens.sources import adapters
-from turnlens.sources.adapters import Parsed
-from turnlens.sources.lines import ANTIGRAVITY, CLAUDE, CODEX, OPENCODE, fingerprints
+from turnlens.sources.adapters import Parsed, parse
+from turnlens.sources.lines import fingerprints
 
-BY_DIALECT = {CLAUDE: adapters.claude, CODEX: adapters.codex, ANTIGRAVITY: adapters.antigravity, OPENCODE: adapters.opencode}
 SUBAGENT = r"^(.*)/subagents/([^/]+)\.jsonl$"
 
 
-def load(lines: DataFrame) -> Parsed:
-    """Turns, failures and sessions of all files; a file of no known dialect becomes one failure at line 0."""
-    marked = lines.join(fingerprints(lines), "file_path")
-    parts = [parse(marked.where(F.col("dialect") == name).drop("dialect")) for name, parse in BY_DIALECT.items()]
-    unknown = marked.where("dialect is null").select("file_path").distinct().select("file_path", F.lit(0).cast("long").alias("line_number"), F.lit(0).cast("long").alias("byte_offset"), F.lit("unknown dialect").alias("error"))
-    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
-    return Parsed(union([p.turns for p in parts]), union([p.failures for p in parts] + [unknown]), union([p.sessions for p in parts]))
+def load(lines: DataFrame, dialects: DataFrame | None = None) -> Parsed:
+    """Turns, failures and sessions of all files; a file of no known dialect becomes one failure at line 0.
+
+    ``dialects`` (file_path, dialect) may come from ``read_fingerprints``; else the numbered lines tell them.
+    """
+    marked = lines.join(fingerprints(lines) if dialects is None else dialects, "file_path")
+    known = parse(marked)
+    zero = F.lit(0).cast("long")
+    unknown = marked.where("dialect is null").groupBy("file_path").agg(zero.alias("line_number"), zero.alias("byte_offset"), F.lit("unknown dialect").alias("error"))
+    return Parsed(known.turns, known.failures.unionByName(unknown), known.sessions)
 
 
 def link_subagents(sessions: DataFrame) -> DataFrame:
