@@ -74,7 +74,7 @@ def similar_sets(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
 
 def similar_sessions(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
     """(a, b, jaccard) of class representatives whose bigram sets have at least that similarity; ``session_classes`` has the members."""
-    return similar_sets(gram_sets(turns), least)
+    return similar_sets(written(gram_sets(turns), "grams"), least)
 
 
 def session_classes(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
@@ -83,7 +83,7 @@ def session_classes(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
     The class is the least session with an equal bigram set; links are the other sessions of the class and
     all members of similar classes, counted without listing them.
     """
-    sets = gram_sets(turns)
+    sets = written(gram_sets(turns), "grams")
     sizes = sets.groupBy(F.col("rep").alias("class_id")).agg(F.count(F.lit(1)).alias("members"))
     pairs = similar_sets(sets, least)
     other = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -47,7 +47,7 @@ def normalized_models(models: DataFrame, rates: DataFrame) -> DataFrame:
     distinct = models.select("model").where("model is not null").distinct()
     parts = F.split("model", "-")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "-"))
-    hits = distinct.select("model", F.posexplode(prefixes).alias("n", "key")).join(F.broadcast(known), "key")
+    hits = distinct.select("model", F.posexplode(prefixes).alias("n", "key")).join(known, "key")
     best = hits.groupBy("model").agg(F.max_by("key", "n").alias("key"))
     return distinct.join(best, "model", "left")
 

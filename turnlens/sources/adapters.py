@@ -38,18 +38,23 @@ class Parsed:
     sessions: DataFrame
 
 
+# The names that tools have in the logs, by what they do.
+READS, EDITS, CREATES = ("view_file", "Read", "read_file"), ("replace_file_content", "Edit", "edit_file"), ("write_to_file", "Write")
+SEARCHES, FINDS, SHELLS = ("grep_search", "rg"), ("find_by_name", "fd"), ("run_command", "Bash", "bash")
+
+
 def tool_intent(name: Column, args: Column) -> Column:
     """The typed intent of a tool call by its name and arguments (a variant)."""
     arg = lambda *names: F.coalesce(*[string(args, f"$.{n}") for n in names], F.lit(""))
     command = arg("CommandLine", "command")
     return (
-        F.when(name.isin("view_file", "Read", "read_file"), intent(F.lit("FileRead"), path=arg("AbsolutePath", "file_path")))
-        .when(name.isin("replace_file_content", "Edit", "edit_file"), intent(F.lit("FileEdit"), path=arg("TargetFile", "file_path"), lines_added=F.lit(0), lines_removed=F.lit(0)))
-        .when(name.isin("write_to_file", "Write"), intent(F.lit("FileCreate"), path=arg("TargetFile", "file_path")))
-        .when(name.isin("grep_search", "rg"), intent(F.lit("CodeSearch"), query=arg("Query", "pattern"), is_ast=F.lit(False), tool=name))
-        .when(name.isin("find_by_name", "fd"), intent(F.lit("FileDiscovery"), pattern=arg("Pattern", "pattern")))
-        .when(name.isin("run_command", "Bash", "bash") & command.startswith("git"), intent(F.lit("VersionControl"), action=command))
-        .when(name.isin("run_command", "Bash", "bash") & F.contains(command, F.lit("test")), intent(F.lit("TestExecution"), runner=F.lit("shell")))
+        F.when(name.isin(*READS), intent(F.lit("FileRead"), path=arg("AbsolutePath", "file_path")))
+        .when(name.isin(*EDITS), intent(F.lit("FileEdit"), path=arg("TargetFile", "file_path"), lines_added=F.lit(0), lines_removed=F.lit(0)))
+        .when(name.isin(*CREATES), intent(F.lit("FileCreate"), path=arg("TargetFile", "file_path")))
+        .when(name.isin(*SEARCHES), intent(F.lit("CodeSearch"), query=arg("Query", "pattern"), is_ast=F.lit(False), tool=name))
+        .when(name.isin(*FINDS), intent(F.lit("FileDiscovery"), pattern=arg("Pattern", "pattern")))
+        .when(name.isin(*SHELLS) & command.startswith("git"), intent(F.lit("VersionControl"), action=command))
+        .when(name.isin(*SHELLS) & F.contains(command, F.lit("test")), intent(F.lit("TestExecution"), runner=F.lit("shell")))
         .otherwise(intent(F.lit("Other"), raw_name=name))
     )
 
