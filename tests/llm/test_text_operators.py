@@ -5,12 +5,14 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -329,6 +331,47 @@ def test_iblt_recovers_the_difference(spark, plain, odd, nothing):
     assert iblt.compare_edits(nothing).count() == 0
 
 
+def digests_of_fingerprint(text):
+    """Digests that a fingerprint gives away, peeled from its string alone."""
+    long = lambda x: x - (1 << 64) if x >> 63 else x
+    seeded = lambda d, k: xxhash.xxh64(struct.pack("<i", k), seed=xxhash.xxh64(struct.pack("<Q", d), seed=42).intdigest()).intdigest()
+    size, cells = int(text[:8], 16), {}
+    for k in range(8, len(text), 44):
+        at, n, d, c = (int(text[k + a : k + b], 16) for a, b in ((0, 8), (8, 12), (12, 28), (28, 44)))
+        cells[at] = [n, d, c]
+    found, pure = set(), list(cells)
+    while pure:
+        n, d, c = cells[pure.pop()]
+        if n != 1 or c != seeded(d, iblt.TABLES):
+            continue
+        found.add(long(d))
+        for t in range(iblt.TABLES):
+            at = t * size + seeded(d, t) % size
+            cells[at] = [cells[at][0] - 1, cells[at][1] ^ d, cells[at][2] ^ c]
+            pure.append(at)
+    assert all(x == [0, 0, 0] for x in cells.values())
+    return found
+
+
+@pytest.mark.parametrize("expected", [None, 0])
+def test_likeness_is_a_function_of_the_two_strings(spark, plain, odd, monkeypatch, expected):
+    if expected is not None:  # fingerprints and comparisons start too small and grow
+        monkeypatch.setattr(iblt, "expected_difference", lambda a, b: F.lit(expected))
+    long = [(10**6 + k, "\n".join(f"line number {n} of a long text" for n in range(40 * k, 40 * k + 300))) for k in range(4)]
+    frame = plain.select("doc_id", "text").unionByName(spark.createDataFrame(long, "doc_id long, text string")).dropDuplicates(["doc_id"])
+    rows = sorted(iblt.compare_edits(frame).collect(), key=lambda r: -r.doc_id)
+    texts = {r.doc_id: r.text or "" for r in frame.collect()}
+    assert len(rows) == len(texts)
+    sets = [digests_of_fingerprint(r.fingerprint) for r in rows]
+    share = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+    for k, r in enumerate(rows):
+        assert len(sets[k]) == len(set(re.findall(iblt.PIECE, texts[r.doc_id])))
+        assert abs(r.near_edited - share(sets[k], digests_of_fingerprint(r.edited_fingerprint))) < 1e-12
+        assert abs(r.near_next - share(sets[k], sets[(k + 1) % len(rows)])) < 1e-12
+    for r in iblt.compare_edits(odd).collect():
+        assert abs(r.near_edited - share(digests_of_fingerprint(r.fingerprint), digests_of_fingerprint(r.edited_fingerprint))) < 1e-12
+
+
 def test_small_sketches_peel_in_their_row(spark):
     rows = [([], []), ([1, 2, 3], [1, 2, 3]), ([1, 2], [2, 3]), (list(range(40)), list(range(1, 41))), ([7], []), (list(range(100)), []), (list(range(5)), list(range(3, 9)))]
     frame = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(rows)], "k int, one array<long>, two array<long>")

@@ -6,12 +6,15 @@ up and digests and check hashes are xored. Two sketches of one size subtract cel
 paragraphs vanish, and peeling recovers the rest: a cell with one digest gives it away, and the digest
 leaves its other cells.
 
-The fingerprint of a text is its smallest sketch, whole. Two fingerprints are subtracted and peeled in
-their row. Where they differ by more than so few cells hold, larger sketches follow, at first by the
-expected difference (that of an eighth of the digests), then ``GROW`` times larger until all cells
-empty. There subtables take turns, so a digest is never recovered twice, and all cells of a document
-stay in the task that holds its id range: the table of digests is bucketed by that range, and cells are
-grouped below it, so no cell is shuffled.
+The fingerprint of a text is one sketch, whole, of a size that its own digests set: a power of two above
+their number, ``GROW`` times larger until the sketch peels alone. So a fingerprint gives away all its
+digests, and the likeness of two texts is a function of their two strings. Sketches are nested: folding
+a larger one gives every smaller one, so two fingerprints are first folded to their smallest size,
+subtracted and peeled in their row. Where they differ by more than so few cells hold, the digests
+that each gives away go to sketches of one larger size, ``GROW`` times larger until all cells empty.
+There subtables take turns, so a digest is never recovered twice, and all cells of a document stay in the
+task that holds its id range: the table of digests is bucketed by that range, and cells are grouped below
+it, so no cell is shuffled.
 """
 
 from __future__ import annotations
@@ -21,17 +24,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnlens.llm.common import cut, id_bucket, id_parts, whole_text
+from turnlens.llm.common import cut, id_bucket, id_parts, shared_dir, whole_text
 
 #: Ranges of ids, and rows of a part of a range; a task handles whole parts.
 RANGES, ROWS = 256, 4_000
 #: A paragraph: up to a line end, or to the end of the first sentence after so many characters.
 PIECE = r"[^\n]{1,40}[^.!?\n]*[.!?]*"
-#: Cells of a subtable in the fingerprint; a power of two.
+#: Cells of a subtable in the smallest sketch; a power of two.
 CELLS = 4
 TABLES, TURNS, GROW = 3, 9, 4
-#: One in so many digests tells the expected difference.
-SAMPLE = 8
 
 
 def digests(text: Column) -> Column:
@@ -61,10 +62,10 @@ def sketch(found: Column) -> Column:
     return F.transform(F.array(items), lambda v: F.array(*[cell(v, t, c) for t in range(TABLES) for c in range(CELLS)]))[0]
 
 
-def fingerprint(cells: Column) -> Column:
-    """A smallest sketch as text: four hex digits of the count, sixteen each of the xored digests and check hashes per cell."""
-    wide = lambda x: F.lpad(F.hex(x), 16, "0")
-    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c.n % 65_536), 4, "0"), wide(c.d), wide(c.c))), ""))
+def written(cells: Column, size: Column) -> Column:
+    """A sketch as text: eight hex digits of the cells of a subtable, then per filled cell (at, n, d, c), ascending, eight of its place, four of the count, sixteen each of the xored digests and check hashes."""
+    wide = lambda x, digits: F.lpad(F.hex(x), digits, "0")
+    return F.lower(F.concat(wide(size, 8), F.array_join(F.transform(F.array_sort(cells), lambda c: F.concat(wide(c["at"], 8), wide(c.n % 65_536, 4), wide(c.d, 16), wide(c.c, 16))), "")))
 
 
 def subtract(one: Column, two: Column) -> Column:
@@ -160,10 +161,13 @@ def power_of_two(n: Column) -> Column:
 
 
 def expected_difference(one: Column, two: Column) -> Column:
-    """Differing digests as those with the lowest bits zero tell it; 64-bit digests fall there evenly."""
-    some = lambda found: F.filter(found, lambda d: d.bitwiseAND(F.lit(SAMPLE - 1)) == 0)
-    one, two = some(one), some(two)
-    return SAMPLE * (F.size(F.array_except(one, two)) + F.size(F.array_except(two, one)))
+    """At most so many digests differ."""
+    return F.size(one) + F.size(two)
+
+
+def first_size(differing: Column) -> Column:
+    """Cells of a subtable at first: few filled cells are written or grouped, however many there are."""
+    return power_of_two(differing + 2 * CELLS)
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -173,7 +177,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     Likeness is the Jaccard share of the digests: (sizes - differing) / (sizes + differing), 1 if
     neither text has a paragraph. Null texts are empty; an only row follows itself; repeated rows and
     null ids each keep their row; an empty table gives no rows; other columns are left out. The table of
-    digests stays in the warehouse, since the result reads it.
+    digests stays in the shared folder, since the result reads it.
     """
     spark = docs.sparkSession
     n = F.char_length("text")
@@ -186,33 +190,69 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     rows = rows.select("range", F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", digests(F.col("edited")).alias("edit"), "next")
     rows = rows.withColumns({"a": sketch(F.col("own")), "b": sketch(F.col("edit")), "c": sketch(F.col("next"))})
     rows = rows.select(
-        "range", "rid", "doc_id", "n_chars", "edited_sha256", "own", "edit", "next", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"),
+        "range", "rid", "doc_id", "n_chars", "edited_sha256", "own", "edit", "next",
         peel_small(subtract(F.col("a"), F.col("b"))).alias("d1"), peel_small(subtract(F.col("a"), F.col("c"))).alias("d2"),
     )
     name = f"iblt_{uuid.uuid4().hex}"
-    rows.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").saveAsTable(name)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").bucketBy(parts, "range").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     rows = spark.table(name)
 
-    both = F.array(*[F.struct(F.lit(k).alias("cmp"), F.col("own").alias("one"), F.col(two).alias("two"), F.col(f"d{k}").alias("d")) for k, two in ((1, "edit"), (2, "next"))])
-    pairs = rows.select("range", "rid", F.inline(F.filter(both, lambda x: x.d.isNull())))
-    first = power_of_two(expected_difference(F.col("one"), F.col("two")) / 2 + 2 * CELLS)
+    # 1 and 2 compare two texts, where the smallest sketches did not peel; 3 and 4 peel a fingerprint alone
+    none = F.array().cast("array<bigint>")
+    tried = ((1, "own", F.col("edit"), F.col("d1")), (2, "own", F.col("next"), F.col("d2")), (3, "own", none, F.lit(None)), (4, "edit", none, F.lit(None)))
+    each = F.array(*[F.struct(F.lit(k).alias("cmp"), F.col(one).alias("one"), two.alias("two"), d.cast("long").alias("d")) for k, one, two, d in tried])
+    pairs = rows.select("range", "rid", F.inline(F.filter(each, lambda x: x.d.isNull())))
+    first = first_size(expected_difference(F.col("one"), F.col("two")))
     done, todo, grown = [], pairs, 1
     while todo is not None:
         # where all digests cancel, no cell is left to report: such a comparison differs in nothing
         out = cut(peel(todo.withColumn("cells", first * grown)), "iblt-peeled")
-        done.append(out.where("left = 0").select("rid", "cmp", "differing"))
-        failed = out.where("left > 0").select("rid", "cmp")
-        todo = pairs.join(failed, ["rid", "cmp"]) if failed.limit(1).count() else None
+        done.append(out.where("left = 0").select("range", "rid", "cmp", "differing", F.lit(grown).alias("grown")))
+        failed = out.where("left > 0").select("range", "rid", "cmp")
+        todo = pairs.join(failed, ["range", "rid", "cmp"]) if failed.limit(1).count() else None
         grown *= GROW
     found = done[0]
     for d in done[1:]:
         found = found.unionByName(d)
-    found = found.groupBy("rid").agg(*[F.max(F.when(F.col("cmp") == k, F.col("differing"))).alias(f"more{k}") for k in (1, 2)])
-
-    kept = rows.select("rid", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "d1", "d2", F.size("own").alias("n_own"), F.size("edit").alias("n_edit"), F.size("next").alias("n_next"))
+    found = found.groupBy("range", "rid").agg(
+        *[F.max(F.when(F.col("cmp") == k, F.col("differing"))).alias(f"more{k}") for k in (1, 2)],
+        *[F.max(F.when(F.col("cmp") == k, F.col("grown"))).alias(f"grown{k}") for k in (3, 4)],
+    )
 
-    def share(size: str, k: int) -> Column:
-        total, differing = F.col("n_own") + F.col(size), F.coalesce(f"d{k}", f"more{k}", F.lit(0))
+    def share(other: str, k: int) -> Column:
+        total, differing = F.size("own") + F.size(other), F.coalesce(f"d{k}", f"more{k}", F.lit(0))
         return F.when(total == 0, F.lit(1.0)).otherwise((total - differing) / (total + differing))
 
-    return kept.join(found, "rid", "left").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", share("n_edit", 1).alias("near_edited"), share("n_next", 2).alias("near_next"))
+    def size(found: str, k: int) -> Column:
+        return first_size(expected_difference(F.col(found), none)) * F.coalesce(f"grown{k}", F.lit(1))
+
+    judged = rows.join(found, ["range", "rid"], "left").select(
+        "range", "rid", "own", "edit", size("own", 3).alias("own_cells"), size("edit", 4).alias("edit_cells"),
+        F.struct("doc_id", "n_chars", "edited_sha256", share("edit", 1).alias("near_edited"), share("next", 2).alias("near_next"), size("own", 3).alias("own_cells"), size("edit", 4).alias("edit_cells")).alias("head"),
+    )
+    return with_fingerprints(judged)
+
+
+def with_fingerprints(judged: DataFrame) -> DataFrame:
+    """Both fingerprints of each row, and the columns of its ``head``.
+
+    A row's head goes beside its digests through the grouping of cells (as a part of the key that is
+    null for cells), so no fingerprint is joined or shuffled.
+    """
+    zero = F.lit(0).cast("long")
+    nothing = F.lit(None).cast(judged.schema["head"].dataType)
+    entry = lambda head, side, cells, d: F.struct(head.alias("head"), F.lit(side).alias("side"), cells.alias("cells"), d.alias("d"))
+    of_side = lambda side, name: F.transform(name, lambda d: entry(nothing, side, F.col(f"{name}_cells"), d))
+    sides = of_side(1, "own"), of_side(2, "edit")
+    entries = judged.select("range", "rid", F.inline(F.concat(F.array(entry(F.col("head"), 0, zero, zero)), *sides)))
+    at = lambda t: (F.lit(t) * F.col("cells") + position(F.col("d"), t, F.col("cells"))).alias("at")
+    spots = F.when(F.col("side") == 0, F.array(zero)).otherwise(F.array(*[at(t) for t in range(TABLES)]))
+    cells = entries.select("range", "rid", "head", "side", "d", check(F.col("d")).alias("c"), F.explode(spots).alias("at"))
+    cells = cells.groupBy("range", "rid", "head", "side", "at").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("d").alias("d"), F.bit_xor("c").alias("c"))
+    of = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("at", "n", "d", "c")))
+    whole = cells.groupBy("range", "rid").agg(F.first("head", ignorenulls=True).alias("head"), of(1).alias("own"), of(2).alias("edit"))
+    return whole.select(
+        "head.doc_id", "head.n_chars", "head.edited_sha256", written(F.col("own"), F.col("head.own_cells")).alias("fingerprint"),
+        written(F.col("edit"), F.col("head.edit_cells")).alias("edited_fingerprint"), "head.near_edited", "head.near_next",
+    )
