@@ -191,6 +191,29 @@ def test_crowded_anchors_are_split(spark, monkeypatch):
         assert {(r.doc_id, r.n_bytes): (bytes(r.kept), len(r.spans)) for r in rows} == want
 
 
+def test_runs_are_settled_batch_by_batch(spark):
+    """Anchors with many equal and different runs, over batches of one to many rows: the same runs stay and the same bytes go."""
+    rng = np.random.default_rng(21)
+    rows = [(int(k), int(h), int(d), int(x), 5 << 16 | 3 << 8 | int(n)) for k, h, d, x, n in zip(rng.integers(0, 6, 400), rng.integers(0, 3, 400), rng.integers(0, 90, 400), rng.integers(0, 4, 400), rng.integers(1, 9, 400), strict=True)]
+    rows += [(50, 1, 1, 0, 5 << 16 | 1), (51, 1, 1, 0, 5 << 16 | 1), (51, 1, 2, 0, 5 << 16 | 1), (3, 0, 3, 9 << 32 | 1, -1 - 5)]
+    rows += rows[:40]  # the copies that repeated rows make
+    frame = spark.createDataFrame(rows, suffix_dedup.ROW)
+    first = {}
+    for r in sorted(rows, key=lambda r: (*r[:3], r[4] >> 16, r[3])):
+        if r[4] >= 0:
+            first.setdefault(r[:2], r)
+    several = {k for k, h in first if any(o != h and (k, o) in first for o in range(3))}
+    stay = sorted((k, h, d, x) for (k, h), (_, _, d, x, _) in first.items() if k in several)
+    bytes_gone = {(d, b) for k, h, d, x, y in rows if y >= 0 and (d, x) != first[k, h][2:4] for b in range(x, x + (y & 255) + suffix_dedup.LENGTH - 1)} | set((3, b) for b in range(1, 9))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in (1, 2, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = suffix_dedup.settle_runs(frame).collect()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert sorted((r.key, r.hash, r.doc, r.x) for r in got if r.y >= 0) == stay
+        assert {(r.doc, b) for r in got if r.y < 0 for b in range(r.x & 0xFFFFFFFF, r.x >> 32)} == bytes_gone
+
+
 def test_column_orders_are_suffix_orders():
     rng = np.random.default_rng(2)
     rows = [bytes(rng.integers(97, 99, rng.integers(1, 12)).tolist()) for _ in range(60)]

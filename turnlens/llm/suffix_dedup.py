@@ -17,7 +17,8 @@ longest text over the whole collection, so the collection is first cut to the st
    around it: first the windows that reach further before it from those that reach further behind it,
    then each half again, until a part is small or holds one window alone. No task holds a whole anchor.
 
-Every window of every text is covered, and comparisons in steps 2 and 3 are of bytes, not hashes.
+Every window of every text is covered. Comparisons in steps 2 and 3 are of bytes; those of step 1, which settles
+most runs, are of two 64-bit hashes, of the anchor and of the run.
 """
 
 from __future__ import annotations
@@ -236,37 +237,38 @@ def hash_runs(docs: DataFrame) -> DataFrame:
 
 
 def settle_runs(hashed: DataFrame) -> DataFrame:
-    """Step 1 across tasks: the intervals of later equal runs, and the first runs whose anchor has other runs too."""
+    """Step 1 across tasks: the intervals of later equal runs, and the first runs whose anchor has other runs too.
 
-    def solve(c: list[np.ndarray]) -> pa.RecordBatch:
+    A task reads its runs in order and keeps one: the first of the set of equal runs it is in.
+    """
+
+    def solve(lead: list[np.ndarray] | None, told: bool, c: list[np.ndarray]) -> tuple[pa.RecordBatch, list[np.ndarray] | None, bool]:
+        """What the runs ``c`` settle, after the first run ``lead`` of the last set (returned before, if ``told``); the new such run."""
         done = c[4] < 0
         through = [v[done] for v in c]
-        key, h, doc, x, y = (v[~done] for v in c)
+        live = [v[~done] for v in c]
+        if not len(live[0]):
+            return rows_of(through), lead, told
+        if lead is not None:
+            live = [np.concatenate(v) for v in zip(lead, live, strict=True)]
+        key, h, doc, x, y = live
         keep, late = split_runs(key, h, doc, x, y)
         gone = intervals(doc[late], y[late] >> 16, x[late], x[late] + (y[late] & 255) + LENGTH - 1)
-        kept = [v[keep] for v in (key, h, doc, x, y)]
-        k = kept[0]
-        near = np.zeros(len(k), bool)
-        same = k[1:] == k[:-1]
+        kept = [v[keep] for v in live]
+        same = kept[0][1:] == kept[0][:-1]
+        near = np.zeros(len(kept[0]), bool)
         near[1:] |= same
         near[:-1] |= same
-        return rows_of([np.concatenate([a, b, v[near]]) for a, b, v in zip(through, gone, kept, strict=True)])
+        ends_told = bool(near[-1]) or (told and len(near) == 1)
+        near[0] &= not told
+        return rows_of([np.concatenate([a, b, v[near]]) for a, b, v in zip(through, gone, kept, strict=True)]), [v[-1:] for v in kept], ends_told
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
+        lead, told = None, False
         for b in batches:
-            if not b.num_rows:
-                continue
-            c = [v.to_numpy(zero_copy_only=False) for v in b.columns]
-            last = int(np.searchsorted(c[0], c[0][-1], "left"))  # the last anchor may go on in the next batch
-            if held and c[0][-1] == held[-1][0][-1]:
-                held.append(c)
-                continue
-            if last or held:
-                yield solve([np.concatenate(v) for v in zip(*held, [v[:last] for v in c], strict=True)])
-            held = [[v[last:] for v in c]]
-        if held:
-            yield solve([np.concatenate(v) for v in zip(*held, strict=True)])
+            if b.num_rows:
+                out, lead, told = solve(lead, told, [v.to_numpy(zero_copy_only=False) for v in b.columns])
+                yield out
 
     dealt = hashed.repartition("key").sortWithinPartitions("key", "hash", "doc", F.shiftright("y", 16), "x")
     return dealt.mapInArrow(run, ROW)
