@@ -1,6 +1,7 @@
 """Brute-force checks of the operators on texts, over odd rows and empty tables."""
 
 import base64
+import bisect
 import hashlib
 import math
 import random
@@ -325,6 +326,32 @@ def test_ring_overflow_goes_clockwise(spark):
     assert sorted((r.arc, r.shard, r.lo, r.hi) for r in hash_ring.place_arcs(arcs, 3).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("shards, vnodes", [(4, 64), (7, 3), (1, 1)])
+def test_ring_places_every_row_as_a_walk_does(spark, odd, shards, vnodes):
+    """Shard and slot of each row by a walk over single rows in ring order, from hash to slot."""
+    more = spark.createDataFrame([(5000 + 3 * k, f"text {k % 7}") for k in range(500)], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").unionByName(more)
+    nodes = hash_ring.ring_nodes(shards, vnodes)
+    slots = [slot for slot, _ in nodes]
+    rows = []
+    for r in docs.collect():
+        h = xxhash.xxh64((str(r.doc_id) if r.doc_id is not None else r.text or "").encode(), seed=42).intdigest()
+        slot = h % hash_ring.RING
+        data = (r.text or "").encode()
+        # ids that are null come first; slots behind the last node go to the first one
+        rows.append((bisect.bisect_left(slots, slot) % len(nodes), slot, h - (1 << 64) if h >> 63 else h, r.doc_id is not None, r.doc_id or 0, zlib.crc32(data), len(data) + 1))
+    rows.sort()
+    room = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    filled, want = [0] * shards, []
+    for arc, *_, known, doc, crc, size in rows:
+        shard = next(s for s in nodes[arc][1] if filled[s] < room[s])
+        want.append((doc if known else None, size, crc, shard, filled[shard]))
+        filled[shard] += 1
+    got = [(r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in hash_ring.shard_rows(docs, shards, vnodes).collect()]
+    key = lambda r: (r[0] is not None, *[x or 0 for x in r])
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 def test_iblt_recovers_the_difference(spark, plain, odd, nothing):
     rng = np.random.default_rng(3)
     line = lambda: "line of " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 12)) + "."

@@ -119,7 +119,8 @@ class Replay:
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Every row of ``docs`` with ``ids``, little-endian unsigned 32-bit integers, in the place of ``text``.
 
-    Null and empty texts give no ids; rows keep their number and their other columns (one named ids is replaced).
+    Null and empty texts give no ids; repeated rows and null ids each keep their row and their other columns (one named
+    ids is replaced); an empty table gives no rows.
     """
     docs = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
     docs = docs.select(*[c for c in docs.columns if c != "text"], "text")
