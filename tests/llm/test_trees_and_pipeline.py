@@ -147,6 +147,23 @@ def test_pipeline_stages_equal_brute_force_on_planted_rows(spark, tmp_path):
         assert stage(spark, nothing, str(tmp_path)).count() == 0, name
 
 
+def test_pipeline_stages_ignore_clashing_columns(spark):
+    """Extra columns, also those named like columns that the stages use inside, change nothing and are left out."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    base = "the cat sat on the mat and looked at the moon while the dog slept near the old stone wall and the bird sang. "
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    texts = [base * 3, base * 3, None, "", f"{base} {leak} {base}", "token = abcdefghijklmnop here", "word " * 60_000]
+    docs = spark.createDataFrame([(k, t, "en", "web", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    clash = docs.select("*", *[F.lit("clash").alias(c) for c in ("key", "spans", "base", "score", "node", "item_id", "ids", "n", "toxic", "root")])
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        plain, odd = stage(spark, docs, sf), stage(spark, clash, sf)
+        assert odd.columns == plain.columns, name
+        assert sorted(map(str, odd.collect())) == sorted(map(str, plain.collect())), name
+
+
 def test_queries_equal_their_sql(spark):
     import duckdb
 
