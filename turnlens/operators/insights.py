@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens.functions.columns import ratio
@@ -11,6 +13,8 @@ from turnlens.operators import graph, ordered, trajectory
 
 ACCELERATION, FEW_SEARCHES, MANY_SEARCHES, MANY_TURNS = 0.60, 2, 6, 15
 SIMILAR, CLIQUE = 0.75, 3
+#: Size of the smaller set from which on pairs of sets meet by one gram instead of three, 64-bit words of a set's bits, and what rounding of products like 0.7 * 10 may be off.
+MANY_GRAMS, WORDS, SLACK = 32, 4, 1e-9
 RULE_VERSION = "1"
 
 # Legacy tools and what replaces them.
@@ -45,31 +49,73 @@ def bigrams(turns: DataFrame) -> DataFrame:
 
 
 def gram_sets(turns: DataFrame) -> DataFrame:
-    """(session_key, g, rep): the bigram set of each session, rarest first, and the least session with an equal set."""
-    grams = bigrams(turns)
+    """(session_key, g, rep): the bigram set of each session as numbers of its grams, rarest first, and the least session with an equal set."""
+    grams = written(bigrams(turns), "bigrams")
     df = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    sets = grams.join(df, "gram").groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    sets = sets.select("session_key", F.transform("g", lambda x: x.gram).alias("g"))
+    # sorted parts are numbered in order, so the number ascends with (df, gram)
+    ids = written(df.orderBy("df", "gram").select("gram", F.monotonically_increasing_id().alias("id")), "gram-ids")
+    sets = grams.join(ids, "gram").groupBy("session_key").agg(F.array_sort(F.collect_list("id")).alias("g"))
     reps = sets.groupBy("g").agg(F.min("session_key").alias("rep"))
     return sets.join(reps, "g").select("session_key", "g", "rep")
 
 
-def similar_sets(sets: DataFrame, least: float = SIMILAR) -> DataFrame:
+def shared_most(least: float) -> int:
+    """How many grams two different sets of that similarity share at least, up to three: least / (1 - least)."""
+    return min(3, max(1, math.ceil(least / (1 - least) - SLACK))) if least < 1 else 3
+
+
+def shared_keys(n: Column, g: Column, least: float, many: int = MANY_GRAMS) -> Column:
+    """Arrays of as many grams of a set as two different similar sets share at least, up to three; one of them is shared by any two such sets.
+
+    Of n grams the k rarest common ones
+    are among the n - ceil(least * n) + k rarest. Pairs whose smaller set has over ``many`` grams meet by one gram, so that keys stay few.
+    """
+    most = shared_most(least)
+    first = lambda k: F.slice(g, F.lit(1), F.greatest(n - F.ceil(least * n - SLACK).cast("int") + k, F.lit(0)))
+    none = F.lit(-1).cast("long")
+
+    def keys(k: int) -> Column:
+        rare = first(k)
+        after = lambda i: F.slice(rare, i + 2, F.size(rare))
+        if k == 1:
+            return F.transform(rare, lambda x: F.array(x, none, none))
+        if k == 2:
+            return F.flatten(F.transform(rare, lambda x, i: F.transform(after(i), lambda y: F.array(x, y, none))))
+        return F.flatten(F.transform(rare, lambda x, i: F.flatten(F.transform(rare, lambda y, j: F.when(j > i, F.transform(after(j), lambda z: F.array(x, y, z))).otherwise(F.array().cast("array<array<bigint>>"))))))
+
+    few, lots = keys(most), keys(1)
+    return F.when(n <= many, few).when(least * n - SLACK > many, lots).otherwise(F.concat(few, lots)) if most > 1 else lots
+
+
+def similar_sets(sets: DataFrame, least: float = SIMILAR, many: int = MANY_GRAMS) -> DataFrame:
     """(a, b, jaccard) of the representatives of different ``sets`` with at least that similarity, each pair once.
 
-    Only the rarest grams of a session are candidates: of n grams, n - ceil(least * n) + 1 are enough
-    for two similar sets to share one, so frequent grams never join. Only ids and sizes take part in that join. Equal sets are compared once.
+    Sets meet by ``shared_keys``. Where two meet, 256 bits of each rule most pairs out: sets of that similarity differ in no more than
+    (1 - least) / (1 + least) of their sizes' sum, and bits never differ more than sets. The others are compared exactly, under the key of
+    their rarest common grams only, so no pair is listed twice and only similar pairs leave the join. Equal sets are compared once.
     """
-    groups = sets.where(F.col("session_key") == F.col("rep")).select("rep", "g")
     n = F.size("g")
-    slack = 1e-9  # of products like 0.7 * 10
-    prefix = groups.select("rep", n.alias("n"), F.explode(F.slice("g", F.lit(1), n - F.ceil(least * n - slack).cast("int") + 1)).alias("gram"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    near = (F.col("a.n") >= least * F.col("b.n") - slack) & (F.col("b.n") >= least * F.col("a.n") - slack)
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.rep") < F.col("b.rep")) & near).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    of = lambda c: groups.select(F.col("rep").alias(c), F.col("g").alias(f"g{c}"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").withColumn("jaccard", both / (F.size("ga") + F.size("gb") - both)).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+    at = lambda x: F.pmod(x, F.lit(64 * WORDS))
+    word = lambda k: F.aggregate("g", F.lit(0).cast("long"), lambda bits, x: bits.bitwiseOR(F.when(F.floor(at(x) / 64) == k, F.call_function("shiftleft", F.lit(1).cast("long"), (at(x) % 64).cast("int"))).otherwise(F.lit(0).cast("long"))))
+    groups = sets.where(F.col("session_key") == F.col("rep")).select("rep", "g", n.alias("n"), *[word(k).alias(f"w{k}") for k in range(WORDS)])
+    keyed = groups.select("rep", "g", "n", *[f"w{k}" for k in range(WORDS)], F.explode(shared_keys(F.col("n"), F.col("g"), least, many)).alias("key"))
+    keyed = keyed.select("rep", "g", "n", *[f"w{k}" for k in range(WORDS)], *[F.col("key")[k].alias(f"k{k}") for k in range(3)])
+    a, b = keyed.alias("a"), keyed.alias("b")
+    bits = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(1, WORDS)), F.bit_count(F.col("a.w0").bitwiseXOR(F.col("b.w0"))))
+    near = (F.col("a.n") <= F.col("b.n")) & (F.col("a.n") >= least * F.col("b.n") - SLACK) & (bits <= (1 - least) / (1 + least) * (F.col("a.n") + F.col("b.n")) + SLACK)
+    once = (F.col("a.n") < F.col("b.n")) | (F.col("a.rep") < F.col("b.rep"))
+    common = F.array_intersect("a.g", "b.g")
+    both = F.size(common)
+    jaccard = both / (F.col("a.n") + F.col("b.n") - both)
+    rarest = common[0] == F.col("a.k0")
+    for k in (1, 2):
+        rarest &= (F.col(f"a.k{k}") < 0) | (F.get(common, F.lit(k)) == F.col(f"a.k{k}"))
+    same = [F.col(f"a.k{k}") == F.col(f"b.k{k}") for k in range(3)]
+    if shared_most(least) > 1:  # both may have keys of either kind; the smaller set says which counts
+        once &= (F.col("a.k1") < 0) == (F.col("a.n") > many)
+    # one condition, tested in this order: a filter behind the join would be moved before the cheap tests
+    met = a.join(b.hint("merge"), same[0] & same[1] & same[2] & near & once & (jaccard >= least) & rarest)
+    return met.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"), jaccard.alias("jaccard"))
 
 
 def similar_sessions(turns: DataFrame, least: float = SIMILAR) -> DataFrame:
