@@ -96,15 +96,15 @@ class InOrder(StatefulProcessor):
     Turns that come early wait in the state until those before them are there. If these stay away, a timer of
     event time lets the waiting ones pass once the watermark is beyond the newest of them; what comes after
     that is late and left out. A turn that is delivered again changes nothing. Between batches the state has the
-    fold's few numbers and the turns that wait.
+    fold's few numbers, the turns that wait and the time of the timer, in one value: a session reads and writes it once a
+    batch, however many turns came, and asks for timers only where they change.
     """
 
     carry_ddl, start = "", ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.carry = handle.getValueState("carry", f"next long, waiting long, {self.carry_ddl}")
-        self.early = handle.getMapState("early", "turn_index long", WAITING)
+        self.state = handle.getValueState("state", f"next long, timer long, early array<struct<turn_index long, {WAITING}>>, {self.carry_ddl}")
 
     def advance(self, key: str, carry: list[Any], turn_index: int, row: tuple[Any, ...]) -> None:
         """Fold one turn into ``carry``."""
@@ -114,27 +114,22 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def passed(self, key: str, fresh: dict[int, tuple[Any, ...]], gaps: bool) -> Iterator[pd.DataFrame]:
-        known = self.carry.get()
-        at, waiting, carry = (known[0], known[1], list(known[2:])) if known else (0, 0, list(self.start))
-        held = {k[0]: v for k, v in self.early.iterator()} if waiting else {}
+        known = self.state.get()
+        at, timer, early, carry = (known[0], known[1], known[2], list(known[3:])) if known else (0, None, [], list(self.start))
+        held = {t[0]: tuple(t[1:]) for t in early}
         turns = held | {k: v for k, v in fresh.items() if k >= at and k not in held}
         order, done = sorted(turns), 0
         while done < len(order) and (gaps or order[done] == at):
             at = order[done] + 1
             self.advance(key, carry, order[done], turns[order[done]])
             done += 1
-        for k in order[:done]:
-            if k in held:
-                self.early.removeKey((k,))
-        for k in order[done:]:
-            if k not in held:
-                self.early.updateValue((k,), turns[k])
-        self.carry.update((at, len(order) - done, *carry))
-        for timer in list(self.handle.listTimers()):
+        times = [t for k in order[done:] if (t := turns[k][FIELDS.index("ms")]) is not None]
+        wanted = max(times, default=FOREVER) if done < len(order) else None
+        if timer is not None and timer != wanted and not gaps:  # one that fired is gone
             self.handle.deleteTimer(timer)
-        times = [t[FIELDS.index("ms")] for k, t in turns.items() if k >= at]
-        if times:
-            self.handle.registerTimer(max((t for t in times if t is not None), default=FOREVER))
+        if wanted is not None and (timer != wanted or gaps):
+            self.handle.registerTimer(wanted)
+        self.state.update((at, wanted, [(k, *turns[k]) for k in order[done:]], *carry))
         if done:
             yield self.results(key, carry)
 
