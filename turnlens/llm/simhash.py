@@ -244,14 +244,22 @@ def differing_bits(similar: float, bits: int = 64 * LANES, sigmas: float = 4.8)
 
 
 def near(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, similar: float) -> np.ndarray:
-    """Differing bits of each row of ``a`` and each of ``b`` (lanes); 1000 where sizes or bits rule out that the sets are similar."""
-    bits = np.zeros((len(a), len(b)), np.int16)
-    for k in range(LANES):
-        bits += np.bitwise_count(a[:, None, k] ^ b[None, :, k])
-    low, high = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
+    """Differing bits of each row of ``a`` and each of ``b`` (lanes); 1000 where sizes or bits rule out that the sets are similar.
+
+    The Gray-order tree over the first lanes of ``b`` finds whose first lane is near; the other lanes are compared for these only.
+    """
+    out = np.full((len(a), len(b)), 1000, np.int16)
+    if not len(a) or not len(b):
+        return out
+    tree = GrayTree(b[:, 0])
     # sets of under six shingles differ by more bits, 96 of 512 at 4 of 5, as even sizes have ties
-    most = differing_bits(similar) + np.where(low < 6, 24, 0)
-    return np.where((bits <= most) & (low >= similar * high - 1e-9), bits, 1000)
+    q, leaf = tree.within(a[:, 0], differing_bits(similar, 64) + 6 * int(min(na.min(), nb.min()) < 6))
+    m = tree.order[leaf]
+    bits = np.bitwise_count(a[q] ^ b[m]).sum(axis=1, dtype=np.int16)
+    low, high = np.minimum(na[q], nb[m]), np.maximum(na[q], nb[m])
+    keep = (bits <= differing_bits(similar) + np.where(low < 6, 24, 0)) & (low >= similar * high - 1e-9)
+    out[q[keep], m[keep]] = bits[keep]
+    return out
 
 
 def as_lanes(column: np.ndarray) -> np.ndarray:
