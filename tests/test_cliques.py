@@ -51,6 +51,20 @@ def test_a_complete_group_is_searched_as_one_node(spark):
     assert found(spark, many) == brute(many)
 
 
+def test_roots_are_searched_once_as_a_stream(spark):
+    """A root's rows may be torn over many batches, and what the cliques are read for does not search again."""
+    rng = random.Random(3)
+    edges = [(f"v{a:02}", f"v{b:02}") for a, b in combinations(range(28), 2) if rng.random() < 0.5]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found(spark, edges) == brute(edges)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = graph.maximal_cliques(spark.createDataFrame(edges, "a string, b string")).members._jdf.queryExecution().optimizedPlan().toString()
+    assert "Pandas" not in plan and "Arrow" not in plan
+
+
 def sessions_of(spark, sets):
     """Turns whose tool names follow each other so that a session has the given bigrams: each bigram is a tool of its own between pauses."""
     rows = [(f"s{k:05}", i, [f"t{g}"]) for k, grams in enumerate(sets) for i, g in enumerate(grams)]

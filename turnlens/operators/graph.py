@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnlens.functions.shared import written
 
 
+#: Rows of a batch of results.
+RESULTS = 20_000
+
+
 class Cliques(NamedTuple):
     """``members`` (root, nth, node): the maximal cliques by their first vertex; ``twins`` (node, twin): what each node stands for."""
 
@@ -31,12 +38,12 @@ def twin_classes(edges: DataFrame) -> DataFrame:
     return marks.select("node", F.min("node").over(Window.partitionBy("n", "x", "y")).alias("twin"))
 
 
-def search(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The maximal cliques whose first vertex is that of the rows (root, kind, x, y), as rows (root, nth, node)."""
-    root = pdf["root"].iloc[0]
+def around(rows: list[tuple[str, str, str, str | None]]) -> Iterator[tuple[str, ...]]:
+    """The maximal cliques whose first vertex is that of the rows (root, kind, x, y)."""
+    root = rows[0][0]
     near: dict[str, set[str]] = {}
     may, seen = set(), set()
-    for kind, x, y in zip(pdf["kind"], pdf["x"], pdf["y"], strict=True):
+    for _, kind, x, y in rows:
         if kind == "later":
             may.add(x)
             continue
@@ -45,21 +52,29 @@ def search(pdf: pd.DataFrame) -> pd.DataFrame:
         if kind == "earlier":
             seen.add(x)
     none: set[str] = set()
-    out, n = [], 0
     todo = [((), may, seen)]
     while todo:  # candidates that are no neighbours of the pivot open a branch each
         chosen, may, seen = todo.pop()
         if not may:
             if not seen:
-                out += [(root, n, v) for v in (root, *chosen)]
-                n += 1
+                yield (root, *chosen)
             continue
         pivot = max(may | seen, key=lambda v: (len(near.get(v, none) & may), v))
         for v in sorted(may - near.get(pivot, none)):
-            around = near.get(v, none)
-            todo.append(((*chosen, v), may & around, seen & around))
+            near_v = near.get(v, none)
+            todo.append(((*chosen, v), may & near_v, seen & near_v))
             may, seen = may - {v}, seen | {v}
-    return pd.DataFrame(out, columns=["root", "nth", "node"])
+
+
+def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cliques of rows (root, kind, x, y) that come sorted by root, as rows (root, nth, node); a root may go on in the next batch.
+
+    One root's rows and one batch of results are in memory, and no pandas frame is built for each root.
+    """
+    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    found = ((root, n, v) for root, group in groupby(rows, key=itemgetter(0)) for n, clique in enumerate(around(list(group))) for v in clique)
+    while some := list(islice(found, RESULTS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["root", "nth", "node"])
 
 
 def maximal_cliques(edges: DataFrame) -> Cliques:
@@ -69,6 +84,7 @@ def maximal_cliques(edges: DataFrame) -> Cliques:
     no node has more than sqrt(2 * edges) later neighbours. A task gets one node, the edges among
     its later neighbours, and those between them and earlier ones, which tell whether a clique is maximal; all
     come from one join for triangles, bounded by edges * sqrt(2 * edges). Cliques of a component never meet in one task.
+    The cliques are written once, so however often ``members`` is read, they are searched once.
     """
     edges = written(edges.select("a", "b"), "edges")
     twins = written(twin_classes(edges), "twins")
@@ -87,6 +103,7 @@ def maximal_cliques(edges: DataFrame) -> Cliques:
         .unionByName(triangles.select(F.col("u").alias("root"), F.lit("among").alias("kind"), "x", "y"))
         .unionByName(triangles.select(F.col("x").alias("root"), F.lit("earlier").alias("kind"), F.col("u").alias("x"), "y"))
     )
-    found = rows.groupBy("root").applyInPandas(search, "root string, nth long, node string")
+    found = rows.repartition("root").sortWithinPartitions("root").mapInArrow(search, "root string, nth long, node string")
     alone = twins.select(F.col("twin").alias("node")).distinct().join(later.select(F.explode(F.array("u", "v")).alias("node")), "node", "left_anti")
-    return Cliques(found.unionByName(alone.select(F.col("node").alias("root"), F.lit(0).cast("long").alias("nth"), "node")), twins)
+    members = found.unionByName(alone.select(F.col("node").alias("root"), F.lit(0).cast("long").alias("nth"), "node"))
+    return Cliques(written(members, "cliques"), twins)
