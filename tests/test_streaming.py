@@ -91,6 +91,17 @@ def test_a_gap_is_passed_when_the_watermark_is_beyond_it(spark, turns, tmp_path)
     assert ("s", 4, 3) in seen[1] and ("s", 5, 4) in seen[2]
 
 
+def test_buckets_change_no_result(spark, turns, tmp_path):
+    """Sessions that share a bucket end like sessions with one of their own, those without a key too."""
+    rows = sessions.flags(turns.where("turn_index < 40")).withColumn("session_key", F.expr("nullif(session_key, 'u1')"))
+    last = []
+    for buckets in (None, 2):
+        runs = run(spark, lambda r: sessions.ordered_state(r, 1000, "90 days", buckets), rows, tmp_path / str(buckets), ["turn_index % 3 = 1", "turn_index % 3 <> 1"])  # noqa: B023
+        assert not runs[0]
+        last.append(sorted(map(str, runs[1])))
+    assert last[0] == last[1] and len(last[0]) == rows.select("session_key").distinct().count()
+
+
 def test_turns_without_a_time_open_no_gap(spark, turns, tmp_path):
     rows = sessions.flags(turns.withColumn("ts", F.when(F.col("turn_index") % 3 != 1, F.col("ts"))))
     idle = 12 * 3_600_000

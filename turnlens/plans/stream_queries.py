@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnlens.functions.shared import new_folder
+from turnlens.functions.shared import new_folder, written
 from turnlens.operators import facts, pricing, versioned
 from turnlens.plans import catalog
 from turnlens.sources import lines
@@ -17,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Turns before this one come in a first run, the others in a second one that goes on with its state.
 FIRST = 40
 PARTS = 8
+#: Sessions of a bucket of ordered state.
+TOGETHER = 32
 #: Longer than the given tables, so that no turn is late however it is dealt.
 AGES = "3650 days"
 #: Of idle spells and of weekly costs, in microseconds.
@@ -49,7 +51,11 @@ def streamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def in_runs(rows: DataFrame, parts: list[Column], fold: Callable[[DataFrame], DataFrame], mode: str, folder: str, write: Callable[[DataFrame, int], None] | None = None, spark: SparkSession | None = None) -> None:
-    """Add each part of ``rows`` to the input and run ``fold`` over it, each run with the state that the one before has left."""
+    """Add each part of ``rows`` to the input and run ``fold`` over it, each run with the state that the one before has left.
+
+    The rows are computed once, not for each part.
+    """
+    rows = written(rows, "rows")
     for part in parts:
         rows.where(part).write.mode("append").parquet(f"{folder}/in")
         finish(fold((spark or rows.sparkSession).readStream.schema(rows.schema).parquet(f"{folder}/in")), folder, mode, write)
@@ -64,18 +70,27 @@ def part_of(key: str = "session_key") -> Column:
     return F.pmod(F.xxhash64(key), F.lit(PARTS))
 
 
+def buckets(turns: DataFrame) -> int:
+    """So many that a bucket of ordered state has about ``TOGETHER`` sessions, whatever the size of the input."""
+    return turns.agg(F.approx_count_distinct("session_key")).first()[0] // TOGETHER + 1
+
+
 def ordered_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last state of each session, its turns dealt over three runs out of order; kept by the idempotent sink."""
     folder, other = new_folder(spark, "ordered"), streams.ordered_session(spark)
     sink = streams.upsert_sink(f"{folder}/out", ("session_key",), "part")
-    fold = lambda rows: streams.ordered_state(rows, catalog.IDLE, AGES).withColumn("part", part_of())
-    in_runs(streams.flags(catalog.turns(spark, sf_dir)), dealt(3), fold, "update", folder, sink, other)
+    turns = catalog.turns(spark, sf_dir)
+    n = buckets(turns)
+    fold = lambda rows: streams.ordered_state(rows, catalog.IDLE, AGES, n).withColumn("part", part_of())
+    in_runs(streams.flags(turns), dealt(3), fold, "update", folder, sink, other)
     return versioned.load(spark, f"{folder}/out", f"{streams.ORDERED}, part long").drop("part")
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, other = new_folder(spark, "alerts"), streams.ordered_session(spark)
-    in_runs(streams.flags(catalog.turns(spark, sf_dir)), dealt(2), lambda rows: streams.loop_alerts(rows, late=AGES), "append", folder, spark=other)
+    turns = catalog.turns(spark, sf_dir)
+    n = buckets(turns)
+    in_runs(streams.flags(turns), dealt(2), lambda rows: streams.loop_alerts(rows, late=AGES, buckets=n), "append", folder, spark=other)
     return spark.read.schema(streams.ALERTS).parquet(f"{folder}/out")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -84,7 +86,7 @@ def flags(turns: DataFrame) -> DataFrame:
 COLUMNS = ("session_key", "max_streak", "closed_streak", "current_streak", "flow_longest", "n_idle", "retries", "pivots", "max_run", "stalls", "n_turns")
 ORDERED = "session_key string, " + ", ".join(f"{c} long" for c in COLUMNS[1:])
 ALERTS = "session_key string, turn_index long, key string"
-#: What waits for earlier turns, as plain columns of ``flags``.
+#: What waits for earlier turns, as plain columns of ``flags``; a fold's state has null for those it does not need.
 WAITING = "role string, ms long, n_calls long, wrong boolean, broke boolean, keys array<string>, mutates array<boolean>, spawns array<string>"
 FIELDS = [f.split()[0] for f in WAITING.split(", ")]
 FOREVER = 1 << 62
@@ -95,28 +97,30 @@ class InOrder(StatefulProcessor):
 
     Turns that come early wait in the state until those before them are there. If these stay away, a timer of
     event time lets the waiting ones pass once the watermark is beyond the newest of them; what comes after
-    that is late and left out. A turn that is delivered again changes nothing. Between batches the state has the
-    fold's few numbers, the turns that wait and the time of the timer, in one value: a session reads and writes it once a
-    batch, however many turns came, and asks for timers only where they change.
+    that is late and left out. A turn that is delivered again changes nothing.
+
+    The groups are buckets of some sessions (``packed``), since each group costs a few calls between the worker and the state. One value
+    has a bucket's timer, the first one its sessions want, and their numbers and waiting turns as JSON; it is read and written once a
+    batch, however many turns came, and timers are asked for only where they change.
     """
 
-    carry_ddl, start = "", ()
+    start, columns = (), ()
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", f"next long, timer long, early array<struct<turn_index long, {WAITING}>>, {self.carry_ddl}")
+        self.state = handle.getValueState("state", "timer long, sessions string")
 
-    def advance(self, key: str, carry: list[Any], turn_index: int, row: tuple[Any, ...]) -> None:
+    def advance(self, key: str, carry: list[Any], turn_index: int, row: list[Any]) -> None:
         """Fold one turn into ``carry``."""
         raise NotImplementedError
 
-    def results(self, key: str, carry: list[Any]) -> pd.DataFrame:
+    def results(self, key: str, carry: list[Any]) -> list[tuple[Any, ...]]:
         raise NotImplementedError
 
-    def passed(self, key: str, fresh: dict[int, tuple[Any, ...]], gaps: bool) -> Iterator[pd.DataFrame]:
-        known = self.state.get()
-        at, timer, early, carry = (known[0], known[1], known[2], list(known[3:])) if known else (0, None, [], list(self.start))
-        held = {t[0]: tuple(t[1:]) for t in early}
+    def forward(self, key: str, known: list[Any], fresh: dict[int, list[Any]], gaps: bool) -> tuple[list[Any], list[tuple[Any, ...]]]:
+        """What a session keeps (next turn, wanted timer, waiting turns, carry) and its results, in ``columns``."""
+        at, _, early, carry = known
+        held = {k: row for k, *row in early}
         turns = held | {k: v for k, v in fresh.items() if k >= at and k not in held}
         order, done = sorted(turns), 0
         while done < len(order) and (gaps or order[done] == at):
@@ -125,26 +129,44 @@ class InOrder(StatefulProcessor):
             done += 1
         times = [t for k in order[done:] if (t := turns[k][FIELDS.index("ms")]) is not None]
         wanted = max(times, default=FOREVER) if done < len(order) else None
-        if timer is not None and timer != wanted and not gaps:  # one that fired is gone
+        return [at, wanted, [(k, *turns[k]) for k in order[done:]], carry], self.results(key, carry) if done else []
+
+    def step(self, fresh: dict[str, dict[int, list[Any]]], until: int | None) -> list[tuple[Any, ...]]:
+        """The results of one bucket and batch; a timer that fired lets sessions pass whose timers are before ``until``."""
+        known = self.state.get()
+        timer, sessions = (known[0], {k: kept for k, *kept in json.loads(known[1])}) if known else (None, {})
+        gone = {k for k, kept in sessions.items() if until is not None and kept[1] is not None and kept[1] < until}
+        out: list[tuple[Any, ...]] = []
+        for key in dict.fromkeys((*fresh, *gone)):
+            sessions[key], found = self.forward(key, sessions.get(key) or [0, None, [], list(self.start)], fresh.get(key, {}), key in gone)
+            out += found
+        wanted = min((kept[1] for kept in sessions.values() if kept[1] is not None), default=None)
+        if timer is not None and timer != wanted and until is None:  # one that fired is gone
             self.handle.deleteTimer(timer)
-        if wanted is not None and (timer != wanted or gaps):
+        if wanted is not None and (timer != wanted or until is not None):
             self.handle.registerTimer(wanted)
-        self.state.update((at, wanted, [(k, *turns[k]) for k in order[done:]], *carry))
-        if done:
-            yield self.results(key, carry)
-
-    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        fresh: dict[int, tuple[Any, ...]] = {}
-        plain = lambda v: None if v is None or v is pd.NA or isinstance(v, float) and v != v else list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v.item() if hasattr(v, "item") else v
-        for pdf in rows:
-            for index, *values in pdf[["turn_index", *FIELDS]].itertuples(index=False):
-                row = [plain(v) for v in values]
-                row[1] = None if row[1] is None else int(row[1])
-                fresh.setdefault(int(index), tuple(row))
-        yield from self.passed(key[0], fresh, False)
-
-    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self.passed(key[0], {}, True)
+        self.state.update((wanted, json.dumps([(k, *kept) for k, kept in sessions.items()])))
+        return out
+
+    def passed(self, key: str, fresh: dict[int, list[Any]], gaps: bool) -> Iterator[pd.DataFrame]:
+        """``step`` for one session as a frame, for use outside a stream."""
+        if rows := self.step({key: fresh}, FOREVER + 1 if gaps else None):
+            yield pd.DataFrame(rows, columns=list(self.columns))
+
+    def handleInputRows(self, key: tuple[Any, ...], rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        fresh: dict[str, dict[int, list[Any]]] = {}
+        for session_key, turn_index, turn in map(itemgetter("session_key", "turn_index", "turn"), rows):
+            turns = fresh.setdefault(session_key, {})
+            if turn_index not in turns:
+                turns[turn_index] = list(map(json.loads(turn).get, FIELDS))
+        yield from map(self.named, self.step(fresh, None))
+
+    def handleExpiredTimer(self, key: tuple[Any, ...], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        until = max(expiredTimerInfo.getExpiryTimeInMs() + 1, timerValues.getCurrentWatermarkInMs())
+        yield from map(self.named, self.step({}, until))
+
+    def named(self, values: tuple[Any, ...]) -> Row:
+        return Row(**dict(zip(self.columns, values, strict=True)))
 
     def close(self) -> None:
         pass
@@ -153,16 +175,12 @@ class InOrder(StatefulProcessor):
 class Fold(InOrder):
     """Streaks, flow, idle gaps, corrections and the circuit breaker, continued from turn to turn."""
 
-    carry_ddl = (
-        "streak long, longest long, own long, own_longest long, flow long, flow_longest long, idle long, last_ms long, was_wrong boolean, retries long, pivots long, turns long, "
-        "agent string, run long, max_run long, stalls long"
-    )
-    start = (0, 0, 0, 0, 0, 0, 0, -1, False, 0, 0, 0, None, 0, 0, 0)
+    start, columns = (0, 0, 0, 0, 0, 0, 0, -1, False, 0, 0, 0, None, 0, 0, 0), COLUMNS
 
     def __init__(self, idle_ms: int) -> None:
         self.idle_ms = idle_ms
 
-    def advance(self, key: str, carry: list[Any], turn_index: int, row: tuple[Any, ...]) -> None:
+    def advance(self, key: str, carry: list[Any], turn_index: int, row: list[Any]) -> None:
         streak, longest, own, own_longest, flow, flow_longest, idle, last, was_wrong, retries, pivots, turns, agent, run, max_run, stalls = carry
         role, ms, n_calls, wrong, broke, _, _, spawns = row
         streak = 0 if role == "User" else streak + (role in ("Assistant", "ToolResult"))
@@ -177,20 +195,20 @@ class Fold(InOrder):
             retries, pivots = retries + (not wrong), pivots + bool(wrong)
         carry[:] = streak, max(longest, streak), own, own_longest, flow, max(flow_longest, flow), int(idle), last, bool(wrong), int(retries), int(pivots), turns + 1, agent, run, max_run, int(stalls)
 
-    def results(self, key: str, carry: list[Any]) -> pd.DataFrame:
+    def results(self, key: str, carry: list[Any]) -> list[tuple[Any, ...]]:
         _, longest, own, own_longest, _, flow_longest, idle, _, _, retries, pivots, turns, _, _, max_run, stalls = carry
-        return pd.DataFrame([(key, longest, own_longest, own, flow_longest, idle, retries, pivots, max_run, stalls, turns)], columns=list(COLUMNS))
+        return [(key, longest, own_longest, own, flow_longest, idle, retries, pivots, max_run, stalls, turns)]
 
 
 class Alerts(InOrder):
     """The ``trip``-th call in a row on one key without a change in between."""
 
-    carry_ddl, start = "last string, n long", ("", 0)
+    start, columns = ("", 0), ("session_key", "turn_index", "key")
 
     def __init__(self, trip: int) -> None:
         self.trip = trip
 
-    def advance(self, key: str, carry: list[Any], turn_index: int, row: tuple[Any, ...]) -> None:
+    def advance(self, key: str, carry: list[Any], turn_index: int, row: list[Any]) -> None:
         last, n = carry
         for target, mutates in zip(row[FIELDS.index("keys")], row[FIELDS.index("mutates")], strict=True):
             target = target or ""
@@ -200,12 +218,19 @@ class Alerts(InOrder):
                 self.found.append((key, turn_index, target))
         carry[:] = last, n
 
-    def passed(self, key: str, fresh: dict[int, tuple[Any, ...]], gaps: bool) -> Iterator[pd.DataFrame]:
-        self.found: list[tuple[str, int, str]] = []
-        yield from super().passed(key, fresh, gaps)
+    def forward(self, key: str, known: list[Any], fresh: dict[int, list[Any]], gaps: bool) -> tuple[list[Any], list[tuple[Any, ...]]]:
+        self.found: list[tuple[Any, ...]] = []
+        return super().forward(key, known, fresh, gaps)
+
+    def results(self, key: str, carry: list[Any]) -> list[tuple[Any, ...]]:
+        return self.found
+
 
-    def results(self, key: str, carry: list[Any]) -> pd.DataFrame:
-        return pd.DataFrame(self.found, columns=["session_key", "turn_index", "key"])
+def packed(rows: DataFrame, needed: tuple[str, ...], late: str, buckets: int | None) -> GroupedData:
+    """Turns with the ``needed`` flags as a JSON object (what is null is left out), dealt to ``buckets`` by session; None: a bucket for each session."""
+    bucket = F.pmod(F.xxhash64("session_key"), F.lit(buckets)).cast("string") if buckets else F.col("session_key")
+    turns = rows.select(bucket.alias("bucket"), "session_key", "turn_index", "ts", F.to_json(F.struct(*needed)).alias("turn"))
+    return turns.withWatermark("ts", late).groupBy("bucket")
 
 
 def ordered_session(spark: SparkSession) -> SparkSession:
@@ -217,18 +242,21 @@ def ordered_session(spark: SparkSession) -> SparkSession:
     return other
 
 
-def ordered_state(rows: DataFrame, idle_ms: int = 300_000, late: str = "1 day") -> DataFrame:
+def ordered_state(rows: DataFrame, idle_ms: int = 300_000, late: str = "1 day", buckets: int | None = None) -> DataFrame:
     """Ordered folds continued from batch to batch; one updated row per session and batch.
 
     ``rows`` come from ``flags``, in any order, in a session like ``ordered_session``. A turn without a time opens no idle gap; the last known
     time stays. ``max_run`` and ``stalls`` are those of the circuit breaker, the closed and the current streak those of Assistant turns.
+    ``buckets`` says how many groups the sessions share: a batch reads and writes the state of each bucket that it has turns of, so a few dozen
+    sessions a bucket are cheapest where most sessions come in a batch. It must stay as it is while a checkpoint is used.
     """
-    return rows.withWatermark("ts", late).groupBy("session_key").transformWithStateInPandas(Fold(idle_ms), ORDERED, "Update", "EventTime")
+    groups = packed(rows, ("role", "ms", "n_calls", "wrong", "broke", "spawns"), late, buckets)
+    return groups.transformWithState(Fold(idle_ms), ORDERED, "Update", "EventTime")
 
 
-def loop_alerts(rows: DataFrame, trip: int = LOOP, late: str = "1 day") -> DataFrame:
+def loop_alerts(rows: DataFrame, trip: int = LOOP, late: str = "1 day", buckets: int | None = None) -> DataFrame:
     """An alert at the ``trip``-th call in a row on one key without a change in between; all calls of a turn count, in order."""
-    return rows.withWatermark("ts", late).groupBy("session_key").transformWithStateInPandas(Alerts(trip), ALERTS, "Append", "EventTime")
+    return packed(rows, ("ms", "keys", "mutates"), late, buckets).transformWithState(Alerts(trip), ALERTS, "Append", "EventTime")
 
 
 def idle_sessions(turns: DataFrame, gap: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
